@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from prosemill.llm.op1_token_store import op1_token_store
+from prosemill.llm.op5_packing import op5_best_fit_packing
 from prosemill.llm.op7_minhash import op7_minhash_near_dedup
+from prosemill.llm.op9_language import op9_language_id
 
 QUERIES = {
+    "op1_token_store": op1_token_store,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES: dict[str, str] = {}
