@@ -27,6 +27,8 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 
 class Model(NamedTuple):
+    """Languages, the most frequent first, and their dictionaries."""
+
     languages: list[str]
     dictionaries: list[bytes]
 
@@ -54,7 +56,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", order: st
     seen: dict[str, Counter] = {name: Counter() for name in counts}
     for r in chosen:
         seen[r["lang"]].update(set(letters(r["text"]).split()))
-    out = Model(sorted(counts), [])
+    out = Model(list(counts), [])
     for name in out.languages:
         content, size = [], 0
         for word, _ in sorted(seen[name].items(), key=lambda x: (-x[1], x[0])):
@@ -95,7 +97,7 @@ def classify(docs: DataFrame, model: Model, margin: float = MARGIN, text: str =
 
     The score is the margin of the smallest size over the second smallest, as a share of the latter, scaled so that four times
     ``margin`` makes 1; with one language only it is 1. A text is rejected where that share is below ``margin``, or where it is null or
-    has no letter: then lang_pred is ``und`` and the score 0. Ties go to the language that comes first by name. Columns of ``docs`` by the
+    has no letter: then lang_pred is ``und`` and the score 0. Ties go to the language with more labelled texts. Columns of ``docs`` by the
     names of new ones are replaced; an empty model predicts ``und``.
     """
     schema = "lang_pred string, score double, rejected boolean"

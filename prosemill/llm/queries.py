@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from prosemill.llm.op10_chat import OP10_SQL, op10_chat_format
 from prosemill.llm.op1_token_store import op1_token_store
 from prosemill.llm.op5_packing import op5_best_fit_packing
+from prosemill.llm.op6_url_lists import OP6_SQL, op6_url_filter
 from prosemill.llm.op7_minhash import op7_minhash_near_dedup
 from prosemill.llm.op9_language import op9_language_id
 
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_url_filter": op6_url_filter,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_language_id": op9_language_id,
+    "op10_chat_format": op10_chat_format,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_url_filter": OP6_SQL,
+    "op10_chat_format": OP10_SQL,
+}
