@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from prosemill.llm.op10_chat import OP10_SQL, op10_chat_format
 from prosemill.llm.op1_token_store import op1_token_store
+from prosemill.llm.op2_secrets import op2_secret_scan
+from prosemill.llm.op3_decontam import op3_decontamination
+from prosemill.llm.op4_pii import op4_pii_pseudonyms
 from prosemill.llm.op5_packing import op5_best_fit_packing
 from prosemill.llm.op6_url_lists import OP6_SQL, op6_url_filter
 from prosemill.llm.op7_minhash import op7_minhash_near_dedup
@@ -11,6 +14,9 @@ from prosemill.llm.op9_language import op9_language_id
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_decontamination": op3_decontamination,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_url_filter": op6_url_filter,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
