@@ -168,14 +168,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     Null or empty texts and items match nothing. Documents that repeat an id give a row each; items that repeat an id are
     different items. Other columns are ignored.
     """
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, math.ceil(size / INDEX_BYTES))
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
-    for k in range(shards):
-        shard = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        index = docs.sparkSession.sparkContext.broadcast(build_index([tuple(r) for r in shard.orderBy("item_id", "text").collect()]))
+    for index in _indexes(benchmark, item_id, item_text):
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -188,6 +183,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     return out
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the documents that hold a test item, by the rules of ``contaminated``; rows and columns are kept as they are and nothing is shuffled."""
+    at, out = docs.columns.index(text), docs
+    for index in _indexes(benchmark, item_id, item_text):
+
+        def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not matches(index.value, value.as_py() or "", threshold, overlap) for value in batch.column(at)], pa.bool_()))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out
+
+
+def _indexes(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator:
+    """Broadcast indexes over shards of at most ``INDEX_BYTES`` of text on average; an empty benchmark has an empty one."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(1, math.ceil(size / INDEX_BYTES))
+    for k in range(shards):
+        shard = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
+        yield benchmark.sparkSession.sparkContext.broadcast(build_index([tuple(r) for r in shard.orderBy("item_id", "text").collect()]))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test items in all documents."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

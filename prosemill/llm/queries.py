@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from prosemill.llm.op10_chat import OP10_SQL, op10_chat_format
 from prosemill.llm.op1_token_store import op1_token_store
 from prosemill.llm.op2_secrets import op2_secret_scan
@@ -10,6 +11,7 @@ from prosemill.llm.op4_pii import op4_pii_pseudonyms
 from prosemill.llm.op5_packing import op5_best_fit_packing
 from prosemill.llm.op6_url_lists import OP6_SQL, op6_url_filter
 from prosemill.llm.op7_minhash import op7_minhash_near_dedup
+from prosemill.llm.op8_embeddings import op8_embedding_near_dedup
 from prosemill.llm.op9_language import op9_language_id
 
 QUERIES = {
@@ -20,11 +22,14 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_url_filter": op6_url_filter,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
     "op6_url_filter": OP6_SQL,
     "op10_chat_format": OP10_SQL,
 }
