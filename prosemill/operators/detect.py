@@ -16,6 +16,7 @@ from prosemill.functions.patterns import NOCASE, entries_of, keys_of, phrases, q
 from prosemill.functions.readability import with_grade
 from prosemill.operators import rules as R
 from prosemill.operators.context import with_context
+from prosemill.operators.storage import materialized
 
 FINDING = ["doc_id", "rule_id", "family", "severity", "offset", "length", "span", "message"]
 STRUCTURAL = {
@@ -219,10 +220,10 @@ def structural_findings(ctx: DataFrame, style: str = "microsoft", overrides: dic
 def detect(docs: DataFrame, style: str = "microsoft", ignore: tuple[str, ...] = (), zero: tuple[str, ...] = (), overrides: dict | None = None, glossary: tuple = (), only: tuple[str, ...] | None = None, context: DataFrame | None = None) -> DataFrame:
     """Findings of documents (doc_id, text): ``FINDING`` columns, one row each. Use ``ordered`` for their order.
 
-    ``only`` restricts the plan to some rules; rules that don't run never reach it. Documents that repeat an id get the findings of
-    each row, with offsets of their own. A null text has no findings.
+    ``only`` restricts the plan to some rules; rules that don't run never reach it. The context is written once to the shared folder and read by column. ``doc_id`` names a document:
+    ids are to be unique. A null text has no findings.
     """
-    ctx = context if context is not None else with_context(docs.select("doc_id", "text"))
+    ctx = context if context is not None else materialized(with_context(docs.select("doc_id", "text")))
     wanted = lambda rule: rule not in ignore and (only is None or rule in only)
     parts = []
     chosen = [r for r in R.selected(style, ignore, overrides) if wanted(r.id)]

@@ -1 +1,69 @@
+"""Sources: documents, line units, code strings and edit events as DataFrames."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prosemill.operators.filters import in_skipped_folder, is_generated, is_markdown
+
+MARKDOWN = "*.{md,markdown,mdx,mdc}"
+CODE = "*.{js,jsx,ts,tsx}"
+MARKUP = "*.{html,htm,jsx,tsx}"
+SURFACE = "*.{rs,ts,tsx,js,jsx,py,go,md,mdx,toml,yaml,yml,json}"
+
+# Attributes whose strings nobody reads.
+NOT_COPY = (
+    "className class id key href src type name rel target method action style role htmlFor for value ref variant size color icon to path lang charset xmlns viewBox fill stroke d"
+).split()
+
+
+def text_files(spark: SparkSession, root: str, pattern: str = MARKDOWN) -> DataFrame:
+    """(path relative to ``root``, text) of files below ``root``, without skipped folders and generated files; the name filter prunes the listing."""
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    full = F.col("_metadata.file_path")
+    rel = F.regexp_replace(F.url_decode(F.regexp_replace(full, "\\+", "%2B")), "^.*?" + root.rstrip("/").replace(".", "\\.").split(":")[-1] + "/", "")
+    out = files.select(rel.alias("path"), F.col("value").alias("text"))
+    return out.where(~in_skipped_folder(F.col("path")))
+
+
+def markdown_documents(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """Markdown below ``root``, without generated files and those that a glob of ``ignore`` names by path or base name."""
+    from prosemill.operators.filters import basename
+    from prosemill.operators.project import glob_regex
+
+    out = text_files(spark, root).where(is_markdown(F.col("path")) & ~is_generated(F.col("path")))
+    for glob in ignore:
+        pattern = glob_regex(F.lit(glob))
+        out = out.where(~F.regexp_like(F.col("path"), pattern) & ~F.regexp_like(basename(F.col("path")), pattern))
+    return out
+
+
+def one_document(spark: SparkSession, text: str, path: str = "<stdin>") -> DataFrame:
+    return spark.createDataFrame([(path, text)], "path string, text string")
+
+
+def line_units(docs: DataFrame, key: str = "path") -> DataFrame:
+    """Each line that isn't blank as a document of its own: (key, line from 1, text)."""
+    return docs.select(key, F.posexplode(F.split("text", "\r?\n")).alias("i", "text")).where(F.trim("text") != "").select(key, (F.col("i") + 1).alias("line"), "text")
+
+
+def code_strings(files: DataFrame) -> DataFrame:
+    """(path, line, text): text nodes and string literals of JS and TS sources that read like copy; tests are left out."""
+    rows = files.where(F.col("path").rlike(r"\.(?:js|jsx|ts|tsx)$") & ~F.col("path").rlike(r"\.(?:test|spec)\.")).select("path", F.posexplode(F.split("text", "\r?\n")).alias("i", "row"))
+    names = "|".join(NOT_COPY)
+    nodes = F.transform(F.regexp_extract_all("row", F.lit(">([^<>{}]+)<"), F.lit(1)), lambda s: F.trim(s))
+    plain = F.regexp_replace("row", rf"\b(?:{names}|data-[\w-]+|aria-[\w-]+|on[A-Z]\w*)\s*[=:]\s*\{{?\s*(?:\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')", "")
+    literals = F.transform(F.regexp_extract_all(plain, F.lit(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\$])*`"), F.lit(0)), lambda s: F.substring(s, F.lit(2), F.length(s) - 2))
+    out = rows.select("path", (F.col("i") + 1).alias("line"), F.explode(F.concat(nodes, literals)).alias("text"))
+    return out.where(is_copy(F.col("text")))
+
+
+def is_copy(text):
+    return (F.length(text) >= 4) & F.contains(text, F.lit(" ")) & ~text.rlike(r"://|^(?:\.{0,2}/|@)") & text.rlike("[a-z]") & (F.regexp_count(text, F.lit(r"(?<!\S)[A-Za-z]{2,}(?=[\s.,:;!?]|$)")) >= 2)
+
+
+def edited_paths(events: DataFrame, column: str = "value") -> DataFrame:
+    """(path): distinct paths in JSON edit events, under any of the usual keys at any depth; ``file://`` is taken off."""
+    found = F.regexp_extract_all(column, F.lit(r'"(?:file_path|filePath|path|uri)"\s*:\s*"((?:\\.|[^"\\])*)"'), F.lit(1))
+    return events.select(F.explode(found).alias("p")).select(F.regexp_replace(F.replace("p", F.lit("\\/"), F.lit("/")), "^file://", "").alias("path")).distinct()

@@ -1 +1,30 @@
+"""The same detection on a stream of edited documents: stateless, batch by batch."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.query import StreamingQuery
+
+from prosemill.operators.detect import detect
+from prosemill.operators.project import notified, translations
+from prosemill.operators.score import capped
+
+
+def detect_stream(edits: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, cap: int = 20, trigger: dict | None = None, **settings) -> StreamingQuery:
+    """Findings of each batch of edits (doc_id, text), at most ``cap`` a document, handed to ``sink`` with the batch's number.
+
+    A batch is a plan like any other, so a batch that is run again after a failure gives the same rows; a sink that writes by batch number
+    is written once.
+    """
+    run = lambda batch, number: sink(capped(detect(batch.dropDuplicates(["doc_id"]), **settings), cap), number)
+    return edits.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def notices(edits: DataFrame, files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(path, name, message) for edited paths: rules whose globs match, and translations that now may be stale; rules and files are static sides."""
+    from pyspark.sql import functions as F
+
+    stale = edits.select(F.col("path").alias("source")).distinct().join(translations(files), "source").select(F.col("source").alias("path"), F.lit("i18n").alias("name"), F.concat(F.lit("translation may be stale: "), "path").alias("message"))
+    return notified(edits, rules).unionByName(stale)
