@@ -18,7 +18,7 @@ HOLE = "\x01"  #: stands for each blanked byte in ``holed``: no space, so that n
 WORD = r"[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)*"
 
 SCHEMA = (
-    "masked string, holed string, untabled string, words int, raw_words int, "
+    "masked string, holed string, untabled string, words int, raw_words int, vocab array<string>, "
     "sentences array<struct<start:int,length:int,words:int,text:string,lead:string>>, "
     "headings array<struct<level:int,text:string,line:int,start:int,raw:string>>, "
     "items array<struct<line:int,start:int,marker:string,text:string>>, "
@@ -33,6 +33,7 @@ SCHEMA = (
 ABBREVIATIONS = frozenset("mr mrs ms dr prof sr jr st vs etc inc ltd co no fig al eg ie e.g i.e u.s u.k a.m p.m approx".split())
 
 _WORDS = re.compile(WORD)
+_PLAIN = re.compile("[a-z0-9]+")  #: ``vocab``: what decides whether a rule's expression runs on a text at all
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)")
 _FRONT = re.compile(r"\A(---|\+\+\+)[ \t]*\n.*?\n\1[ \t]*(?:\n|\Z)", re.S)
 _HOLES = [re.compile(r"(`{1,3})[^`\n]+?\1"), re.compile(r"<!--[\s\S]*?-->"), re.compile(r"\{\{[\s\S]*?\}\}"), re.compile(r"</?[a-zA-Z][^>\n]*>")]
@@ -166,7 +167,7 @@ def context_of(text: str) -> tuple:
                 opened = not opened
             at += len(line) + 1
     shown = [{"line": i, "start": pos(at), "text": raw_lines[i] if i < len(raw_lines) else line, "blank": blank, "table": table} for i, at, line, blank, table in lines]
-    return masked, holed, untabled, sum(1 for _ in _WORDS.finditer(masked)), sum(1 for _ in _WORDS.finditer(text)), sentences, headings, items, links, bolds, shown, fences, refs, breaks
+    return masked, holed, untabled, sum(1 for _ in _WORDS.finditer(masked)), sum(1 for _ in _WORDS.finditer(text)), list(set(_PLAIN.findall(masked.lower()))), sentences, headings, items, links, bolds, shown, fences, refs, breaks
 
 
 def _sentences(masked: str, blocks: list[tuple[int, int]], pos: _Bytes) -> Iterator[dict]:

@@ -6,6 +6,8 @@ that adds up offsets is over (document, rule) with the lengths of the parts betw
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,18 +34,34 @@ def shown(text: Column) -> Column:
     return F.left(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), F.lit(80))
 
 
-def scan(ctx: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
+def scan(ctx: DataFrame, patterns: list[tuple[str, str]], possible: list[Column] | None = None) -> DataFrame:
     """(doc_id, words, k, i, offset, match, n): every match of the patterns (column, regex), k being the pattern's place; n counts a document's matches of a pattern."""
+    if not patterns:
+        return ctx.sparkSession.createDataFrame([], "doc_id long, words int, k int, i int, offset int, match string, n long")
+
+    def both(on: str, pattern: str, function) -> Column:
+        """On ASCII texts the ASCII classes mean the same, and the JVM finds them several times faster."""
+        plain = re.sub(r"^\(\?([a-zU]+)\)", lambda m: f"(?{m[1].replace('U', '')})", pattern)
+        wide = function(F.col(on), pattern)
+        return wide if plain == pattern or not pattern.isascii() else F.when(F.col("plain"), function(F.col(on), plain)).otherwise(wide)
+
+    columns = sorted({on for on, _ in patterns})
+    ctx = ctx.withColumn("plain", F.length("masked") == F.octet_length("masked"))
     parts = []
     for k, (on, pattern) in enumerate(patterns):
-        hits = F.regexp_extract_all(F.col(on), F.lit(pattern), F.lit(0))
-        gaps = F.transform(F.split(F.col(on), pattern, -1), lambda x: F.octet_length(x))
-        # Texts without a match aren't split.
-        parts.append(F.when(F.regexp_like(F.col(on), F.lit(pattern)), F.struct(F.lit(k).alias("k"), hits.alias("hits"), gaps.alias("gaps"))))
-    if not parts:
-        return ctx.sparkSession.createDataFrame([], "doc_id long, words int, k int, i int, offset int, match string, n long")
-    found = ctx.select("doc_id", "words", F.explode(F.array_compact(F.array(*parts))).alias("p"))
-    rows = found.select("doc_id", "words", "p.k", F.size("p.hits").cast("long").alias("n"), F.posexplode(F.arrays_zip(F.col("p.hits").alias("match"), F.col("p.gaps").alias("gap"))).alias("i", "z"))
+        hits = F.struct(F.lit(k).alias("k"), both(on, pattern, lambda c, p: F.regexp_extract_all(c, F.lit(p), F.lit(0))).alias("hits"))
+        parts.append(F.when(possible[k], hits) if possible else hits)
+    # Texts that can't have a match aren't searched, and only those that have one are split.
+    # The array stands inside the generator: as a column of its own, filters inferred from it would compute it again.
+    found = ctx.select("doc_id", "words", "plain", *columns, F.explode(F.filter(F.array_compact(F.array(*parts)), lambda p: F.size(p["hits"]) > 0)).alias("p"))
+    gaps = F.lit(None).cast("array<string>")
+    for group in range(0, len(patterns), 16):
+        # Nested by sixteens, so that a row tests a few places rather than all.
+        inner = F.lit(None).cast("array<string>")
+        for k in range(min(group + 16, len(patterns)) - 1, group - 1, -1):
+            inner = F.when(F.col("p.k") == k, both(*patterns[k], lambda c, p: F.split(c, p, -1))).otherwise(inner)
+        gaps = F.when(F.col("p.k").between(group, group + 15), inner).otherwise(gaps)
+    rows = found.select("doc_id", "words", "p.k", F.size("p.hits").cast("long").alias("n"), F.posexplode(F.arrays_zip(F.col("p.hits").alias("match"), F.transform(gaps, lambda x: F.octet_length(x)).alias("gap"))).alias("i", "z"))
     rows = rows.where("z.match is not null").select("doc_id", "words", "k", "n", "i", "z.match", "z.gap")
     by = W.partitionBy("doc_id", "k").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     offset = (F.sum(F.col("gap") + F.octet_length("match")).over(by) - F.octet_length("match")).cast("int")
@@ -51,38 +69,33 @@ def scan(ctx: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
 
 
 def pattern_findings(ctx: DataFrame, rules: list[R.Rule], zero: tuple[str, ...] = ()) -> DataFrame:
-    hits = scan(ctx, [(r.on, r.pattern) for r in rules])
+    hits = scan(ctx, [(r.on, r.pattern) for r in rules], [R.possible(r) for r in rules])
     match, n, words = F.col("match"), F.col("n"), F.greatest(F.col("words"), F.lit(1))
-    rate = F.format_string("%.1f", n * 1000.0 / words)
-    grouped = F.regexp_replace(match, r"(?<=\d)(?=(?:\d{3})+$)", ",")
-    keep, severity, message, fixed = [], F.lit(None), F.lit(None), []
+    keep, severity = [], F.lit(None).cast("string")
     for k, r in enumerate(rules):
         here, lifted = F.col("k") == k, r.zero and r.id in zero
         conditions = ([] if lifted or r.gate is None else [r.gate(n, words)]) + ([F.col("i") == 0] if r.first and not lifted else [])
-        if r.mapping:
-            # A match that is its replacement already, letter for letter, needs no finding.
-            conditions.append(F.element_at(_table(r.mapping), F.lower(match)) != match)
         if conditions:
             keep.append(F.when(here, reduce(lambda a, b: a & b, conditions)))
-        fixed.append(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.family).alias("family"), F.lit("warn" if lifted else r.severity).alias("severity"), F.lit(r.message).alias("message")))
         if r.warn_if is not None:
             severity = F.when(here & r.warn_if(match, n, words), F.lit("warn")).otherwise(severity)
-        text = F.lit(r.message)
-        for mark, value in (("{to}", F.element_at(_table(r.mapping), F.lower(match)) if r.mapping else None), ("{m}", match), ("{n}", n.cast("string")), ("{rate}", rate), ("{grouped}", grouped), ("{cp}", F.lpad(F.hex(F.ascii(match)), 4, "0"))):
-            if mark in r.message and value is not None:
-                text = F.replace(text, F.lit(mark), value)
-        if "{" in r.message:
-            message = F.when(here, text).otherwise(message)
     if keep:
         hits = hits.where(F.coalesce(*keep, F.lit(True)))
-    rule = F.element_at(F.array(*fixed), F.col("k") + 1) if fixed else None
-    if rule is None:
-        return hits.select("doc_id", *[F.lit(None).cast("string").alias(c) for c in FINDING[1:4]], "offset", F.octet_length("match").alias("length"), shown(match).alias("span"), F.lit("").alias("message"))
-    return hits.withColumn("r", rule).select("doc_id", "r.rule_id", "r.family", F.coalesce(severity, F.col("r.severity")).alias("severity"), "offset", F.octet_length("match").alias("length"), shown(match).alias("span"), F.coalesce(message, F.col("r.message")).alias("message"))
+    # What is fixed for a rule stands in one constant, by the rule's place.
+    fixed = [{"rule_id": r.id, "family": r.family, "severity": "warn" if r.zero and r.id in zero else r.severity, "message": r.message, "to": r.mapping} for r in rules]
+    table = F.from_json(F.lit(json.dumps(fixed)), "array<struct<rule_id:string,family:string,severity:string,message:string,to:map<string,string>>>")
+    hits = hits.withColumn("r", F.element_at(table, F.col("k") + 1)).withColumn("to", F.try_element_at("r.to", F.lower(match)))
+    # A match that is its replacement already, letter for letter, needs no finding.
+    hits = hits.where((F.size("r.to") == 0) | (F.col("to") != match))
+    text = F.col("r.message")
+    values = {"{to}": F.coalesce("to", F.lit("")), "{m}": match, "{n}": n.cast("string"), "{rate}": F.format_string("%.1f", n * 1000.0 / words), "{grouped}": F.regexp_replace(match, r"(?<=\d)(?=(?:\d{3})+$)", ","), "{cp}": F.lpad(F.hex(F.ascii(match)), 4, "0")}
+    for mark, value in values.items():
+        text = F.when(F.contains(F.col("r.message"), F.lit(mark)), F.replace(text, F.lit(mark), value)).otherwise(text) if mark != "{to}" else F.replace(text, F.lit(mark), value)
+    return hits.select("doc_id", "r.rule_id", "r.family", F.coalesce(severity, F.col("r.severity")).alias("severity"), "offset", F.octet_length("match").alias("length"), shown(match).alias("span"), text.alias("message"))
 
 
 def _table(mapping: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    return F.from_json(F.lit(json.dumps(mapping)), "map<string,string>")
 
 
 def _out(df: DataFrame, rule: str, family: str, severity, offset, length, span, message) -> DataFrame:
@@ -108,10 +121,10 @@ def structural_findings(ctx: DataFrame, style: str = "microsoft", overrides: dic
     weighted = entries_of("overused-word", overrides)
     if weighted:
         base = _table({w.lower(): b for w, b, _ in weighted})
-        weight = F.create_map(*[F.lit(x) for w, _, v in weighted for x in (w.lower(), float(v))])
+        weight = F.from_json(F.lit(json.dumps({w.lower(): v for w, _, v in weighted})), "map<string,double>")
         pattern = rf"{NOCASE}\b(?:{'|'.join(quoted(w) for w, _, _ in weighted)})\b"
         doc = W.partitionBy("doc_id")
-        hits = scan(ctx, [("masked", pattern)]).withColumns({"base": F.element_at(base, F.lower("match")), "weight": F.element_at(weight, F.lower("match")), "words": F.greatest("words", F.lit(1))})
+        hits = scan(ctx, [("masked", pattern)], [F.arrays_overlap(c("vocab"), F.array(*[F.lit(w.lower()) for w, _, _ in weighted]))]).withColumns({"base": F.element_at(base, F.lower("match")), "weight": F.element_at(weight, F.lower("match")), "words": F.greatest("words", F.lit(1))})
         hits = hits.withColumns({"kinds": F.size(F.collect_set("base").over(doc)), "mass": F.sum("weight").over(doc) * 1000 / c("words"), "rate": c("n") * 1000 / c("words")}).where("kinds >= 2 or n >= 2 and rate >= 4")
         add(hits, "overused-word", "ai-slop", F.when((c("kinds") >= 3) | (c("mass") >= 20), F.lit("warn")).otherwise(F.lit("advisory")), c("offset"), raw("match"), c("match"), F.format_string("AI-overused word cluster — %.1f/1k, weighted %.1f", "rate", "mass"))
     # Lists.
@@ -142,16 +155,16 @@ def structural_findings(ctx: DataFrame, style: str = "microsoft", overrides: dic
     first = caps.groupBy("doc_id", "tok").agg(F.min_by(F.struct("offset", "match"), "offset").alias("f"))
     first = first.join(ctx.select("doc_id", F.regexp_extract_all("masked", F.lit(r"([A-Z]{3,5})\)"), F.lit(1)).alias("defined")), "doc_id").where("not array_contains(defined, tok)")
     add(first, "undefined-acronym", "clarity", "advisory", c("f.offset"), raw("f.match"), c("f.match"), "undefined acronym — spell it out on first use")
-    # Acronyms also written small: the upper tokens meet the lower ones of the same document.
-    pair = scan(ctx, [("masked", r"(?dU)\b[A-Z]{2,5}\b"), ("masked", r"(?dU)\b[a-z]{2,5}\b")])
-    upper = pair.where("k = 0").select("doc_id", F.lower("match").alias("low"), "match").distinct().where(~c("low").isin(*R.CASELESS_ACRONYMS.split()))
-    small = pair.where("k = 1").groupBy("doc_id", F.col("match").alias("low")).agg(F.min("offset").alias("offset"))
-    both = upper.join(small, ["doc_id", "low"])
+    # Acronyms also written small: each is looked for as a word in the text with all else blanked, character for character.
+    upper = ctx.select("doc_id", "masked", F.explode(F.array_distinct(F.regexp_extract_all("masked", F.lit(r"\b[A-Z]{2,5}\b"), F.lit(0)))).alias("match")).withColumn("low", F.lower("match")).where(~c("low").isin(*R.CASELESS_ACRONYMS.split()))
+    small = upper.withColumn("at", F.expr("instr(concat(' ', regexp_replace(masked, '(?U)\\\\W', ' '), ' '), concat(' ', low, ' '))")).where("at > 0")
+    both = small.withColumn("offset", raw(F.expr("left(masked, at - 1)")))
     add(both, "acronym-case", "style", "advisory", c("offset"), raw("low"), c("low"), F.concat(F.lit("inconsistent acronym case — use '"), c("match"), F.lit("'")))
     # Variants of a term: the second distinct one by first place.
     groups = [*entries_of("terminology-consistency", overrides), *glossary]
     if groups:
-        variants = scan(ctx, [("masked", rf"{NOCASE}(?<![A-Za-z0-9_])(?:{'|'.join(quoted(v) for v in sorted(g, key=lambda x: -len(x)))})(?![A-Za-z0-9_])") for g in groups])
+        firsts_of = lambda g: F.arrays_overlap(c("vocab"), F.array(*[F.lit(x) for x in dict.fromkeys(re.split("[^a-z0-9]+", v.lower())[0] for v in g)]))
+        variants = scan(ctx, [("masked", rf"{NOCASE}(?<![A-Za-z0-9_])(?:{'|'.join(quoted(v) for v in sorted(g, key=lambda x: -len(x)))})(?![A-Za-z0-9_])") for g in groups], [firsts_of(g) for g in groups])
         firsts = variants.groupBy("doc_id", "k", F.lower("match").alias("low")).agg(F.min_by(F.struct("offset", "match"), "offset").alias("f"))
         second = firsts.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "k").orderBy("f.offset"))).where("nth = 2")
         add(second, "terminology-consistency", "style", "advisory", c("f.offset"), raw("f.match"), c("f.match"), F.concat(F.lit("mixed terminology — choose one form, preferably '"), F.element_at(F.array(*[F.lit(g[0]) for g in groups]), c("k") + 1), F.lit("'")))
@@ -188,7 +201,7 @@ def structural_findings(ctx: DataFrame, style: str = "microsoft", overrides: dic
     if vague:
         add(links.where(~c("image") & F.lower(F.trim("text")).isin(*vague)), "vague-link-text", "inclusive", "warn", c("start"), c("length"), c("text"), "vague link text — describe the destination (WCAG)")
     add(links.where(c("image") & (F.trim("text") == "")), "missing-alt-text", "inclusive", "warn", c("start"), c("length"), c("target"), "image has empty alt text — describe it for screen readers")
-    urls = scan(ctx, [("masked", r"""(?dU)(?<![("'<=\]])https?://\S+""")]).join(ctx.select("doc_id", "refs"), "doc_id").where(~F.exists("refs", lambda r: (r["start"] <= c("offset")) & (c("offset") < r["start"] + r["length"])))
+    urls = scan(ctx, [("masked", r"""(?dU)(?<![("'<=\]])https?://\S+""")], [F.contains("masked", F.lit("://"))]).join(ctx.select("doc_id", "refs"), "doc_id").where(~F.exists("refs", lambda r: (r["start"] <= c("offset")) & (c("offset") < r["start"] + r["length"])))
     add(urls, "bare-url", "inclusive", "advisory", c("offset"), raw("match"), c("match"), "bare URL in prose — use descriptive link text")
     # Advisory legacy terms, unless a warning covers them or their surroundings explain them.
     soft = entries_of("tech-inclusive-advisory", overrides)
@@ -196,7 +209,7 @@ def structural_findings(ctx: DataFrame, style: str = "microsoft", overrides: dic
         near = r"(?diU)(?<!master's.{0,6}|scrum .{0,6}|native .{0,6}|primitive .{0,6})(?!master's|master class|native speaker|native to|primitive type)"
         table = {a.lower(): b for a, b in reversed(soft)}
         hard = keys_of("tech-inclusive", overrides)
-        both = scan(ctx, [("masked", near + phrases([a for a, _ in soft])), *([("masked", phrases(hard))] if hard else [])])
+        both = scan(ctx, [("masked", near + phrases([a for a, _ in soft])), *([("masked", phrases(hard))] if hard else [])], [F.arrays_overlap(c("vocab"), F.array(*map(F.lit, R._first_words([a for a, _ in soft])))), *([F.arrays_overlap(c("vocab"), F.array(*map(F.lit, R._first_words(hard))))] if hard else [])])
         weak, strong = both.where("k = 0"), both.where("k = 1").select(F.col("doc_id").alias("d"), F.col("offset").alias("o"), raw("match").alias("l"))
         weak = weak.join(strong, F.expr("doc_id = d and offset < o + l and o < offset + octet_length(match)"), "left_anti")
         add(weak, "tech-historical-terms", "inclusive", "advisory", c("offset"), raw("match"), c("match"), F.concat(F.lit("context-dependent legacy term — consider '"), F.element_at(_table(table), F.lower("match")), F.lit("'")))
