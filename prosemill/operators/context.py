@@ -68,17 +68,17 @@ def _ranges(text: str) -> list[tuple[int, int]]:
         at = end + 1
     if fence:
         out.append((fence[0], len(text)))
-    base = _blank(text, out, " ")
+    base = _blank(text, out, " ", by_byte=False)
     return out + [m.span() for p in _HOLES for m in p.finditer(base)]
 
 
-def _blank(text: str, ranges: list[tuple[int, int]], fill: str) -> str:
-    """Ranges replaced by ``fill``, a mark for each UTF-8 byte; line feeds stay, so line numbers and byte offsets do too."""
+def _blank(text: str, ranges: list[tuple[int, int]], fill: str, by_byte: bool = True) -> str:
+    """Ranges replaced by ``fill``, a mark for each UTF-8 byte (or each character); line feeds stay, so line numbers and byte offsets do too."""
     if not ranges:
         return text
     out, at = [], 0
     for a, b in _merged(ranges):
-        out += [text[at:a], "".join(c if c == "\n" else fill * len(c.encode("utf-8", "surrogatepass")) for c in text[a:b])]
+        out += [text[at:a], "".join(c if c == "\n" else fill * (len(c.encode("utf-8", "surrogatepass")) if by_byte else 1) for c in text[a:b])]
         at = b
     return "".join([*out, text[at:]])
 

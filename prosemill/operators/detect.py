@@ -18,7 +18,7 @@ from prosemill.functions.patterns import NOCASE, entries_of, keys_of, phrases, q
 from prosemill.functions.readability import with_grade
 from prosemill.operators import rules as R
 from prosemill.operators.context import with_context
-from prosemill.operators.storage import materialized
+from prosemill.operators.storage import materialized, spread
 
 FINDING = ["doc_id", "rule_id", "family", "severity", "offset", "length", "span", "message"]
 STRUCTURAL = {
@@ -39,28 +39,30 @@ def scan(ctx: DataFrame, patterns: list[tuple[str, str]], possible: list[Column]
     if not patterns:
         return ctx.sparkSession.createDataFrame([], "doc_id long, words int, k int, i int, offset int, match string, n long")
 
-    def both(on: str, pattern: str, function) -> Column:
+    def ascii_only(pattern: str) -> str:
+        return re.sub(r"^\(\?([a-zU]+)\)", lambda m: f"(?{m[1].replace('U', '')})", pattern) if pattern.isascii() else pattern
+
+    def hits_of(on: str, pattern: str) -> Column:
         """On ASCII texts the ASCII classes mean the same, and the JVM finds them several times faster."""
-        plain = re.sub(r"^\(\?([a-zU]+)\)", lambda m: f"(?{m[1].replace('U', '')})", pattern)
-        wide = function(F.col(on), pattern)
-        return wide if plain == pattern or not pattern.isascii() else F.when(F.col("plain"), function(F.col(on), plain)).otherwise(wide)
+        wide = F.regexp_extract_all(F.col(on), F.lit(pattern), F.lit(0))
+        plain = ascii_only(pattern)
+        return wide if plain == pattern else F.when(F.col("plain"), F.regexp_extract_all(F.col(on), F.lit(plain), F.lit(0))).otherwise(wide)
 
     columns = sorted({on for on, _ in patterns})
     ctx = ctx.withColumn("plain", F.length("masked") == F.octet_length("masked"))
     parts = []
     for k, (on, pattern) in enumerate(patterns):
-        hits = F.struct(F.lit(k).alias("k"), both(on, pattern, lambda c, p: F.regexp_extract_all(c, F.lit(p), F.lit(0))).alias("hits"))
+        hits = F.struct(F.lit(k).alias("k"), hits_of(on, pattern).alias("hits"))
         parts.append(F.when(possible[k], hits) if possible else hits)
     # Texts that can't have a match aren't searched, and only those that have one are split.
     # The array stands inside the generator: as a column of its own, filters inferred from it would compute it again.
     found = ctx.select("doc_id", "words", "plain", *columns, F.explode(F.filter(F.array_compact(F.array(*parts)), lambda p: F.size(p["hits"]) > 0)).alias("p"))
-    gaps = F.lit(None).cast("array<string>")
-    for group in range(0, len(patterns), 16):
-        # Nested by sixteens, so that a row tests a few places rather than all.
-        inner = F.lit(None).cast("array<string>")
-        for k in range(min(group + 16, len(patterns)) - 1, group - 1, -1):
-            inner = F.when(F.col("p.k") == k, both(*patterns[k], lambda c, p: F.split(c, p, -1))).otherwise(inner)
-        gaps = F.when(F.col("p.k").between(group, group + 15), inner).otherwise(gaps)
+    # The pattern of a split is looked up by the rule's place: it is compiled for each text anyway, and the plan stays small.
+    said = F.from_json(F.lit(json.dumps([[on, ascii_only(pattern), pattern] for on, pattern in patterns])), "array<array<string>>")
+    mine = F.element_at(said, F.col("p.k") + 1)
+    pattern = F.when(F.col("plain"), mine[1]).otherwise(mine[2])
+    text = reduce(lambda rest, name: F.when(mine[0] == name, F.col(name)).otherwise(rest), columns[1:], F.col(columns[0]))
+    gaps = F.split(text, pattern, -1)
     rows = found.select("doc_id", "words", "p.k", F.size("p.hits").cast("long").alias("n"), F.posexplode(F.arrays_zip(F.col("p.hits").alias("match"), F.transform(gaps, lambda x: F.octet_length(x)).alias("gap"))).alias("i", "z"))
     rows = rows.where("z.match is not null").select("doc_id", "words", "k", "n", "i", "z.match", "z.gap")
     by = W.partitionBy("doc_id", "k").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
@@ -236,7 +238,7 @@ def detect(docs: DataFrame, style: str = "microsoft", ignore: tuple[str, ...] =
     ``only`` restricts the plan to some rules; rules that don't run never reach it. The context is written once to the shared folder and read by column. ``doc_id`` names a document:
     ids are to be unique. A null text has no findings.
     """
-    ctx = context if context is not None else materialized(with_context(docs.select("doc_id", "text")))
+    ctx = context if context is not None else materialized(with_context(spread(docs.select("doc_id", "text"))))
     wanted = lambda rule: rule not in ignore and (only is None or rule in only)
     parts = []
     chosen = [r for r in R.selected(style, ignore, overrides) if wanted(r.id)]

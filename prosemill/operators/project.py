@@ -226,10 +226,9 @@ def symbol_span(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def glob_regex(glob: Column) -> Column:
     """A glob as a regular expression: ``*`` and ``**`` cross folders, ``?`` is one character, ``{a,b}`` and ``[ab]`` are choices."""
-    out = F.regexp_replace(glob, r"([.+^$()|\\])", r"\\$1")
-    out = F.regexp_replace(out, r"\*\*/", "\u0001")
-    out = F.regexp_replace(out, r"\*+", ".*")
-    out = F.regexp_replace(F.replace(out, F.lit("\u0001"), F.lit("(?:.*/)?")), r"\?(?!:|\))", ".")
+    out = F.regexp_replace(F.regexp_replace(glob, r"([.+^$()|\\])", r"\\$1"), r"\?", ".")
+    out = F.regexp_replace(F.regexp_replace(out, r"\*\*/", "\u0001"), r"\*+", ".*")
+    out = F.replace(out, F.lit("\u0001"), F.lit("(?:.*/)?"))
     out = F.regexp_replace(F.regexp_replace(out, r"\{", "(?:"), r"\}", ")")
     return F.concat(F.lit("^(?:"), F.regexp_replace(out, ",", "|"), F.lit(")$"))
 

@@ -18,3 +18,12 @@ def materialized(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/prose-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: a small table in one row group would keep all but one idle.
+
+    Large inputs have more partitions than that and are left as they are, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores)

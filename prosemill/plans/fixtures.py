@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from prosemill.operators.storage import spread
+
 TEXTS: list[str] = [
     "We utilize the tool in order to facilitate commencement. It is a robust, seamless and pivotal realm. They delve into the tapestry.",
     "Studies show that this works. Experts say so too. I hope this helps! Certainly! As an AI language model, I cannot say.",
@@ -27,7 +29,7 @@ def fixtures(spark: SparkSession) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixtures and all documents (doc_id, text)."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(fixtures(spark))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(fixtures(spark)))
 
 
 def corpus_sql() -> str:

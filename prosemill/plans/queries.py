@@ -12,7 +12,7 @@ from prosemill.functions.patterns import keys_of
 from prosemill.functions.readability import with_grade
 from prosemill.operators import filters, project, score
 from prosemill.operators.context import with_context
-from prosemill.operators.detect import detect, shown
+from prosemill.operators.detect import STRUCTURAL, detect
 from prosemill.operators.narrative import narrative
 from prosemill.operators.rules import PACKS, Rule, selected
 from prosemill.operators.storage import materialized
@@ -73,11 +73,17 @@ def _plain(style: str, group: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+#: Structural rules of the packs; the others belong to a family.
+PACK_STRUCTURAL = {"microsoft": ("no-numeral-sentence-start", "microsoft-heading-acronyms", "microsoft-heading-colons"), "google": ("no-gerund-heading", "no-link-in-heading"), "plain": ("plain-long-sentence", "reading-grade")}
+
+
 def _group(style: str, group: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = detect(corpus(spark, sf_dir), style)
-        ids = [r.id for r in family_of(style)[group]]
-        return found.where(F.col("family") == group if group not in PACKS else F.col("rule_id").isin(*ids)).select(*COLUMNS)
+        ids = {r.id for r in family_of(style)[group]}
+        if group in PACKS:
+            return detect(corpus(spark, sf_dir), style, only=tuple(ids | set(PACK_STRUCTURAL.get(group, ())))).select(*COLUMNS)
+        common = STRUCTURAL - {r for rs in PACK_STRUCTURAL.values() for r in rs}
+        return detect(corpus(spark, sf_dir), style, only=tuple(ids | common)).where(F.col("family") == group).select(*COLUMNS)
 
     return run
 
