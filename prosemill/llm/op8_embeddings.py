@@ -1,4 +1,4 @@
-"""Embedding near-duplicates by sorted projection passes: vectors in the order of random hashes meet their neighbours in blocks."""
+"""Embedding near-duplicates: all pairs of a label or, where it is large, all pairs that share a code of random projections in some pass."""
 
 from __future__ import annotations
 
@@ -9,17 +9,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import components, materialize, partitions, shared_dir, table
+from prosemill.llm.common import components, materialize, partitions, table
 
 THRESHOLD = 0.93
-PASSES = 12  #: sort orders, each by its own random projections
-BITS = 32  #: signs of projections that a sort key concatenates
-BLOCK = 512  #: vectors in a block; each is compared with its own block and the next, so with 512 neighbours after it at least
+MISS = 1e-6  #: probability at most that no pass brings a pair at the threshold together
+BLOCK = 1024  #: vectors compared at once with as many others; a bucket of more is all pairs of its blocks
+BITS_MOST = 32  #: signs in a code
+SHIP, COMPARE = 10.0, 0.03  #: microseconds that a vector costs in a pass, and a pair in a bucket
+TOGETHER = 8  #: passes in one job
 SEED = 7
 
 
-def planes(dim: int, number: int) -> np.ndarray:
-    return np.random.default_rng([SEED, number, dim]).standard_normal((BITS, dim))
+def planes(dim: int, bits: int, passes: int) -> np.ndarray:
+    """Projections of all passes, ``bits`` rows each."""
+    return np.random.default_rng([SEED, bits, dim]).standard_normal((passes * bits, dim))
+
+
+def plan(n: int, threshold: float, passes: int = 1) -> tuple[int, int]:
+    """Signs in a code and passes for ``n`` vectors of a label, at least cost for the miss probability; without signs all pairs meet."""
+    agree = 1 - np.arccos(np.clip(threshold, -1, 1 - 1e-9)) / np.pi
+    options = [(SHIP + n * COMPARE, 0, 1)]
+    for bits in range(1, BITS_MOST + 1):
+        if (both := agree**bits) > 1e-9:
+            need = max(passes, int(np.ceil(np.log(MISS) / np.log1p(-both))))
+            options.append((need * (SHIP + n / 2**bits * COMPARE), bits, need))
+    return min(options)[1:]
 
 
 def unit(values: list | None) -> np.ndarray | None:
@@ -36,14 +50,17 @@ def unit(values: list | None) -> np.ndarray | None:
     return x / np.sqrt(x @ x)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = 1, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """One row (vec_id, n_links, component_id, kept) per vector: links are pairs of the same label with cosine >= threshold.
 
     1. Equal vectors of a label are one class, by a hash of their components, and meet no pass; their links are counted.
-    2. A pass hashes each class by the signs of random projections and sorts by label and hash. The order is cut into blocks of
-       ``BLOCK``, numbered over all partitions from counts (one a partition); a task holds a block and the next and compares each
-       vector with all others of both. No key is gathered: a label with a third of all rows is many blocks.
-    3. Pairs found in any pass, each confirmed by its cosine, are made distinct and united.
+    2. From the counted size of a label, ``plan`` takes the signs in a code and the passes that leave a pair at the threshold
+       unmet with probability ``MISS`` at most, by Gaussian projections; ``passes`` is a least number. A label of some 16,000 vectors
+       or fewer has one bucket, and no pair is missed.
+    3. Vectors of a label that share a code in a pass are a bucket. Its vectors are dealt to blocks of about ``BLOCK``, and each
+       pair of blocks is compared in full, so a dense group loses no pair and no key is gathered.
+    4. A pair counts in the first pass that brings it together. A pair of blocks returns a number of links a vector and a spanning
+       forest, not its pairs; the forests are united.
 
     Vectors that are null, zero or hold null or non-finite components, and those with a null label, link with nothing. Rows
     that repeat an id are joined to its first vector by value. Vectors of different lengths never link. Other columns are ignored.
@@ -60,95 +77,110 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int =
     live = ready.where("unit is not null and label is not null and vec_id is not null").groupBy("vec_id").agg(F.min_by(F.struct("label", "unit"), F.struct("label", "unit")).alias("v")).select("vec_id", "v.*")
     classes = materialize(live.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     members = materialize(live.join(classes, ["label", "unit"]).select("vec_id", "rep"))
-    found = None
-    for number in range(passes):
-        pairs = _pass(classes, number, threshold)
-        found = pairs if found is None else found.unionAll(pairs)
-    found = materialize(found.distinct())
-    both = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    found = _found(classes, threshold, passes)
     sizes = classes.select("rep", "n")
-    linked = both.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
-    united = components(found).select(F.col("node").alias("rep"), "component")
+    linked = found.where("linked > 0").groupBy("rep").agg(F.sum("linked").alias("linked"))
+    united = components(found.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
     by_class = sizes.join(linked, "rep", "left").join(united, "rep", "left").select("rep", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = ready.select("vec_id").join(members.join(by_class, "rep"), "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
-def _pass(classes: DataFrame, number: int, threshold: float) -> DataFrame:
-    """Linked pairs (a < b) that one sort order brings near each other."""
+def _found(classes: DataFrame, threshold: float, passes: int) -> DataFrame:
+    """Rows (rep, linked, root): links to add to a class, counted in vectors, and a class that it is united with."""
     spark = classes.sparkSession
-    path = shared_dir(spark)
     n = partitions(spark)
+    # The plan of every size below a power of two.
+    plans = [plan(2**i, threshold, passes) for i in range(64)]
+    at = F.length(F.bin("size"))
+    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in plans]), at + 1)
+    width = F.octet_length("unit")
+    sizes = classes.groupBy("label", width.alias("width")).agg(F.count("*").alias("size"))
+    sized = classes.withColumn("width", width).join(sizes, ["label", "width"]).select("rep", "n", "label", "width", "unit", pick(0).alias("bits"), pick(1).alias("passes"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        known: dict[tuple[int, int, int], np.ndarray] = {}
         for batch in batches:
-            keys = []
-            for raw in batch.column("unit").to_pylist():
+            codes = []
+            for raw, bits, number in zip(*(batch.column(c).to_pylist() for c in ("unit", "bits", "passes"))):
                 x = np.frombuffer(raw, np.float64)
-                if len(x) not in known:
-                    known[len(x)] = planes(len(x), number)
-                keys.append(np.packbits(known[len(x)] @ x > 0).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "code"])
-
-    coded = classes.select("rep", "label", "unit").mapInArrow(hashed, "rep long, label string, unit binary, code binary")
-    order = [F.col("label"), F.octet_length("unit"), F.col("code"), F.col("rep")]
-    ranged = coded.repartitionByRange(n, *order).sortWithinPartitions(*order).select("rep", "label", "unit", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    written = materialize(ranged, path)
-    # One row a partition comes to the driver.
-    counts = sorted((r["part"], r["n"], r["first"]) for r in written.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first")).collect())
-    starts, total = {}, 0
-    for part, count, first in counts:
-        starts[part] = total - first
-        total += count
-    if not starts:
-        return spark.createDataFrame([], "a long, b long")
-    shift = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("part"))
-    block = F.floor((F.col("at") + shift) / BLOCK).cast("long")
-    # Each block also stands behind the one before it.
-    placed = written.select("rep", "label", "unit", F.explode(F.array(F.struct(block.alias("unit_of"), F.lit(0).alias("side")), F.struct((block - 1).alias("unit_of"), F.lit(1).alias("side")))).alias("p"))
-    work = placed.where("p.unit_of >= 0").select("p.unit_of", "p.side", "rep", "label", "unit").repartition(n, "unit_of").sortWithinPartitions("unit_of", "side")
+                if not bits:
+                    codes.append(b"")
+                    continue
+                if (key := (len(x), bits, number)) not in known:
+                    known[key] = planes(*key)
+                signs = (known[key] @ x > 0).reshape(number, bits)
+                codes.append((signs @ (1 << np.arange(bits, dtype=np.int64))).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary())], [*batch.schema.names, "codes"])
+
+    coded = materialize(sized.mapInArrow(hashed, "rep long, n long, label string, width int, unit binary, bits int, passes int, codes binary"))
+    most = coded.agg(F.max("passes")).first()[0] or 0
+    bucket = ["label", "width", "pass", "code"]
+    work = ["label", "width", "pass", "code", "low", "high"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            pairs = _linked(rows, threshold)
-            for i in range(0, len(pairs), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 50_000, 0]), pa.array(pairs[i : i + 50_000, 1])], ["a", "b"])
-
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != now:
-                    yield from done()
-                    now, rows = row[0], []
-                rows.append(row)
-        yield from done()
-
-    return materialize(work.mapInArrow(compare, "a long, b long"))
-
-
-def _linked(rows: list[tuple], threshold: float) -> np.ndarray:
-    """Pairs of ids, smaller first: within the unit's own block and between it and the next, where label and length agree."""
-    out = [np.empty((0, 2), np.int64)]
-    groups: dict[tuple[str, int], list[tuple[int, int, bytes]]] = {}
-    for _, side, rep, label, raw in rows:
-        groups.setdefault((label, len(raw)), []).append((side, rep, raw))
-    for group in groups.values():
-        side, ids = np.array([g[0] for g in group]), np.array([g[1] for g in group], np.int64)
-        own = np.nonzero(side == 0)[0]
-        if not len(own):
-            continue
-        x = np.frombuffer(b"".join(g[2] for g in group), np.float64).reshape(len(group), -1)
-        i, j = np.nonzero(x[own] @ x.T >= threshold - 1e-9)
-        i = own[i]
-        once = (i < j) | (side[j] == 1)
-        i, j = i[once], j[once]
-        # The last bits of a product of matrices depend on their shapes; a sum by rows gives a pair the same cosine anywhere.
-        sure = (x[i] * x[j]).sum(1) >= threshold
-        out.append(np.sort(np.stack([ids[i[sure]], ids[j[sure]]], 1), 1))
-    return np.concatenate(out)
+                if row[:6] != now:
+                    yield from _linked(rows, threshold)
+                    now, rows = row[:6], []
+                rows.append(row[6:])
+        yield from _linked(rows, threshold)
+
+    out = None
+    for first in range(0, most, TOGETHER):
+        numbers = F.sequence(F.lit(first), F.least(F.col("passes"), F.lit(first + TOGETHER)) - 1)
+        rows = coded.where(F.col("passes") > first).withColumn("pass", F.explode(numbers)).withColumns({"code": F.expr("substring(codes, 4 * pass + 1, 4)"), "before": F.expr("substring(codes, 1, if(bits = 0, 0, 4 * pass))")})
+        # Only buckets of more than a block are looked up.
+        blocks = rows.groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
+        dealt = rows.join(blocks, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        pairs = dealt.withColumn("other", other).select("label", "width", "pass", "code", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).alias("side"), "rep", "n", "unit", "before")
+        done = materialize(pairs.repartition(n, *work).sortWithinPartitions(*work).mapInArrow(compare, "rep long, linked long, root long"))
+        out = done if out is None else out.unionAll(done)
+    return spark.createDataFrame([], "rep long, linked long, root long") if out is None else out
+
+
+def _linked(rows: list[tuple], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links and forest of a block (no row on the other side) or between two, without pairs that an earlier pass brought together."""
+    if len(rows) < 2:
+        return
+    side, ids, count = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+    x = np.frombuffer(b"".join(r[3] for r in rows), np.float64).reshape(len(rows), -1)
+    before = np.frombuffer(b"".join(r[4] for r in rows), "<u4").reshape(len(rows), -1)
+    linked, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
+    across = bool(side.any())
+    own = np.nonzero(~side)[0]
+    others = np.nonzero(side)[0] if across else own
+    for lo in range(0, len(own), BLOCK):
+        mine = own[lo : lo + BLOCK]
+        for to in range(0, len(others), BLOCK):
+            theirs = others[to : to + BLOCK]
+            i, j = np.nonzero(x[mine] @ x[theirs].T >= threshold - 1e-9)
+            i, j = mine[i], theirs[j]
+            if not across:
+                once = i < j
+                i, j = i[once], j[once]
+            for k in range(before.shape[1]):
+                new = before[i, k] != before[j, k]
+                i, j = i[new], j[new]
+            # The last bits of a product of matrices depend on their shapes; a sum by rows gives a pair the same cosine anywhere.
+            sure = np.concatenate([np.empty(0, bool), *[(x[i[k : k + 65536]] * x[j[k : k + 65536]]).sum(1) >= threshold for k in range(0, len(i), 65536)]])
+            i, j = i[sure], j[sure]
+            np.add.at(linked, i, count[j])
+            np.add.at(linked, j, count[i])
+            while len(i):
+                a, b = root[i], root[j]
+                apart = a != b
+                i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+                root[np.maximum(a, b)] = np.minimum(a, b)
+                while (root != (up := root[root])).any():
+                    root = up
+    some = linked > 0
+    if some.any():
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(linked[some]), pa.array(ids[root[some]])], ["rep", "linked", "root"])
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

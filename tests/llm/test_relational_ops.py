@@ -8,6 +8,7 @@ import corpus_pipeline
 from prosemill.llm.common import components
 from prosemill.llm.op6_url_lists import judge
 from prosemill.llm.op7_minhash import band_keys, jaccard_at_least, near_duplicates, shingle_set, signature
+from prosemill.llm import op8_embeddings
 from prosemill.llm.op8_embeddings import near_vectors
 from prosemill.llm.op10_chat import format_conversations, read_turns, render
 from tests.llm.conftest import SF
@@ -109,6 +110,35 @@ def test_vectors_against_all_pairs(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int"), passes=2).count() == 0
 
 
+def test_dense_group_keeps_every_link(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(64)
+    x = base / np.linalg.norm(base) + rng.standard_normal((5000, 64)) * 0.02
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert (x @ x.T).min() > 0.93
+    rows = near_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.n_links, r.component_id) for r in rows} == {(4999, 0)} and len(rows) == 5000
+
+
+def test_coded_passes_find_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(op8_embeddings, "COMPARE", 3.0)
+    monkeypatch.setattr(op8_embeddings, "BLOCK", 64)
+    assert op8_embeddings.plan(1024, 0.93)[0] > 1
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((1, 32)) + rng.standard_normal((k, 32)) * 0.2 for k in rng.integers(1, 60, 30)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.93
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    assert near.sum() > 2 * len(x) and [got[i] for i in range(len(x))] == (near.sum(1) - 1).tolist()
+
+
+@pytest.mark.parametrize("n", [10**3, 10**5, 10**7, 10**9])
+def test_passes_follow_the_size(n):
+    bits, passes = op8_embeddings.plan(n, 0.93)
+    agree = 1 - np.arccos(0.93) / np.pi
+    assert (1 - agree**bits) ** passes <= 1e-6 and (n > 10**3) == (bits > 0)
+
+
 def test_url_lists_as_of(spark):
     caps = [(1, "http://a.x.org/p", 9), (2, "http://a.x.org/p", 10), (3, "https://u@A.x.ORG:80", 20), (4, "http://b.x.org", 15), (5, None, 15), (6, "nonsense", 15), (7, "http://a.x.org/p", None), (8, "http://x.org./", 10), (8, "http://x.org./", 10)]
     entries = [("x.org", 10, "block"), ("a.x.org", 20, "allow"), ("a.x.org", 20, "allow"), ("x.org", 30, "allow"), (None, 1, "block"), ("x.org", None, "block")]
