@@ -10,7 +10,7 @@ from prosemill.llm.op6_url_lists import judge
 from prosemill.llm.op7_minhash import band_keys, jaccard_at_least, near_duplicates, shingle_set, signature
 from prosemill.llm import op8_embeddings
 from prosemill.llm.op8_embeddings import near_vectors
-from prosemill.llm.op10_chat import format_conversations, read_turns, render
+from prosemill.llm.op10_chat import digests, format_conversations, read_turns, render
 from tests.llm.conftest import SF
 from tests.oracle import compare
 
@@ -164,6 +164,19 @@ def test_chat_examples(spark):
     assert format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).examples.count() == 0
 
 
+def test_chat_examples_are_written_and_checked(spark, tmp_path):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} <|x") for i in range(6)] + [(2, 0, "user", "alone"), (None, 0, "assistant", "é")]
+    made = format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), str(tmp_path))
+    turns = {(r.conv_id, r.pos): r.formatted for r in made.turns.collect()}
+    files = spark.read.parquet(f"{tmp_path}/examples")
+    got = {(r.conv_id, r.target): (r.context, (r.context + r.formatted)[r.mask.start : r.mask.end]) for r in files.collect()}
+    assert got == {(1, k): ("".join(turns[1, i] for i in range(1, k)), f"turn {k - 1} <||x") for k in (2, 4, 6)} | {(None, 1): ("", "é")}
+    assert {r.conv_id: r.loss_chars for r in digests(made).collect()} == {1: 30, 2: 0, None: 1}
+    for wrong in (files.where("target <> 4"), files.withColumn("context", files.formatted)):
+        with pytest.raises(Exception, match="wrong examples"):
+            digests(made._replace(examples=wrong)).collect()
+
+
 def test_pipeline_stages(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, kept = docs.columns, docs.count()
