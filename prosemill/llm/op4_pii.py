@@ -24,9 +24,20 @@ _IP = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w)")
 _CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _PHONE = re.compile(r"(?<![\w.-])(?:\+\d{1,3}[ .-]?|1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])")
-_DATE = re.compile(r"(?<![\w./-])(?:(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4}))(?![\w/-])")
+_DATE = re.compile(r"(?<![\w./-])(?:(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4}))(?!(?![Tt]\d)[\w/-])")
+_WHOLE = re.compile(r"(?s:.*)")
 _NEEDS = re.compile(r"[0-9@]")
 
+#: Lengths of IBANs by country, from the registry.
+_IBAN_LENGTHS = {
+    c: n
+    for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in names.split()
+}
+
 
 def feistel(value: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of 0 .. size - 1: a balanced Feistel network over the next even number of bits, walked until it is back in range."""
@@ -153,6 +164,25 @@ def _date(m: re.Match, key: bytes) -> str | None:
     return None
 
 
+def _card_spans(m: re.Match) -> list[tuple[int, int]]:
+    """The whole match, then what is left of 13 digits at least between groups, the longest first."""
+    gaps = [at for at in range(m.start(), m.end()) if m.string[at] in " -"]
+    digits = lambda a, b: b - a - sum(a <= g < b for g in gaps)
+    spans = [(a, b) for a in [m.start(), *[g + 1 for g in gaps]] for b in [*gaps, m.end()] if b - a >= 13 and digits(a, b) >= 13]
+    return sorted(spans, key=lambda s: (-digits(*s), s))
+
+
+def _iban_spans(m: re.Match) -> list[tuple[int, int]]:
+    """The country's length if a group ends there, then the whole match; of an unknown country, all ends of groups, the last first."""
+    ends = [m.end(), *[at for at in range(m.end() - 1, m.start(), -1) if m.string[at] == " "]]
+    if (n := _IBAN_LENGTHS.get(m[0][:2])) is not None:
+        ends = [at for at in ends if len(m.string[m.start() : at].replace(" ", "")) == n] + ends[:1]
+    return [(m.start(), at) for at in ends]
+
+
+#: What may be the value inside a match of a kind, in the order of trial; of other kinds only the match itself is tried.
+SPANS: dict[str, Callable[[re.Match], list[tuple[int, int]]]] = {"iban": _iban_spans, "card": _card_spans}
+
 #: In order of precedence: a later kind leaves alone what an earlier one has taken.
 KINDS: list[tuple[str, re.Pattern, Callable[[re.Match, bytes], str | None]]] = [
     ("email", _EMAIL, _email), ("iban", _IBAN, _iban), ("ip", _IP, _ip), ("card", _CARD, _card), ("ssn", _SSN, _ssn), ("phone", _PHONE, _phone), ("date", _DATE, _date),
@@ -168,13 +198,19 @@ def pseudonymized(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]
     for kind, pattern, new in KINDS:
         if kind == "email" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
-            if covered and any(covered[m.start() : m.end()]):
-                continue
-            if (value := new(m, key)) is not None:
-                covered = covered or bytearray(len(text))
-                covered[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-                taken.append((m.start(), m.end(), kind, value))
+        at = 0
+        while m := pattern.search(text, at):
+            # A value may begin later in a match of which none is taken.
+            at = m.start() + 1
+            for start, end in SPANS[kind](m) if kind in SPANS else [m.span()]:
+                if covered and any(covered[start:end]):
+                    continue
+                if (value := new(m if (start, end) == m.span() else _WHOLE.fullmatch(text, start, end), key)) is not None:
+                    covered = covered or bytearray(len(text))
+                    covered[start:end] = b"\1" * (end - start)
+                    taken.append((start, end, kind, value))
+                    at = end
+                    break
     taken.sort()
     out, at = [], 0
     for a, b, _, value in taken:

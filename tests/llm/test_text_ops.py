@@ -90,6 +90,19 @@ def test_pii_leaves_what_does_not_validate():
     assert pii.pseudonymized(text, b"k") == (text, [])
 
 
+@pytest.mark.parametrize("text,value", [
+    ("IBAN DE89 3704 0044 0532 0130 00 BIC: COBADEFFXXX", "DE89 3704 0044 0532 0130 00"), ("DE89370400440532013000 BIC", "DE89370400440532013000"),
+    ("4111 1111 1111 1111 12/27", "4111 1111 1111 1111"), ("4111 1111 1111 1111 123", "4111 1111 1111 1111"), ("No 7 4539 1488 0343 6467.", "4539 1488 0343 6467"),
+    ("at 1984-03-05T00:00:00Z", "1984-03-05"), ("at 1984-03-05t10:20", "1984-03-05"),
+])
+def test_pii_inside_a_longer_match(text, value):
+    new, spans = pii.pseudonymized(text, b"key")
+    at = text.index(value)
+    assert [s[1:] for s in spans] == [(at, at + len(value))] and value not in new
+    assert new[:at] == text[:at] and new[at + len(value) :] == text[at + len(value) :]
+    assert pii.pseudonymized("1984-03-05Tx and 1984-03-05-", b"key")[1] == []
+
+
 def test_pii_rows(spark, odd, empty):
     out = pii.pseudonymize(odd)
     assert out.columns == [*odd.columns, "pii_spans"] and out.count() == 11 and out.where("text is null").count() == 1
