@@ -28,6 +28,9 @@ _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+_ESCAPED = re.compile(r"(?:\\+r)?\\+n|\\+r")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{32,}+={0,2}[ \t]*[\r\n]+[ \t]*)++(?:[A-Za-z0-9+/_-]++={0,2})?")
 _LONG = 32  #: hex, Base64 and tokens have a run of so many characters without a blank
 
 
@@ -134,31 +137,87 @@ def _has_long(text: str) -> bool:
     return max(map(len, text.split()), default=0) >= _LONG
 
 
-def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
+def _unescaped(text: str) -> str:
+    """Line breaks for the literal ``\\n`` and ``\\r`` of JSON and shell strings, at the same length."""
+    return _ESCAPED.sub(lambda m: " " * (len(m[0]) - 1) + "\n", text) if "\\" in text else text
+
+
+def _kind(data: bytes | None, depth: int) -> str | None:
+    """What decoded bytes are, if a key: DER, an OpenSSH key, or text with a confirmed PEM, which may be encoded once more."""
+    if not data:
+        return None
+    if data[0] == 0x30 and is_private_der(data):
+        return "der"
+    if is_openssh(data):
+        return "ssh"
+    if depth < 2 and any(k == "pem" for k, _, _ in confirmed_spans(data.decode("latin-1"), depth + 1)):
+        return "pem"
+    return None
+
+
+def _wrapped(text: str, depth: int) -> Iterator[tuple[str, int, int]]:
+    """Keys in Base64 over several lines: DER ends where its length says, others where the width of the lines changes."""
+    for m in _WRAPPED.finditer(text):
+        lines = [(m.start() + x.start(), m.start() + x.end(), x[0]) for x in _RUN.finditer(m[0])]
+        upto = [0]
+        for _, _, line in lines:
+            upto.append(upto[-1] + len(line.rstrip("=")))
+        last, where = list(range(len(lines))), {n: i for i, n in enumerate(upto)}
+        for i in range(len(lines) - 2, -1, -1):
+            if len(lines[i][2]) == len(lines[i + 1][2]) and "=" not in lines[i][2]:
+                last[i] = last[i + 1]
+        joined = lambda a, b: decoded("".join(x[2] for x in lines[a:b]))
+        done = 0  # lines before it are searched for text, or taken
+        for i in range(len(lines) - 1):
+            line, end = lines[i][2], None
+            if line[0] == "M" and i >= done:
+                head = decoded(line[:8]) or b""
+                k = head[1] & 0x7F if head[1] & 0x80 else 0
+                total = 2 + k + int.from_bytes(head[2 : 2 + k], "big") if k else 2 + head[1]
+                end = where.get(upto[i] + total // 3 * 4 + (0, 2, 3)[total % 3])
+                if end is not None and end > i + 1 and (kind := _kind(joined(i, end), depth)):
+                    yield kind, lines[i][0], lines[end - 1][1]
+                    done = end
+                    continue
+            if i < done or "=" in line:
+                continue
+            to = last[i + 1] + 1
+            short = to < len(lines) and len(lines[to][2]) < len(lines[to - 1][2]) and "=" not in lines[to - 1][2]
+            for end in (to + 1, to) if short else (to,):
+                if kind := _kind(joined(i, end), depth):
+                    yield kind, lines[i][0], lines[end - 1][1]
+                    break
+            else:
+                # Text is searched once a block, an OpenSSH key may begin at any line.
+                done = next((j for j in range(i + 1, to) if lines[j][2][0] == "M" or lines[j][2].startswith(("b3BlbnNzaC1rZXktdjEA", "LS0tLS1CRUdJTi"))), to)
+                continue
+            done = end
+
+
+def confirmed_spans(text: str, depth: int = 0) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
+    text = _unescaped(text)
     if "-----BEGIN" in text:
         for m in _BEGIN.finditer(text):
             end = text.find(stop := f"-----END {m[1]}-----", m.end())
             if end < 0:
                 continue
             # Headers of old encrypted keys end with an empty line.
-            body = text[m.end() : end]
-            key = decoded("".join(body.rsplit("\n\n", 1)[-1].split()))
+            body = text[m.end() : end].replace("\r\n", "\n").replace("\\/", "/")
+            key = decoded("".join(re.split(r"\n[ \t]*\n", body.rstrip())[-1].split()))
             if key and (is_private_der(key) or is_openssh(key) or "Proc-Type:" in body and len(key) % 8 == 0):
                 out.append(("pem", m.start(), end + len(stop)))
     if _has_long(text):
         out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
+        pems = [x for x in out if x[0] == "pem"]
         for m in _BASE64.finditer(text):
-            # DER sequences, and the mark of an OpenSSH key, begin so; anything else isn't decoded in full.
-            if m[0][0] == "M" and is_private_der(decoded(m[0]) or b""):
-                out.append(("der", *m.span()))
-            elif m[0].startswith("b3BlbnNzaC1rZXktdjEA") and is_openssh(decoded(m[0]) or b""):
-                out.append(("ssh", *m.span()))
+            if kind := _kind(decoded(m[0]), depth):
+                out.append((kind, *m.span()))
+        # The lines of a PEM are that PEM.
+        out += [x for x in _wrapped(text, depth) if not any(a <= x[1] and x[2] <= b for _, a, b in pems)]
         for m in _ANY_HEX.finditer(text):
-            if m[0][:2] == "30" and is_private_der(bytes.fromhex(m[0])):
-                out.append(("der", *m.span()))
-            elif m[0][:8].lower() == "6f70656e" and is_openssh(bytes.fromhex(m[0])):
-                out.append(("ssh", *m.span()))
+            if kind := _kind(bytes.fromhex(m[0]), depth):
+                out.append((kind, *m.span()))
     return out
 
 

@@ -39,6 +39,27 @@ def test_structures_are_confirmed():
     assert [text[a:b].rstrip(".") for _, a, b in sec.confirmed_spans(text)] == [JWT]
 
 
+def test_keys_in_strings_wrapped_and_encoded():
+    rng = random.Random(1)
+    key = der(0x30, der(2, b"\0"), *[der(2, bytes([1]) + rng.randbytes(100 + i)) for i in range(8)])
+    lines = base64.encodebytes(PKCS8).decode()
+    pem = "-----BEGIN PRIVATE KEY-----\n" + lines + "-----END PRIVATE KEY-----\n"
+    for text in (json.dumps({"private_key": pem}), json.dumps(json.dumps({"k": pem})), json.dumps(pem.replace("\n", "\r\n")).replace("/", "\\/")):
+        found = [text[a:b] for k, a, b in sec.confirmed_spans(text) if k == "pem"]
+        assert len(found) == 1 and found[0].startswith("-----BEGIN") and found[0].endswith("KEY-----")
+    for raw in (pem, "a: b\n" + pem):
+        assert kinds("tls.key: " + base64.b64encode(raw.encode()).decode()) == ["pem"]
+        assert kinds("key\n" + base64.encodebytes(raw.encode()).decode() + "Thanks\n") == ["pem"]
+    for k in (PKCS8, RSA, key):
+        wrapped = base64.encodebytes(k).decode()
+        for text in (f"key\n{wrapped}Thanks\nall", f"key: {wrapped}", "x = " + json.dumps(wrapped), "  " + wrapped.replace("\n", "\r\n  "), wrapped.replace("=", "") + "words"):
+            assert kinds(text) == ["der"], text
+            ((_, a, b),) = sec.confirmed_spans(text)
+            assert base64.b64decode(re.sub(r"\\n|\s|=", "", text[a:b]) + "==") == k
+    assert kinds(json.dumps("x\n" + base64.b64encode(PKCS8).decode())) == ["der"] and kinds(json.dumps("x\n" + JWT)) == ["jwt"]
+    assert kinds(base64.encodebytes(rng.randbytes(20_000)).decode()) == []
+
+
 def test_lookalikes_are_left():
     assert kinds(base64.b64encode(PKCS8[:-5]).decode()) == [] and kinds("eyJhbGciOiJub25lIn.x.y" + "z" * 40) == []
     assert kinds("-----BEGIN PRIVATE KEY----- AAAA -----END PRIVATE KEY-----") == [] and kinds("-----BEGIN PRIVATE KEY-----" * 50) == []
