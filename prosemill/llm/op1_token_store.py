@@ -6,6 +6,7 @@ Files below one folder, all Parquet:
 * ``staged/kind=recipe``: the recipes as they were encoded, before they are put in order.
 * ``recipes``: documents in ascending doc_id order, by part and row: part, row, doc_id, local_start, n_tokens, root, addresses, lengths, ends.
 * ``manifest``: one row a part: documents, tokens, start of the part, and the Merkle root over its documents' roots.
+* ``top``: one row: documents, tokens, and the root over the parts' roots.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prosemill.llm.common import partitions, shared_dir, table
-from prosemill.llm.tokens import as_u32, encoder, tokenizer_path
+from prosemill.llm.tokens import as_u32, encoder, tokenizer_path, with_end
 
 END_ID = 2
 MASK_BITS = 9  #: a cut after about 512 ids
@@ -31,31 +32,40 @@ CHUNK_LEAST, CHUNK_MOST = 64, 4096
 LEAF = 1024  #: documents under one node of a part's Merkle tree
 
 
-def _gear(ids: np.ndarray) -> np.ndarray:
+def _gear(size: int) -> np.ndarray:
+    """A mixed 64-bit value for each token id."""
     with np.errstate(over="ignore"):
-        x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(29))
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a document: where the hash of the last 16 ids has ``MASK_BITS`` zeros on top, within the size limits.
+def cuts(ids: np.ndarray, ends: np.ndarray, gear: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each document, of documents one behind the other: where the hash of the last 16 ids has ``MASK_BITS``
+    zeros on top, within the size limits.
 
-    A cut depends on the ids just before it alone, so a passage that two documents share is cut alike inside both.
+    A cut depends on the ids just before it alone, so a passage that two documents share is cut alike inside both. The first
+    ``CHUNK_LEAST`` ids of a document aren't cut, so what stands before a document in ``ids`` has no say.
     """
-    h = _gear(ids)
+    h = gear[ids]
     with np.errstate(over="ignore"):
         for step in (1, 2, 4, 8):  # a window of 2, 4, 8 and 16 ids
-            h[step:] = h[step:] + (h[:-step] << np.uint64(step)) if len(h) > step else h[step:]
+            if len(h) > step:
+                h[step:] = h[step:] + (h[:-step] << np.uint64(step))
     stops = np.nonzero((h >> np.uint64(64 - MASK_BITS)) == 0)[0] + 1
-    out, last = [], 0
-    for stop in [*stops.tolist(), len(ids)]:
-        while stop - last > CHUNK_MOST:
-            last += CHUNK_MOST
-            out.append(last)
-        if stop - last >= CHUNK_LEAST or stop == len(ids) and stop > last:
-            out.append(stop)
-            last = stop
+    upto = np.searchsorted(stops, ends).tolist()
+    stops, out, begin, k = stops.tolist(), [], 0, 0
+    for end, to in zip(ends.tolist(), upto):
+        last, own = begin, []
+        for stop in [*stops[k:to], end]:
+            while stop - last > CHUNK_MOST:
+                last += CHUNK_MOST
+                own.append(last)
+            if stop - last >= CHUNK_LEAST or stop == end and stop > last:
+                own.append(stop)
+                last = stop
+        out.append(own)
+        begin, k = end, to
     return out
 
 
@@ -78,7 +88,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     """Encodes every document and writes the store to ``path``.
 
     One pass encodes and cuts; a task sends each chunk it meets once, and one exchange deals chunks by address and recipes by
-    document. There, sorted chunks lose the copies that other tasks sent. A hot chunk so costs one row a task, whatever its count.
+    document and task. There, chunks lose the copies that other tasks sent. A hot chunk so costs one row a task, whatever its
+    count, and copies of a document are dealt apart.
 
     A null text is an empty one: its document holds the end id alone. Null ids sort first; rows that repeat an id stay
     documents of their own, ordered by their content's root. Other columns are ignored. An empty table makes empty files.
@@ -87,42 +98,39 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     n = partitions(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, sent = encoder(tokenizer), set()
-        end = np.array([end_id], enc.dtype)
+        enc, sent, task = encoder(tokenizer), set(), TaskContext.get().partitionId()
+        gear, width = _gear(max(enc.size, end_id + 1)), enc.dtype.itemsize
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.concatenate([enc.ids(value.as_py()), end])
-                marks, last = [], 0
-                lengths, ends = [], cuts(ids)
-                for stop in ends:
-                    body = ids[last:stop].tobytes()
-                    marks.append(mark := address(body))
-                    lengths.append(stop - last)
-                    last = stop
-                    if mark not in sent:
-                        sent.add(mark)
-                        rows.append(("chunk", mark, None, lengths[-1], None, None, None, None, body))
-                root = merkle(marks)
-                rows.append(("recipe", root, doc, len(ids), root, marks, lengths, ends, None))
-                if len(rows) > 2000:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            keep = []
-            for kind, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keep.append(kind != "chunk" or mark != last)
-                last = mark if kind == "chunk" else last
-            yield batch.filter(pa.array(keep))
+            for i, j, ids, ends in enc.parts(batch.column(1)):
+                docs = batch.column(0).slice(i, j - i)
+                ids, ends = with_end(ids, ends, end_id)
+                raw, begin = ids.tobytes(), 0
+                new: tuple[list, list, list] = [], [], []
+                roots, deals, marks, lengths, at, count = [], [], [], [], [], [0]
+                for doc, end, own in zip(docs.to_pylist(), ends.tolist(), cuts(ids, ends, gear)):
+                    last, first = begin, len(marks)
+                    for stop in own:
+                        body = raw[last * width : stop * width]
+                        marks.append(mark := address(body))
+                        lengths.append(stop - last)
+                        at.append(stop - begin)
+                        last = stop
+                        if mark not in sent:
+                            sent.add(mark)
+                            for column, value in zip(new, (mark, lengths[-1], body)):
+                                column.append(value)
+                    roots.append(root := merkle(marks[first:]))
+                    deals.append(address(b"%d %a " % (task, doc) + root))
+                    count.append(len(marks))
+                    begin = end
+                yield _batch(kind=["chunk"] * len(new[0]), deal=new[0], n_tokens=new[1], body=new[2])
+                lists = {k: pa.ListArray.from_arrays(pa.array(count, pa.int32()), pa.array(x, t)) for k, x, t in (("addresses", marks, pa.binary()), ("lengths", lengths, pa.int32()), ("ends", at, pa.int64()))}
+                yield _batch(kind=["recipe"] * len(docs), deal=deals, doc_id=docs, n_tokens=np.diff(ends, prepend=0), root=roots, **lists)
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = source.mapInArrow(encode, _STAGED).repartition(n, "deal").sortWithinPartitions("kind", "deal")
-    dealt.mapInArrow(once, _STAGED).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/staged")
+    dealt = source.mapInArrow(encode, _STAGED).repartition(n, "deal")
+    copy = F.row_number().over(W.partitionBy("deal").orderBy("kind"))
+    dealt.withColumn("copy", copy).where("kind = 'recipe' or copy = 1").drop("copy").write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/staged")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, start = TaskContext.get().partitionId(), 0, 0
@@ -134,25 +142,40 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
             yield pa.RecordBatch.from_arrays([*head, *(batch.column(c) for c in ("n_tokens", "root", "addresses", "lengths", "ends"))], ["part", "row", "doc_id", "local_start", "n_tokens", "root", "addresses", "lengths", "ends"])
 
     staged = spark.read.schema(_STAGED).parquet(f"{path}/staged")
-    recipes = staged.where("kind = 'recipe'").select("doc_id", "n_tokens", "root", "addresses", "lengths", "ends")
-    recipes = recipes.repartitionByRange(n, "doc_id", "root").sortWithinPartitions("doc_id", "root")
+    # Rows that are equal but for the task they came from are interchangeable, and may be dealt to several parts.
+    recipes = staged.where("kind = 'recipe'").select("doc_id", "n_tokens", "root", "addresses", "lengths", "ends", "deal")
+    recipes = recipes.repartitionByRange(n, "doc_id", "root", "deal").sortWithinPartitions("doc_id", "root", "deal").drop("deal")
     recipes.mapInArrow(place, "part int, row long, doc_id long, local_start long, n_tokens long, root binary, addresses array<binary>, lengths array<int>, ends array<long>").write.option("compression", "zstd").parquet(f"{path}/recipes")
     _manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    _top(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/top")
+
+
+def _root(order: str, value: Column) -> Column:
+    """The hash over the hashes of all rows of a group, in order."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), value.alias("hex")))), lambda x: x["hex"]), ""), 256)
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:
     """One row a part; a node gathers ``LEAF`` roots, a part its nodes."""
-    root = lambda items: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(items)), lambda x: x["hex"]), ""), 256)
-    nodes = recipes.groupBy("part", F.floor(F.col("row") / LEAF).alias("node")).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), root(F.struct("row", F.hex("root").alias("hex"))).alias("hash"))
-    parts = nodes.groupBy("part").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), root(F.struct("node", F.col("hash").alias("hex"))).alias("root"))
+    nodes = recipes.groupBy("part", F.floor(F.col("row") / LEAF).alias("node")).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), _root("row", F.hex("root")).alias("hash"))
+    parts = nodes.groupBy("part").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), _root("node", F.col("hash")).alias("root"))
     # One row a part meets here.
     return parts.withColumn("start", F.coalesce(F.sum("tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kind, deal, doc, n, root, marks, lengths, ends, body = zip(*rows)
-    types = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((kind, deal, doc, n, root, marks, lengths, ends, body), types)], ["kind", "deal", "doc_id", "n_tokens", "root", "addresses", "lengths", "ends", "body"])
+def _top(manifest: DataFrame) -> DataFrame:
+    """The one row of the whole store: documents, tokens and the root over the parts' roots."""
+    nodes = manifest.groupBy(F.floor(F.col("part") / LEAF).alias("node")).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), _root("part", F.col("root")).alias("hash"))
+    return nodes.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), _root("node", F.col("hash")).alias("root"))
+
+
+_TYPES = {"kind": pa.string(), "deal": pa.binary(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "root": pa.binary(), "addresses": pa.list_(pa.binary()), "lengths": pa.list_(pa.int32()), "ends": pa.list_(pa.int64()), "body": pa.binary()}
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    """A batch of the staged schema; columns that aren't given are null."""
+    n = len(columns["kind"])
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in ((columns.get(k), t) for k, t in _TYPES.items())], list(_TYPES))
 
 
 # CRC-32 of joined parts, from the parts' own: each is multiplied by x to the bits that follow it, modulo the polynomial.
@@ -210,8 +233,10 @@ def read_chunks(spark: SparkSession, path: str, tokenizer: str | None = None) ->
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
-    """Recipes with their start in the whole; a recipe whose addresses don't give its root stops the job, as does a part whose roots don't give the manifest's."""
-    recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
+    """Recipes with their start in the whole; a part whose roots don't give the manifest's stops the job, as do parts that don't give the store's root."""
+    recipes, manifest, top = (spark.read.parquet(f"{path}/{x}") for x in ("recipes", "manifest", "top"))
+    if top.first() != _top(manifest).first():  # one row each
+        raise ValueError("the manifest is damaged")
     again = _manifest(recipes).select("part", F.col("root").alias("again"))
     # The manifest has a row a partition: its size is that of the partitioning.
     parts = manifest.join(again, "part", "left").select("part", F.when(F.col("root").eqNullSafe(F.col("again")), F.col("start")).otherwise(F.raise_error(F.format_string("part %d is damaged", "part")).cast("long")).alias("part_start"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemill.llm.common import materialize, table
-from prosemill.llm.tokens import as_u32, encoder, tokenizer_path
+from prosemill.llm.tokens import as_u32, encoder, tokenizer_path, with_end
 
 CAPACITY = 4096
 END_ID = 1
@@ -75,15 +75,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.dtype)
         for batch in batches:
-            rows: list[tuple] = []
-            for uid, doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                ids = np.concatenate([enc.ids(value.as_py()), end])
-                rows += [(uid, doc, k, at, len(ids[at : at + capacity]), ids[at : at + capacity].tobytes()) for k, at in enumerate(range(0, len(ids), capacity))]
-            if rows:
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["uid", "doc_id", "piece", "start", "length", "ids"])
+            for i, j, ids, ends in enc.parts(batch.column(2)):
+                ids, ends = with_end(ids, ends, end_id)
+                size = np.diff(ends, prepend=0)
+                count = -(-size // capacity)
+                piece = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(capacity, np.repeat(size, count) - start)
+                # Pieces stand one behind the other in the ids, so their bytes are a view.
+                at = np.concatenate([[0], np.cumsum(length)]) * enc.dtype.itemsize
+                body = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(at), pa.py_buffer(ids)]).cast(pa.binary())
+                take = pa.array(np.repeat(np.arange(i, j), count))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), body], ["uid", "doc_id", "piece", "start", "length", "ids"])
 
     source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = materialize(source.mapInArrow(encode, "uid long, doc_id long, piece int, start long, length long, ids binary"))

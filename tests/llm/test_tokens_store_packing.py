@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -20,12 +21,42 @@ def library():
 
 def test_word_ids_equal_the_library(library):
     rng, enc = random.Random(3), encoder(tokenizer_path())
-    signs = ["a", "B", "é", "É", "ß", "İ", "Σ", "ς", "ǰ", "J̌", "́", "1", "22", "'", "'s", "n't", ".", "...", ",", "|", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", " ", "—", "漢", "😀", "<|endoftext|>", "ª", "µ", "×", "÷", "the", "Tion"]
+    signs = ["a", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|", "|>", "B", "é", "É", "ß", "İ", "Σ", "ς", "ǰ", "J̌", "́", "1", "22", "'", "'s", "n't", ".", "...", ",", "|", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", " ", "—", "漢", "😀", "<|endoftext|>", "ª", "µ", "×", "÷", "the", "Tion"]
     for _ in range(3000):
         text = "".join(rng.choice(signs) for _ in range(rng.randrange(12)))
         assert enc.ids(text).tolist() == library(text), repr(text)
 
 
+def test_columns_equal_the_library(library):
+    rng, enc = random.Random(7), encoder(tokenizer_path())
+    words = ["the", "The,", "don't", "x1", "éclair.", "ÉCLAIR", "漢字", "--", "a" * 90, "b-c", "END|>", "<|EndOfText|>", "ok...", "ok.,no"]
+    texts = [None if rng.random() < 0.05 else rng.choice([" ", "\n", "  "]).join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(400)]
+    ids, ends = enc.column(pa.array(["skipped", *texts], pa.string()).slice(1))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [library(t) for t in texts]
+    assert [x.tolist() for x in np.split(*(lambda i, e: (i, e[:-1]))(*enc.column(pa.array(texts * 2, pa.string()))))] == [library(t) for t in texts * 2]
+    assert len(enc.column(pa.array([], pa.string()))[1]) == 0 and enc.fast
+
+
+def test_more_pieces_than_are_remembered(library, monkeypatch):
+    from prosemill.llm import tokens
+
+    monkeypatch.setattr(tokens, "PIECES_MOST", 64)
+    enc, rng = tokens.WordEncoder(tokenizer_path()), random.Random(1)
+    for _ in range(5):
+        texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 4))) + rng.choice(["", ".", "1"]) for _ in range(50)) for _ in range(20)]
+        ids, ends = enc.column(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [library(t) for t in texts]
+    assert enc.kept == enc.listed <= 64
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    path = tokenizer_path("byte_bpe_50k.json")
+    enc, other = encoder(path), Tokenizer.from_file(path)
+    texts = ["Two  words, kept.", None, "é <|endoftext|> x"]
+    ids, ends = enc.column(pa.array(texts))
+    assert not enc.fast and [x.tolist() for x in np.split(ids, ends[:-1])] == [other.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_store_round_trip(spark, odd, library):
     path = shared_dir(spark)
     store.write_store(odd, path)
@@ -54,6 +85,20 @@ def test_chunks_stored_once_and_damage_found(spark):
     bad.write.mode("overwrite").parquet(f"{path}/recipes")
     with pytest.raises(Exception, match="damaged"):
         store.verify(spark, path).collect()
+    spark.read.parquet(f"{path}/top").withColumn("tokens", store.F.lit(1).cast("long")).write.parquet(f"{path}/wrong")
+    spark.read.parquet(f"{path}/wrong").write.mode("overwrite").parquet(f"{path}/top")
+    with pytest.raises(ValueError, match="manifest"):
+        store.read_recipes(spark, path)
+
+
+def test_cuts_of_a_batch_are_those_of_each_document():
+    rng = np.random.default_rng(4)
+    gear = store._gear(50_000)
+    docs = [rng.integers(0, 50_000, n).astype(np.uint16) for n in (1, 70, 30_000, 5, 9000)] + [np.full(10_000, 7, np.uint16)]
+    ends = np.cumsum([len(d) for d in docs])
+    got = store.cuts(np.concatenate(docs), ends, gear)
+    assert [[x - (e - len(d)) for x in own] for own, e, d in zip(got, ends, docs)] == [store.cuts(d, np.array([len(d)]), gear)[0] for d in docs]
+    assert all(own[-1] == e for own, e in zip(got, ends)) and max(np.diff(got[2])) <= store.CHUNK_MOST
 
 
 def test_crc_of_parts():
