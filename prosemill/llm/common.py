@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the one that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a local one is set.
+    The cluster names it in ``spark.checkpoint.dir``. Only on one machine (master local[...]) a local one is set where that is unset.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="prosemill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/prosemill-{uuid.uuid4().hex}"
@@ -62,14 +65,30 @@ def with_position(df: DataFrame, order: list[Column], amount: Column, start: str
     return parts.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn(start, F.col("_before") + F.col("_inside")).drop("_part", "_row", "_amount", "_inside", "_before")
 
 
+HUB = 1024  #: edges of a vertex that is joined apart from the others
+HUBS_MOST = 100_000  #: such vertices at most, so their table (two numbers a row) can be broadcast
+
+
+def _with_least(both: DataFrame, edges: int) -> DataFrame:
+    """``both`` (a, b) with m, the least neighbour of a or a itself. Vertices with very many edges are joined by a broadcast, so that
+    none of them gathers its edges in one task; there are ``HUBS_MOST`` of them at most, as no more have so large a share of all edges."""
+    low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    most = max(HUB, 2 * edges // HUBS_MOST)
+    hubs = low.where(F.col("n") > most).select("a", F.col("m").alias("hub"))
+    marked = both.join(F.broadcast(hubs), "a", "left")
+    rest = marked.where("hub is null").select("a", "b").join(low.where(F.col("n") <= most).select("a", "m"), "a")
+    return rest.select("a", "b", "m").unionAll(marked.where("hub is not null").select("a", "b", "hub"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id of every vertex of ``edges`` (a, b): rows (node, component), vertices without an edge left out.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) written as a minimum per vertex and a join, so that no
-    neighbourhood is ever gathered; each round is written to the shared folder. Nulls and loops are ignored.
+    neighbourhood is ever gathered; each round is written to the shared folder, and the one before it is deleted. Nulls and loops
+    are ignored.
     """
-    spark = edges.sparkSession
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    spark, path = edges.sparkSession, shared_dir(edges.sparkSession)
+    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path)
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
@@ -77,11 +96,12 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = tuple(mark)
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _with_least(both, 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Here every a is above its b: the small star of a is its smallest b, and each other b hangs below that one.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = materialize(small)
+        last, path = path, shared_dir(spark)
+        now = materialize(small, path)
+        remove(spark, last)
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

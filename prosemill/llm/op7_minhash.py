@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 from prosemill.llm.common import components, materialize, partitions, table
 
 PERMUTATIONS = 60  #: each gives a minimum and a maximum: 120 signature values
-ROWS = 5  #: signature values in a band; 24 bands of 5 miss a pair at 0.85 once in a million
-BANDS = 2 * PERMUTATIONS // ROWS
+VALUES = 2 * PERMUTATIONS
+MISS = 1e-6  #: probability at most that no band brings a pair at the threshold together
+#: Standard deviations of the signature's estimate below the threshold down to which a pair is compared on its full sets: of
+#: pairs at the threshold fewer are lost than by the bands (a binomial tail of 4e-8 at 0.85 and 2e-8 at 0.8).
+SLACK = 6.0
+BLOCK = 512  #: texts in a block of a candidate group; a task holds two blocks
 
 
 def words_of(text: str) -> list[bytes]:
@@ -72,12 +76,19 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.stack([low, high], 1).ravel()
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of the signature."""
+def rows_for(percent: int) -> int:
+    """The most signature values in a band that miss a pair at the threshold with probability ``MISS`` at most: 5 at 85, 4 at 80."""
+    fits = [r for r in range(1, VALUES + 1) if (1 - (percent / 100) ** r) ** (VALUES // r) <= MISS]
+    return max(fits, default=1)
+
+
+def band_keys(sigs: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit key for each band of each signature (a row)."""
+    bands = VALUES // rows
     with np.errstate(over="ignore"):
-        out = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-        for column in sig.astype(np.uint64).reshape(BANDS, ROWS).T:
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
+        out = np.tile(np.arange(bands, dtype=np.uint64) + np.uint64(1), (len(sigs), 1))
+        for k in range(rows):
+            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + sigs[:, k : bands * rows : rows].astype(np.uint64))
     return out.view(np.int64)
 
 
@@ -110,126 +121,199 @@ class _Forest:
         return a != b
 
 
-#: Standard deviations of the signature's estimate below the threshold down to which a candidate is confirmed on its full sets.
-SLACK = 4.0
-BLOCK = 512  #: texts in a block of a candidate group; a task holds two blocks
-
-
-def _links_in_blocks(left: list[tuple[int, str]], right: list[tuple[int, str]], n: int, percent: int) -> Iterator[tuple[int, int]]:
-    """Links that connect the texts of two blocks (or of one, if ``right`` is empty), each confirmed on full shingle sets.
-
-    Pairs whose estimate is within the slack are confirmed, likeliest first; pairs that earlier links connect already add
-    nothing to the components and are passed over.
-    """
-    items = left + right
-    sets = [shingle_set(t, n) for _, t in items]
-    sigs, sizes = np.stack([signature(s) for s in sets]), np.array([len(s) for s in sets])
+def _likely(sigs: np.ndarray, sizes: np.ndarray, first: int, percent: int) -> np.ndarray:
+    """Rows (estimate, i, j) of the pairs that may reach the threshold: i below ``first`` with j at or above it, or all pairs if it is 0."""
     t = percent / 100
-    least = t - SLACK * (t * (1 - t) / sigs.shape[1]) ** 0.5
-    found: list[np.ndarray] = []
-    for i in range(len(left) if right else len(left) - 1):
-        first = len(left) if right else i + 1
-        fits = np.nonzero(np.minimum(sizes[first:], sizes[i]) * 100 >= percent * np.maximum(sizes[first:], sizes[i]))[0] + first
+    least = t - SLACK * (t * (1 - t) / VALUES) ** 0.5
+    found = [np.empty((0, 3))]
+    for i in range(first or len(sizes) - 1):
+        low = first or i + 1
+        fits = np.nonzero(np.minimum(sizes[low:], sizes[i]) * 100 >= percent * np.maximum(sizes[low:], sizes[i]))[0] + low
         if len(fits):
             same = (sigs[fits] == sigs[i]).mean(1)
             keep = same >= least
             if keep.any():
                 found.append(np.stack([same[keep], np.full(keep.sum(), i), fits[keep]], 1))
-    if not found:
-        return
-    pairs = np.concatenate(found)
-    forest = _Forest()
+    return np.concatenate(found)
+
+
+def _links(ids: list[int], texts: list[str], sigs: np.ndarray, sizes: np.ndarray, first: int, n: int, percent: int) -> list[tuple[int, int]]:
+    """Links that connect the texts of two blocks (the second begins at ``first``) or of one, each confirmed on full shingle sets.
+
+    Likely pairs are confirmed, likeliest first; pairs that earlier links connect already add nothing to the components and are
+    passed over.
+    """
+    pairs, forest, sets, out = _likely(sigs, sizes, first, percent), _Forest(), {}, []
     for _, i, j in pairs[np.argsort(-pairs[:, 0], kind="stable")]:
         i, j = int(i), int(j)
-        if forest.find(i) != forest.find(j) and jaccard_at_least(sets[i], sets[j], percent):
-            forest.union(i, j)
-            yield items[i][0], items[j][0]
+        if forest.find(i) != forest.find(j):
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = shingle_set(texts[k], n)
+            if jaccard_at_least(sets[i], sets[j], percent):
+                forest.union(i, j)
+                out.append((ids[i], ids[j]))
+    return out
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """One row (doc_id, n_shingles, component_id, kept) per document; components of links with Jaccard >= percent / 100.
 
-    1. Every text becomes its set of n-word shingles, a fingerprint of that set, and a min-max signature in bands.
-    2. Equal sets collapse into one class (a minimum per fingerprint, summed before the shuffle), so copies never meet in pairs.
-    3. In each band bucket every class is tied to the bucket's smallest member: components of these ties are the candidate groups.
-    4. A group is cut into blocks of ``BLOCK`` by set size; each pair of blocks is one unit of work, confirmed on the full
-       sets of the whole texts. Two blocks whose sizes can't reach the threshold are not compared.
-    5. Components over confirmed links and classes.
-
-    A null text, an empty one and one of blanks has an empty set, is linked with nothing and stays. Rows with a null id are
-    kept as documents of their own, with a null component. Rows that repeat an id count as one vertex. Other columns are ignored.
+    1. Every text becomes its set of n-word shingles, a fingerprint of that set, and a min-max signature.
+    2. Equal sets collapse into one class (summed before the shuffle), so copies never meet in pairs.
+    3. In each band bucket every class is tied to the bucket's smallest class: components of these ties are the candidate groups.
+    4. In a group of more than ``block`` classes, each class is first compared with the pivot of its largest bucket. What these links
+       connect is one stream, if it is large, and not compared again inside: a group of near copies costs a comparison a text.
+    5. A stream is cut into blocks of ``block`` by set size, and blocks are compared in pairs by signature. Two blocks whose sizes
+       can't reach the threshold are not. Only texts that have a likely partner there follow, to be compared on full sets.
+    6. Components over confirmed links and classes.
+
+    A null text, an empty one and one of blanks has an empty set, is linked with nothing and stays. Rows with a null id are kept as
+    documents of their own, with a null component. Rows that repeat an id count as one vertex, which has the links of all its
+    texts. Other columns are ignored.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, count, prints, bands = batch.column(0), [], [], []
-            for value in batch.column(1):
+            count, prints, sigs = [], [], []
+            for value in batch.column(2):
                 s = shingle_set(value.as_py(), n)
                 count.append(len(s))
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                bands.append(band_keys(signature(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(count, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "print", "bands"])
+                sigs.append(signature(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "mark", "n_shingles", "print", "sig"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = materialize(source.mapInArrow(sign, "doc_id long, n_shingles long, print binary, bands array<long>"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
+    signed = materialize(source.mapInArrow(sign, "doc_id long, mark long, n_shingles long, print binary, sig binary"))
     live = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(live.groupBy("print").agg(F.min("doc_id").alias("rep")))
-    # The fingerprints again with the class's bands: only the representative's row carries them on.
-    members = live.join(classes, "print").select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"))
-    members = materialize(members)
-    reps = members.where("bands is not null").dropDuplicates(["doc_id"]).select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    first = reps.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last")
-    ties = reps.join(first, ["band", "key"]).where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    groups = materialize(components(ties).select(F.col("node").alias("doc_id"), F.col("component").alias("grp")))
-    links = _confirmed(source, members, groups, n, percent)
-    same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # Equal sets have equal sizes and signatures; the text is that of any row of the smallest id.
+    classes = live.groupBy("print").agg(F.min(F.struct("doc_id", "mark")).alias("lead"), F.min("n_shingles").alias("size"), F.first("sig").alias("sig"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cls"), "print", F.col("lead.doc_id").alias("rep"), F.col("lead.mark").alias("mark"), "size", "sig"))
+    links = _confirmed(source, classes, n, percent, block)
+    same = live.select("doc_id", "print").join(classes.select("print", "rep"), "print").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionAll(same))
     out = signed.select("doc_id", "n_shingles").join(found, signed.doc_id == found.node, "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _confirmed(source: DataFrame, members: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) between representatives of the same candidate group."""
-    spark = source.sparkSession
-    sized = groups.join(members.where("bands is not null").select("doc_id", "n_shingles").distinct(), "doc_id")
-    # Blocks by size within a group: counts per (group, size) are summed first, so the running sum sees sizes, not texts.
-    sizes = sized.groupBy("grp", "n_shingles").agg(F.count("*").alias("n"))
-    by_size = W.partitionBy("grp").orderBy("n_shingles")
-    runs = sizes.select("grp", "n_shingles", "n", F.coalesce(F.sum("n").over(by_size.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    # A size's texts are dealt over as many blocks as its run spans.
-    blocked = sized.join(runs, ["grp", "n_shingles"]).withColumn("block", F.floor((F.col("before") + F.pmod(F.xxhash64("doc_id"), F.col("n"))) / BLOCK).cast("long"))
-    blocked = materialize(blocked.select("doc_id", "grp", "n_shingles", "block"))
-    spans = blocked.groupBy("grp", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    left, right = spans.alias("l"), spans.alias("r")
-    pairs = left.join(right, (F.col("l.grp") == F.col("r.grp")) & (F.col("l.block") <= F.col("r.block")) & (F.col("r.low") * percent <= F.col("l.high") * 100)).select(
-        F.col("l.grp").alias("grp"), F.col("l.block").alias("i"), F.col("r.block").alias("j")
-    )
-    units = pairs.select("grp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    texts = blocked.join(source, "doc_id")
-    work = texts.join(units, ["grp", "block"]).select("grp", "i", "j", "block", "doc_id", "text")
+def _confirmed(source: DataFrame, classes: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between the representatives of different classes, enough for their components."""
+    rows = rows_for(percent)
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, VALUES)
+            keys = band_keys(sigs, rows)
+            number = np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1])), pa.array(number), pa.array(keys.ravel())], ["cls", "band", "key"])
+
+    keys = classes.select("cls", "sig").mapInArrow(bands, "cls long, band int, key long")
+    first = keys.groupBy("band", "key").agg(F.min("cls").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    ties = materialize(keys.join(first, ["band", "key"]).where("cls <> pivot").select("cls", "pivot", "n"))
+    groups = materialize(components(ties.select(F.col("cls").alias("a"), F.col("pivot").alias("b"))).select(F.col("node").alias("cls"), F.col("component").alias("grp")))
+    large = materialize(groups.join(groups.groupBy("grp").count().where(F.col("count") > block).select("grp"), "grp", "left_semi"))
+    by_pivot = _with_pivots(source, classes, ties.join(large, "cls"), n, percent, block)
+    # Large connected parts of large groups are streams of their own; whatever else a group holds is its stream -1.
+    parts = components(by_pivot).select(F.col("node").alias("cls"), F.col("component").alias("stream"))
+    parts = parts.join(parts.groupBy("stream").count().where(F.col("count") > block).select("stream"), "stream", "left_semi")
+    streams = groups.join(parts, "cls", "left").select("cls", "grp", F.coalesce("stream", F.lit(-1).cast("long")).alias("stream"))
+    by_block = _within_blocks(source, classes, streams, n, percent, block)
+    name = lambda k: classes.select(F.col("cls").alias(k), F.col("rep").alias(f"rep_{k}"))
+    return by_pivot.unionAll(by_block).join(name("a"), "a").join(name("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+
+
+def _texts(source: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (cls, ...) with the text of each class; a row of the source that is there twice gives the text once."""
+    keyed = wanted.join(classes.select("cls", F.col("rep").alias("doc_id"), "mark"), "cls")
+    met = keyed.join(source, ["doc_id", "mark"])
+    return met.groupBy("doc_id", "mark", *wanted.columns).agg(F.first("text").alias("text")).select(*wanted.columns, "text")
+
+
+def _with_pivots(source: DataFrame, classes: DataFrame, ties: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+    """Confirmed links (a, b) of classes with the pivot of the largest bucket that they are in."""
+    pairs = ties.groupBy("cls").agg(F.max(F.struct("n", "pivot")).alias("p")).select("cls", F.col("p.pivot").alias("pivot"))
+    counts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / block).alias("deals"))
+    dealt = materialize(pairs.join(counts, "pivot").select("cls", "pivot", F.pmod(F.xxhash64("cls"), "deals").alias("deal"), F.lit(1).alias("side")))
+    # A pivot goes to each of the deals of its classes.
+    hubs = dealt.select("pivot", "deal").distinct().select(F.col("pivot").alias("cls"), "pivot", "deal", F.lit(0).alias("side"))
+    rows = _texts(source, classes, dealt.unionByName(hubs))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, blocks = None, {}
+        hub, own = None, None
+        for batch in batches:
+            found = []
+            for pivot, cls, side, value in zip(*(batch.column(c).to_pylist() for c in ("pivot", "cls", "side", "text"))):
+                if not side:
+                    hub, own = pivot, shingle_set(value, n)
+                elif hub == pivot and jaccard_at_least(own, shingle_set(value, n), percent):
+                    found.append((cls, pivot))
+            yield _pairs(found)
+
+    unit = ["pivot", "deal"]
+    return materialize(rows.repartition(partitions(source.sparkSession), *unit).sortWithinPartitions(*unit, "side").mapInArrow(confirm, "a long, b long"))
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if unit is not None:
-                i, j = unit[1:]
-                found = list(_links_in_blocks(list(blocks.get(i, {}).items()), list(blocks.get(j, {}).items()) if j != i else [], n, percent))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+
+
+def _within_blocks(source: DataFrame, classes: DataFrame, streams: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+    """Confirmed links (a, b) between classes of the same group that aren't of one large stream."""
+    parts = partitions(source.sparkSession)
+    sized = materialize(streams.join(classes.select("cls", "size"), "cls"))
+    # Blocks by size within a stream: counts per size are summed first, so the running sum sees sizes, not texts.
+    by_size = W.partitionBy("grp", "stream").orderBy("size")
+    runs = sized.groupBy("grp", "stream", "size").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(by_size.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # A size's texts are dealt over as many blocks as its run spans.
+    place = F.floor((F.col("before") + F.pmod(F.xxhash64("cls"), F.col("n"))) / block).cast("long")
+    blocked = materialize(sized.join(runs, ["grp", "stream", "size"]).select("cls", "grp", "size", F.struct("stream", place.alias("k")).alias("blk")))
+    spans = blocked.groupBy("grp", "blk").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count("*").alias("n"))
+    pair = (F.col("l.grp") == F.col("r.grp")) & (F.col("l.blk") <= F.col("r.blk")) & (F.col("r.low") * percent <= F.col("l.high") * 100) & (F.col("l.low") * percent <= F.col("r.high") * 100)
+    met = (F.col("l.blk.stream") < 0) | (F.col("l.blk.stream") != F.col("r.blk.stream"))
+    more = (F.col("l.blk") != F.col("r.blk")) | (F.col("l.n") > 1)
+    pairs = spans.alias("l").join(spans.alias("r"), pair & met & more).select(F.col("l.grp").alias("grp"), F.col("l.blk").alias("i"), F.col("r.blk").alias("j"))
+    unit = ["grp", "i", "j"]
+    units = pairs.select(*unit, F.explode(F.array_distinct(F.array("i", "j"))).alias("blk"))
+    work = blocked.join(units, ["grp", "blk"]).select(*unit, (F.col("blk") > F.col("i")).alias("side"), "cls", "size").join(classes.select("cls", "sig"), "cls")
+
+    def whole(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[tuple]]:
+        """The rows of each unit, the first block's first; a unit holds two blocks at most."""
+        now, rows = None, []
         for batch in batches:
-            grp, i, j, block, ids, text = (c.to_pylist() for c in batch.columns)
-            for k in range(len(ids)):
-                if unit != (now := (grp[k], i[k], j[k])):
-                    yield from done()
-                    unit, blocks = now, {}
-                blocks.setdefault(block[k], {}).setdefault(ids[k], text[k])
-        yield from done()
-
-    dealt = work.repartition(partitions(spark), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "block", "doc_id")
-    return materialize(dealt.mapInArrow(confirm, "a long, b long"))
+            for key, row in zip(zip(*(batch.column(c).to_pylist() for c in ("grp", "ui", "uj"))), zip(*(batch.column(c).to_pylist() for c in names))):
+                if key != now:
+                    if len(rows) > 1:
+                        yield now, rows
+                    now, rows = key, []
+                rows.append(row)
+        if len(rows) > 1:
+            yield now, rows
+
+    def taken(rows: list[tuple]) -> tuple[list[int], np.ndarray, np.ndarray, int]:
+        sides = [r[0] for r in rows]
+        sigs = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(-1, VALUES)
+        return [r[1] for r in rows], sigs, np.array([r[2] for r in rows], np.int64), sides.index(True) if True in sides else 0
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in whole(batches, ["side", "cls", "size", "sig"]):
+            _, sigs, sizes, first = taken(rows)
+            active = np.unique(_likely(sigs, sizes, first, percent)[:, 1:].astype(np.int64)).tolist()
+            if active:
+                out = [(*key, *rows[k]) for k in active]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()))], ["grp", "ui", "uj", "side", "cls", "size", "sig"])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in whole(batches, ["side", "cls", "size", "sig", "text"]):
+            ids, sigs, sizes, first = taken(rows)
+            yield _pairs(_links(ids, [r[4] for r in rows], sigs, sizes, first, n, percent))
+
+    named = lambda x: F.concat_ws(":", f"{x}.stream", f"{x}.k")
+    work = work.select("grp", named("i").alias("ui"), named("j").alias("uj"), "side", "cls", "size", "sig")
+    keys = ["grp", "ui", "uj"]
+    active = materialize(work.repartition(parts, *keys).sortWithinPartitions(*keys, "side").mapInArrow(likely, "grp long, ui string, uj string, side boolean, cls long, size long, sig binary"))
+    texts = _texts(source, classes, active)
+    return materialize(texts.repartition(parts, *keys).sortWithinPartitions(*keys, "side").mapInArrow(confirm, "a long, b long"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

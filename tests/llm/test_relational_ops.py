@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from prosemill.llm.common import components
 from prosemill.llm.op6_url_lists import judge
-from prosemill.llm.op7_minhash import band_keys, jaccard_at_least, near_duplicates, shingle_set, signature
+from prosemill.llm.op7_minhash import VALUES, band_keys, jaccard_at_least, near_duplicates, rows_for, shingle_set, signature
 from prosemill.llm import op8_embeddings
 from prosemill.llm.op8_embeddings import near_vectors
 from prosemill.llm.op10_chat import digests, format_conversations, read_turns, render
@@ -46,29 +46,74 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("n,percent", [(3, 85), (5, 80)])
-def test_near_duplicates_against_all_pairs(spark, n, percent):
-    rng = random.Random(n)
-    words = [f"w{i}" for i in range(4000)]
-    docs = []
-    for g in range(12):
+def by_all_pairs(rows, n, percent):
+    """(doc_id, n_shingles, component_id, kept) from all pairs of rows; rows of one id are one vertex."""
+    sets = [(i, shingle_set(t, n)) for i, t in rows]
+    f = Forest({i for i, _ in rows})
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[k + 1 :]:
+            if f.find(i) != f.find(j) and jaccard_at_least(a, b, percent):
+                f.union(i, j)
+    return sorted((i, len(s), f.find(i), f.find(i) == i) for i, s in sets)
+
+
+def copies(rng, words, groups, each, edits):
+    out = []
+    for _ in range(groups):
         base = [rng.choice(words) for _ in range(rng.randrange(30, 200))]
-        for _ in range(8):
+        for _ in range(each):
             copy = list(base)
-            for _ in range(rng.randrange(0, 8)):
+            for _ in range(rng.randrange(0, edits)):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
-            docs.append(" ".join(copy))
-    docs += [None, "", "  \n", "One two", "one TWO", "one"]
-    df = spark.createDataFrame([(100 - i, t) for i, t in enumerate(docs)], "doc_id long, text string")
-    sets = {100 - i: shingle_set(t, n) for i, t in enumerate(docs)}
-    f = Forest(sets)
-    ids = list(sets)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            if jaccard_at_least(sets[a], sets[b], percent):
-                f.union(a, b)
-    rows = near_duplicates(df, n, percent).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == {i: (len(s), f.find(i), f.find(i) == i) for i, s in sets.items()}
+            out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("n,percent,block", [(3, 85, 512), (5, 80, 512), (3, 85, 4), (5, 80, 3)])
+def test_near_duplicates_against_all_pairs(spark, n, percent, block):
+    rng = random.Random(n + block)
+    docs = copies(rng, [f"w{i}" for i in range(4000)], 12, 8, 8) + [None, "", "  \n", "One two", "one TWO", "one"]
+    rows = [(100 - i, t) for i, t in enumerate(docs)]
+    rows += [(1, rows[20][1]), (1, rows[60][1]), (50, docs[3]), (50, docs[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in near_duplicates(df, n, percent, block=block).collect())
+    assert got == by_all_pairs(rows, n, percent)
+
+
+def test_rows_of_one_id_join_their_texts(spark):
+    rng = random.Random(1)
+    a, b = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(120)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "apart from all others")]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_a_large_group_of_several_blocks(spark):
+    """1,300 different near copies around three texts that share a third of their words, and chains at the threshold."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(9000)]
+    shared = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for g, m in enumerate((1100, 150, 50)):
+        base = shared + [rng.choice(words) for _ in range(60)]
+        for _ in range(m):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                copy[rng.randrange(60, len(copy))] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted(tuple(r) for r in near_duplicates(df, 3, 85, block=200).collect())
+    assert got == by_all_pairs(rows, 3, 85)
+
+
+def test_bands_and_estimate_lose_less_than_stated():
+    from math import comb
+
+    for percent in (80, 85, 90):
+        t, r = percent / 100, rows_for(percent)
+        assert (1 - t**r) ** (VALUES // r) <= 1e-6
+        least = int(np.ceil((t - 6 * (t * (1 - t) / VALUES) ** 0.5) * VALUES))
+        assert sum(comb(VALUES, k) * t**k * (1 - t) ** (VALUES - k) for k in range(least)) < 1e-6
 
 
 def test_near_duplicates_odd_rows(odd, empty):
@@ -82,7 +127,7 @@ def test_min_max_signature_estimates():
     pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
     a, b = np.unique(pool[:3000]), np.unique(pool[600:3600])
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    assert abs((signature(a) == signature(b)).mean() - true) < 0.15 and len(band_keys(signature(a))) == 24
+    assert abs((signature(a) == signature(b)).mean() - true) < 0.15 and band_keys(np.stack([signature(a), signature(b)]), 5).shape == (2, 24)
 
 
 def test_vectors_against_all_pairs(spark):
