@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from prosemill.llm.common import table
 
 FOREVER = 2**31 - 1
-_HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+_HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/:?#\[\]]+)"
+_ADDRESS = r"^\[|^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"
 
 
 def host_of(url: Column) -> Column:
@@ -21,38 +22,47 @@ def host_of(url: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """Intervals (domain, since, until, action) of dated entries (domain, day, action): each holds until the domain's next entry.
 
-    Of several entries of a domain and day ``block`` wins. These are brought together first, so that a domain has at most a row a day
-    however often it is listed. Entries with a null domain, day or action are no entries.
+    Of several entries of a domain and day ``block`` wins, then the last action by name. These are brought together first, so that a
+    domain has at most a row a day however often it is listed. Entries with a null domain, day or action are no entries.
     """
-    days = entries.where("domain is not null and day is not null and action is not null").groupBy(F.lower("domain").alias("domain"), F.col("day").cast("int").alias("since")).agg(F.min("action").alias("action"))
-    return days.withColumn("until", F.coalesce(F.lead("since").over(W.partitionBy("domain").orderBy("since")), F.lit(FOREVER)))
+    strongest = F.max(F.struct((F.col("action") == "block").alias("block"), F.col("action").alias("name")))
+    days = entries.where("domain is not null and day is not null and action is not null").groupBy(F.lower("domain").alias("domain"), F.col("day").cast("int").alias("since")).agg(strongest.alias("a"))
+    until = F.coalesce(F.lead("since").over(W.partitionBy("domain").orderBy("since")), F.lit(FOREVER))
+    return days.select("domain", "since", until.alias("until"), F.col("a.name").alias("action"))
 
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetch_day") -> DataFrame:
     """``captures`` with host, blocked, listed_domain and since: what the list said of the URL's host on the day it was fetched.
 
-    An entry covers its domain and all below it. Of the entries active on the day the longest domain decides, as it stood then. The
-    hosts and days of captures are made distinct before the join (summed before the shuffle), so a host with a third of all captures
-    meets the list once a day; the verdicts come back by host and day. No size of the list is assumed: it is not broadcast by hand.
+    An entry covers its domain and all below it; an IP address is a domain of its own, with none above it. Of the entries active on the
+    day the longest domain decides, as it stood then.
+
+    The as-of join is a window over the domain's intervals and the days that it is asked for: each such day gets the last
+    interval that began by then. Hosts, days and domains are made distinct before (summed before the shuffle), so the window of a domain
+    holds a row a day and a row an entry, whatever the captures; entries and days don't multiply, and no size of the list is assumed.
 
     A null URL, one without a host and a null day are not blocked. Equal captures stay as many. Columns of ``captures`` by the new
-    names are replaced.
+    names are replaced; any other name is free.
     """
     kept = [c for c in captures.columns if c.lower() not in ("host", "blocked", "listed_domain", "since")]
-    rows = captures.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col(url)).alias("host"))
-    asked = rows.where(F.col("host").isNotNull() & F.col(day).isNotNull()).select("host", F.col(day).alias("_day")).distinct()
+    rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), host_of(F.col(url)).alias("host"), F.col(day).cast("int").alias("day"))
+    asked = rows.where("host is not null and day is not null").select("host", "day").distinct()
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    named = asked.select("host", "_day", F.explode(suffixes).alias("domain"))
-    active = named.join(intervals(entries), "domain").where("_day >= since and _day < until")
-    verdict = active.groupBy("host", "_day").agg(F.max(F.struct(F.length("domain").alias("n"), "domain", "since", "action")).alias("v"))
-    verdict = verdict.select(F.col("host").alias("_host"), "_day", (F.col("v.action") == "block").alias("blocked"), F.col("v.domain").alias("listed_domain"), F.col("v.since").alias("since"))
-    out = rows.join(verdict, (F.col("host") == F.col("_host")) & (F.col(day) == F.col("_day")), "left")
-    return out.select(*[F.col(f"`{c}`") for c in kept], "host", F.coalesce("blocked", F.lit(False)).alias("blocked"), "listed_domain", "since")
+    named = asked.select("host", "day", F.explode(F.when(F.col("host").rlike(_ADDRESS), F.array("host")).otherwise(suffixes)).alias("domain"))
+    listed = intervals(entries).select("domain", F.col("since").alias("day"), F.struct("since", "until", "action").alias("entry"))
+    points = named.select("domain", "day").distinct()
+    # On one day the entry comes before the question.
+    as_of = F.last("entry", ignorenulls=True).over(W.partitionBy("domain").orderBy("day", F.col("entry").isNull()).rowsBetween(W.unboundedPreceding, 0))
+    active = listed.unionByName(points, allowMissingColumns=True).select("domain", "day", as_of.alias("held"), F.col("entry").isNull().alias("point")).where("point and held is not null and day < held.until")
+    found = named.join(active.select("domain", "day", "held"), ["domain", "day"])
+    verdict = found.groupBy("host", "day").agg(F.max(F.struct(F.length("domain").alias("n"), "domain", "held")).alias("v"))
+    out = rows.join(verdict, ["host", "day"], "left")
+    return out.select("row.*", "host", F.coalesce(F.col("v.held.action") == "block", F.lit(False)).alias("blocked"), F.col("v.domain").alias("listed_domain"), F.col("v.held.since").alias("since"))
 
 
 #: Entries of whole domains in the registered query.
-DOMAIN_ENTRIES = [("example.org", 120, "block"), ("example.org", 150, "allow"), ("example.net", 200, "allow"), ("example.net", 300, "block"), ("example.net", 310, "allow")]
+DOMAIN_ENTRIES = [("example.org", 120, "block"), ("example.org", 150, "allow"), ("example.net", 200, "allow"), ("example.net", 300, "block"), ("example.net", 310, "allow"), ("example.org", 90, "block"), ("example.org", 90, "allow"), ("example.com", 60, "allow"), ("example.com", 60, "block"), ("example.com", 250, "allow")]
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +88,7 @@ WITH p AS (
   SELECT host AS domain, 2 * ascii(substr(md5(host), 1, 1)) AS a, 2 * ascii(substr(md5(host), 1, 1)) + ascii(substr(md5(host), 2, 1)) AS b
   FROM (SELECT DISTINCT host FROM p WHERE host IS NOT NULL)
 ), e AS (
-  SELECT domain, day, min(action) AS action FROM (
+  SELECT domain, day, CASE WHEN bool_or(action = 'block') THEN 'block' ELSE max(action) END AS action FROM (
     SELECT domain, a AS day, 'block' AS action FROM h WHERE a < 180 UNION ALL SELECT domain, b, 'allow' FROM h WHERE a < 180
     UNION ALL SELECT * FROM (VALUES """
     + ", ".join(f"('{d}', {n}, '{a}')" for d, n, a in DOMAIN_ENTRIES)
@@ -88,7 +98,9 @@ WITH p AS (
 q AS (SELECT DISTINCT host, fetch_day FROM p WHERE host IS NOT NULL),
 m AS (
   SELECT q.host, q.fetch_day, i.domain, i.since, i.action, row_number() OVER (PARTITION BY q.host, q.fetch_day ORDER BY length(i.domain) DESC) AS k
-  FROM q JOIN i ON (q.host = i.domain OR q.host LIKE '%.' || i.domain) AND q.fetch_day >= i.since AND q.fetch_day < i.until
+  FROM q JOIN i ON (q.host = i.domain OR q.host LIKE '%.' || i.domain AND NOT regexp_matches(q.host, '"""
+    + _ADDRESS
+    + """')) AND q.fetch_day >= i.since AND q.fetch_day < i.until
 )
 SELECT p.page_id, p.host, p.fetch_day, coalesce(m.action = 'block', false) AS blocked, m.domain AS listed_domain, CAST(m.since AS INTEGER) AS since
 FROM p LEFT JOIN m ON m.host = p.host AND m.fetch_day = p.fetch_day AND m.k = 1
