@@ -2,28 +2,25 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from prosemill.llm.common import table
 
-DICTIONARY_BYTES = 64 * 1024  #: of text a language; what a dictionary holds at most
-SAMPLE_LONGEST = 20_000  #: code points of the longest text that a dictionary takes
-SAMPLE_TEXTS = 800  #: texts sampled for a language at least, where there are as many; about twice as many at most
-LANGUAGES_MOST = 64  #: the most frequent languages that are learned
+DICTIONARY_BYTES = 112 * 1024  #: of raw text a language; what a dictionary holds at most
+PIECE_CHARS = 256  #: code points that a sampled text gives
+SAMPLE_TEXTS = 1024  #: texts sampled for a language, where there are as many
 LEVEL = 5
 MARGIN = 0.02  #: by which the second smallest must exceed the smallest, as a share of it
-PIECE = 1 << 16  #: bytes compressed at once; a longer text is compressed piece by piece, and its sizes are summed
+BYTES = 1 << 16  #: bytes compressed at once; a longer text is compressed piece by piece, and its sizes are summed
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
 
 
 class Model(NamedTuple):
@@ -38,39 +35,29 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(labelled: DataFrame, lang: str = "lang", text: str = "text", order: str = "doc_id") -> Model:
-    """A raw-content dictionary for each language, from a sample of its texts that is chosen by a hash and bounded.
+    """A raw-content dictionary for each language: pieces of its texts, in lower case, one behind the other.
 
-    A dictionary lists the words of the sample, those of most texts last (zstandard refers to what is near at least cost). It lists
-    each once, so that a passage that the sample holds by chance doesn't make that passage small in its language.
-
-    Counts cover all rows. A text takes part where the hash of ``order`` falls into the share that leaves ``SAMPLE_TEXTS`` to twice as
-    many a language. Texts that are null, empty or longer than ``SAMPLE_LONGEST`` aren't sampled. Without labelled texts the model
-    is empty and predicts ``und``.
+    Every language that has a labelled text is learned: one count and one bounded dictionary each come to the driver. The sample
+    is bounded by ``SAMPLE_TEXTS``, chosen by a hash of ``order`` and text, and the same in every run; a text gives ``PIECE_CHARS``
+    code points from a place that the hash names, so long texts take part as any other. Equal rows give one piece. Texts that
+    are null or empty give none. Without labelled texts the model is empty and predicts ``und``.
     """
-    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(order)).alias("h")).where(f"lang is not null and length(text) between 1 and {SAMPLE_LONGEST}")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES_MOST).collect()}
+    whole = F.col(text)
+    rows = labelled.select(F.col(lang).cast("string").alias("lang"), whole.alias("text"), F.xxhash64(F.col(order), whole).alias("h")).where("lang is not null and length(text) > 0")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model([], [])
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(max(1, n // SAMPLE_TEXTS)))])
-    chosen = rows.where(F.pmod("h", F.element_at(share, F.col("lang"))) == 0).select("lang", "text").limit(4 * SAMPLE_TEXTS * len(counts)).collect()
-    seen: dict[str, Counter] = {name: Counter() for name in counts}
-    for r in chosen:
-        seen[r["lang"]].update(set(letters(r["text"]).split()))
-    out = Model(list(counts), [])
-    for name in out.languages:
-        content, size = [], 0
-        for word, _ in sorted(seen[name].items(), key=lambda x: (-x[1], x[0])):
-            size += len(word.encode("utf-8", "surrogatepass")) + 1
-            if size > DICTIONARY_BYTES:
-                break
-            content.append(word)
-        out.dictionaries.append(" ".join(reversed(content)).encode("utf-8", "surrogatepass"))
-    return out
-
-
-def letters(text: str) -> str:
-    """The text in lower case with a blank for each run of anything but letters."""
-    return _OTHER.sub(" ", text.lower())
+    # A first choice by the hash leaves some twice the sample a language (by chance less than a sample once in many runs); of these the
+    # smallest hashes stay. So what a window sees of a language is bounded.
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(max(1, n // (2 * SAMPLE_TEXTS))))])
+    at = F.pmod(F.shiftrightunsigned("h", 20), F.greatest(F.length("text") - PIECE_CHARS + 1, F.lit(1))).cast("int") + 1
+    few = rows.where(F.pmod("h", F.element_at(share, F.col("lang"))) == 0).select("lang", "h", F.substring(F.col("text"), at, F.lit(PIECE_CHARS)).alias("piece")).distinct()
+    chosen = few.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "piece"))).where(F.col("k") <= SAMPLE_TEXTS).collect()
+    names = sorted(counts, key=lambda k: (-counts[k], k))
+    content: dict[str, list[bytes]] = {k: [] for k in names}
+    for r in sorted(chosen, key=lambda r: (r["lang"], r["k"])):
+        content[r["lang"]].append(r["piece"].lower().encode("utf-8", "surrogatepass"))
+    return Model(names, [b" ".join(content[k])[:DICTIONARY_BYTES] for k in names])
 
 
 def _compressors(model: Model) -> list[zstandard.ZstdCompressor]:
@@ -87,8 +74,8 @@ def has_letter(text: str | None) -> bool:
 
 
 def sizes(text: str, compressors: list[zstandard.ZstdCompressor]) -> list[int]:
-    data = letters(text).encode("utf-8", "surrogatepass")
-    pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+    data = text.lower().encode("utf-8", "surrogatepass")
+    pieces = [data[i : i + BYTES] for i in range(0, len(data), BYTES)]
     return [sum(len(c.compress(p)) for p in pieces) for c in compressors]
 
 
