@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import table
+from prosemill.llm.common import materialize, table
 
 K1, B = 1.2, 0.75
 WINDOW, STRIDE = 80, 40  #: words of a passage; each run of up to 40 words lies whole in one passage
@@ -35,7 +35,7 @@ class Index(NamedTuple):
     maxima: np.ndarray  #: greatest weight of each term in each block
     blocks: list[dict[int, tuple[np.ndarray, np.ndarray]]]  #: postings of each block: term to units and weights
     unit_item: list[int]  #: position of the item that a unit belongs to
-    items: list[tuple[int, frozenset, frozenset]]  #: id, shingles of the question, shingles of the answer
+    items: list[tuple[int, int, frozenset, frozenset]]  #: id, words, shingles of the question, shingles of the answer
 
 
 def words_of(text: str) -> list[str]:
@@ -54,33 +54,55 @@ def _shingles(words: list[str]) -> frozenset:
     return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if words else frozenset()
 
 
-def build_index(items: list[tuple[int, str]]) -> Index:
-    """Weights are BM25 of a term in a unit over the unit's score for itself: a passage that holds all of a unit scores 1."""
+class Counts(NamedTuple):
+    """Counts over all units of a benchmark: units, their mean words, and the units that hold each term (of some terms at least)."""
+
+    units: int
+    mean: float
+    holding: dict[str, int]
+
+
+def units_of(text: str | None) -> list[Counter]:
+    """A text's words in units of ``UNIT`` words or a little fewer."""
+    words = words_of(text or "")
+    size = math.ceil(len(words) / max(1, math.ceil(len(words) / UNIT)))
+    return [Counter(words[i : i + size]) for i in range(0, len(words), size)] if words else []
+
+
+def counted(texts: list[str]) -> Counts:
+    units = [u for t in texts for u in units_of(t)]
+    return Counts(len(units), sum(u.total() for u in units) / max(1, len(units)), Counter(t for u in units for t in u))
+
+
+def build_index(items: list[tuple[int, str]], counts: Counts | None = None) -> Index:
+    """Weights are BM25 of a term in a unit over the unit's score for itself: a passage that holds all of a unit scores 1.
+
+    ``counts`` are those of the whole benchmark, of which ``items`` may be a part; by default the items are the whole.
+    """
+    counts = counts or counted([t for _, t in items])
     units: list[Counter] = []
     unit_item, kept = [], []
     for item, text in items:
         words = words_of(text or "")
         if not words:
             continue
-        q, a = (words_of(x) for x in question_and_answer(text))
-        # The shingle across the border belongs to the answer, so that both together are those of the whole item.
-        whole, first = _shingles(words), _shingles(q) if len(q) >= SHINGLE else frozenset()
-        kept.append((item, first & whole, whole - first))
-        parts = max(1, math.ceil(len(words) / UNIT))
-        size = math.ceil(len(words) / parts)
-        for i in range(0, len(words), size):
-            units.append(Counter(words[i : i + size]))
-            unit_item.append(len(kept) - 1)
-    n, mean = len(units), sum(sum(u.values()) for u in units) / max(1, len(units))
-    df = Counter(t for u in units for t in u)
+        q = words_of(question_and_answer(text)[0])
+        # The question's shingles begin in it and lie inside, or begin with it where it has fewer words than a shingle; the others
+        # belong to the answer, so that both together are those of the whole item.
+        whole, first = _shingles(words), _shingles(words[: max(SHINGLE, len(q))]) if q else frozenset()
+        kept.append((item, len(words), first, whole - first))
+        own = units_of(text)
+        units += own
+        unit_item += [len(kept) - 1] * len(own)
+    n = len(units)
     weights: list[tuple[float, int, dict[str, float]]] = []
     for k, u in enumerate(units):
-        norm = K1 * (1 - B + B * sum(u.values()) / mean)
-        weight = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in u.items()}
+        norm = K1 * (1 - B + B * u.total() / counts.mean)
+        weight = {t: math.log(1 + (counts.units - counts.holding[t] + 0.5) / (counts.holding[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in u.items()}
         total = sum(weight.values())
         weights.append((total, k, {t: w / total for t, w in weight.items()}))
     weights.sort(key=lambda x: x[:2])
-    terms = {t: i for i, t in enumerate(df)}
+    terms = {t: i for i, t in enumerate(dict.fromkeys(t for u in units for t in u))}
     size = max(BLOCK, math.ceil(n / BLOCKS_MOST))
     count = math.ceil(n / size)
     maxima = np.zeros((len(terms) + 1, count), np.float32)
@@ -130,7 +152,18 @@ def passages(terms: np.ndarray, none: int) -> np.ndarray:
 PASSAGES_AT_ONCE = 2048
 
 
-def matches(index: Index, text: str, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
+def _regions(hits: list[int], margin: int, n: int) -> list[tuple[int, int]]:
+    """Runs of words around the passages that begin at ``hits``, each with ``margin`` words on both sides; runs that touch are one."""
+    out: list[tuple[int, int]] = []
+    for at in sorted(hits):
+        lo, hi = max(0, at - margin), min(n, at + WINDOW + margin)
+        if out and lo <= out[-1][1]:
+            lo = out.pop()[0]
+        out.append((lo, hi))
+    return out
+
+
+def matches(index: Index, text: str, threshold: float, overlap: float) -> list[tuple[int, float, float | None, float]]:
     """(item, best score, question overlap, answer overlap) of the items that the text holds."""
     words = words_of(text)
     if not words or not index.items:
@@ -138,22 +171,27 @@ def matches(index: Index, text: str, threshold: float, overlap: float) -> list[t
     none = len(index.terms)
     terms = np.fromiter(map(index.terms.get, words, repeat(none)), np.int32, len(words))
     best: dict[int, float] = {}
+    where: dict[int, list[int]] = defaultdict(list)
     step = PASSAGES_AT_ONCE * STRIDE
     for i in range(0, len(terms), step):
         rows = passages(terms[i : i + step + WINDOW - STRIDE], none)
-        for _, unit, score in wand(index, rows, threshold):
+        for row, unit, score in wand(index, rows, threshold):
             item = index.unit_item[unit]
             best[item] = max(best.get(item, 0.0), score)
-    if not best:
-        return []
-    sizes = {len(g) for item in best for s in index.items[item][1:] for g in s}
-    held = {k: set(zip(*(words[j:] for j in range(k)))) for k in sizes}
+            where[item].append(i + row * STRIDE)
     out = []
     for item, score in best.items():
-        name, q, a = index.items[item]
-        hits = [sum(g in held[len(g)] for g in s) for s in (q, a)]
-        if sum(hits) >= overlap * (len(q) + len(a)) and all(h or not s for h, s in zip(hits, (q, a))):
-            out.append((name, round(score, 6), hits[0] / len(q) if q else 1.0, hits[1] / len(a) if a else 1.0))
+        name, size, q, a = index.items[item]
+        # An item is confirmed in one place: around the passages that were found, by as many words as it has.
+        found = []
+        for lo, hi in _regions(where[item], size, len(words)):
+            held = _shingles(words[lo:hi]) if size >= SHINGLE else set(zip(*(words[lo + j : hi] for j in range(size))))
+            hits = [sum(g in held for g in s) for s in (q, a)]
+            if sum(hits) >= overlap * (len(q) + len(a)) and all(h or not s for h, s in zip(hits, (q, a))):
+                found.append((sum(hits), *hits))
+        if found:
+            _, in_q, in_a = max(found)
+            out.append((name, round(score, 6), in_q / len(q) if q else None, in_a / len(a) if a else None))
     return out
 
 
@@ -161,9 +199,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """(doc_id, item_id, score, question_overlap, answer_overlap): a row for every test item found in a document.
 
     Every passage (80 words, every 40) of a whole text asks the index for all units that it covers by ``threshold`` of their BM25
-    score. An item so found is confirmed if the text holds ``overlap`` of its five-word shingles, and some of the question's as well
-    as of the answer's. The index goes to the tasks only in shards of at most ``INDEX_BYTES`` of benchmark text, however large the
-    benchmark is; each shard reads the documents once.
+    score. An item so found is confirmed if the text holds, around those passages, ``overlap`` of its five-word shingles, and some of
+    the question's as well as of the answer's; the overlap of a part that an item hasn't got is null. Weights are those of the whole
+    benchmark, however it is split: the index goes to the tasks in shards of at most ``INDEX_BYTES`` of benchmark text, and each
+    shard reads the documents once.
 
     Null or empty texts and items match nothing. Documents that repeat an id give a row each; items that repeat an id are
     different items. Other columns are ignored.
@@ -197,13 +236,33 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
 
 
 def _indexes(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator:
-    """Broadcast indexes over shards of at most ``INDEX_BYTES`` of text on average; an empty benchmark has an empty one."""
+    """Broadcast indexes over shards of at most ``INDEX_BYTES`` of text on average; an empty benchmark has an empty one.
+
+    Of a benchmark in several shards, counts are made by Spark over all items, and a shard gets those of its own terms.
+    """
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, math.ceil(size / INDEX_BYTES))
+    if shards == 1:
+        yield spark.sparkContext.broadcast(build_index([tuple(r) for r in items.orderBy("item_id", "text").collect()]))
+        return
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = [(shard, t, 1) for u in units_of(text) for t in u] + [(shard, None, u.total()) for u in units_of(text)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64()))], ["shard", "term", "n"])
+
+    held = materialize(items.select("shard", "text").mapInArrow(terms, "shard int, term string, n long").groupBy("shard", "term").agg(F.count("*").alias("units"), F.sum("n").alias("words")))
+    units, words = held.where("term is null").agg(F.sum("units"), F.sum("words")).first()
+    everywhere = materialize(held.where("term is not null").groupBy("term").agg(F.sum("units").alias("units")))
     for k in range(shards):
-        shard = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        yield benchmark.sparkSession.sparkContext.broadcast(build_index([tuple(r) for r in shard.orderBy("item_id", "text").collect()]))
+        own = everywhere.join(held.where((F.col("shard") == k) & F.col("term").isNotNull()).select("term"), "term", "left_semi")
+        counts = Counts(units or 0, (words or 0) / max(1, units or 0), {r["term"]: r["units"] for r in own.collect()})
+        part = items.where(F.col("shard") == k).select("item_id", "text").orderBy("item_id", "text").collect()
+        yield spark.sparkContext.broadcast(build_index([tuple(r) for r in part], counts))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
