@@ -27,7 +27,7 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 _ESCAPED = re.compile(r"(?:\\+r)?\\+n|\\+r")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{32,}+={0,2}[ \t]*[\r\n]+[ \t]*)++(?:[A-Za-z0-9+/_-]++={0,2})?")
@@ -198,15 +198,18 @@ def confirmed_spans(text: str, depth: int = 0) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     text = _unescaped(text)
     if "-----BEGIN" in text:
-        for m in _BEGIN.finditer(text):
-            end = text.find(stop := f"-----END {m[1]}-----", m.end())
-            if end < 0:
+        begin = None
+        for m in _MARK.finditer(text):
+            # A key ends at the next mark: one that begins another key leaves it without an end.
+            if m[1] == "BEGIN" or begin is None or begin[2] != m[2]:
+                begin = m if m[1] == "BEGIN" else None
                 continue
+            start, at, end, begin = begin.start(), begin.end(), m, None
             # Headers of old encrypted keys end with an empty line.
-            body = text[m.end() : end].replace("\r\n", "\n").replace("\\/", "/")
+            body = text[at : end.start()].replace("\r\n", "\n").replace("\\/", "/")
             key = decoded("".join(re.split(r"\n[ \t]*\n", body.rstrip())[-1].split()))
             if key and (is_private_der(key) or is_openssh(key) or "Proc-Type:" in body and len(key) % 8 == 0):
-                out.append(("pem", m.start(), end + len(stop)))
+                out.append(("pem", start, end.end()))
     if _has_long(text):
         out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
         pems = [x for x in out if x[0] == "pem"]
