@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from prosemill.llm.common import materialize, table
 from prosemill.llm.op3_decontam import decontaminated
-from prosemill.llm.op4_pii import pseudonymize
+from prosemill.llm.op4_pii import key_of, pseudonymize
 from prosemill.llm.op5_packing import digests, pack
 from prosemill.llm.op7_minhash import near_duplicates
 from prosemill.llm.op9_language import classify, held_out, train
@@ -30,18 +30,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
+    """Documents that hold no test item. Null and empty texts hold none; rows that repeat an id are judged by their own text."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal values; n_chars follows the text."""
-    done = pseudonymize(docs)
+    """All documents, with pseudonyms for personal values; n_chars follows a text that was changed. Null and empty texts and repeated rows stay as they are."""
+    done = pseudonymize(docs, key_of(spark))
     return done.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, packed into sequences."""
+    """The documents' pieces, packed into sequences, with the columns of op5. A null or empty text is one end id; repeated rows are packed each."""
     return digests(pack(docs))
 
 

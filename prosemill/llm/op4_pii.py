@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from prosemill.llm.common import table
 
-KEY = b"prosemill: replace this key in production"
+KEY_SETTING = "spark.prosemill.pii.key"
 ROUNDS = 10
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -107,11 +108,23 @@ def _iban(m: re.Match, key: bytes) -> str | None:
     return _refill(m[0], f"{compact[:2]}{check:02d}{body}")
 
 
+#: Ranges of addresses with a use of their own, as (first address, bits that are free); a pseudonym stays in its range.
+_RANGES = [(0x00000000, 24), (0x0A000000, 24), (0x64400000, 22), (0x7F000000, 24), (0xA9FE0000, 16), (0xAC100000, 20), (0xC0A80000, 16), (0xE0000000, 28), (0xF0000000, 28)]
+
+
+def _range(value: int) -> tuple[int, int] | None:
+    return next(((first, bits) for first, bits in _RANGES if value >> bits == first >> bits), None)
+
+
 def _ip(m: re.Match, key: bytes) -> str | None:
     parts = [int(x) for x in m[0].split(".")]
     if max(parts) > 255:
         return None
-    value = feistel(int.from_bytes(bytes(parts), "big"), 1 << 32, key, "ip")
+    value = int.from_bytes(bytes(parts), "big")
+    if own := _range(value):
+        value = own[0] + feistel(value - own[0], 1 << own[1], key, f"ip{own[0]}")
+    else:
+        value = _walk(value, 1 << 32, key, "ip", lambda x: _range(x) is None)
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
@@ -134,33 +147,46 @@ def _ssn(m: re.Match, key: bytes) -> str | None:
     return _refill(m[0], f"{_walk(value, 10**9, key, 'ssn', _valid_ssn):09d}") if _valid_ssn(value) else None
 
 
+def _valid_phone(value: int) -> bool:
+    """Ten digits by the North American plan: an area from 2 on, and an exchange that doesn't begin with 0 (with 1 it is met in examples)."""
+    return value // 10**9 >= 2 and value // 10**6 % 10 >= 1
+
+
 def _phone(m: re.Match, key: bytes) -> str | None:
     digits = re.sub(r"\D", "", m[0])
-    return _refill(m[0], digits[:-10] + f"{feistel(int(digits[-10:]), 10**10, key, 'phone' + digits[:-10]):010d}")
+    country, value = digits[:-10], int(digits[-10:])
+    if country in ("", "1"):
+        if not _valid_phone(value):
+            return None
+        new = _walk(value, 10**10, key, "phone", _valid_phone)
+    elif country[0] == "0" or len(set(digits[-10:])) == 1:
+        return None
+    else:
+        new = feistel(value, 10**10, key, "phone" + country)
+    return _refill(m[0], f"{country}{new:010d}")
 
 
 def _date(m: re.Match, key: bytes) -> str | None:
+    """A date's new day is one with as many digits in day and in month, so each keeps its width; the three orders share one permutation."""
     if m[1]:
-        order = [(int(m[1]), int(m[3]), int(m[4]))]
-        places = [(0, 1, 2)]
+        orders = [(1, 3, 4)]
     else:  # month first with slashes where that is a date, else day first
-        a, b, y = int(m[5]), int(m[7]), int(m[8])
-        order, places = [(y, b, a), (y, a, b)], [(2, 1, 0), (1, 2, 0)]
+        orders = [(8, 7, 5), (8, 5, 7)]
         if m[6] == "/":
-            order.reverse(), places.reverse()
-    for (y, mo, d), place in zip(order, places):
+            orders.reverse()
+    for order in orders:
+        y, mo, d = (int(m[k]) for k in order)
         try:
             day = datetime.date(y, mo, d).toordinal()
         except ValueError:
             continue
         if not _FIRST <= day <= _LAST:
             return None
-        new = datetime.date.fromordinal(_FIRST + feistel(day - _FIRST, _LAST - _FIRST + 1, key, "date"))
-        sep = m[2] or m[6]
-        if m[1]:
-            return f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}"
-        first, second = (new.day, new.month) if place == (2, 1, 0) else (new.month, new.day)
-        return f"{first:02d}{sep}{second:02d}{sep}{new.year:04d}"
+        short = lambda x: ((t := datetime.date.fromordinal(_FIRST + x)).month < 10, t.day < 10)
+        own = (mo < 10, d < 10)
+        new = datetime.date.fromordinal(_FIRST + _walk(day - _FIRST, _LAST - _FIRST + 1, key, "date", lambda x: short(x) == own))
+        by = dict(zip(order, (new.year, new.month, new.day)))
+        return (m[2] or m[6]).join(f"{by[k]:0{len(m[k])}d}" for k in sorted(order))
     return None
 
 
@@ -219,13 +245,19 @@ def pseudonymized(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]
     return "".join([*out, text[at:]]), [(k, a, b) for a, b, k, _ in taken]
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY, text: str = "text", spans: str = "pii_spans") -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key by ``spark.prosemill.pii.key``. Where it is unset, a random one: then values stay linked within one call alone."""
+    key = spark.conf.get(KEY_SETTING, None)
+    return hashlib.blake2b(key.encode()).digest() if key else secrets.token_bytes(64)
+
+
+def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", spans: str = "pii_spans") -> DataFrame:
     """``docs`` with pseudonyms in ``text`` and the spans of what was replaced (in the old text) in ``spans``.
 
-    A value is replaced only if it validates: check digits of cards and IBANs, number ranges, calendar dates from 1900 to 2099. Equal
-    values of a kind and format get equal pseudonyms in every document, different values different ones; separators and the shape
-    stay. Dates are written with two-digit days and months. A null text stays null and has no spans; rows and other columns stay,
-    but a column by the name of ``spans`` is replaced.
+    A value is replaced only if it validates: check digits of cards and IBANs, ranges of numbers, phones and addresses, calendar
+    dates from 1900 to 2099. Equal values of a kind get equal pseudonyms in every document under one key, different values different
+    ones; separators, widths and the shape stay. A null text stays null and has no spans; rows and other columns stay, but a column
+    by the name of ``spans`` is replaced.
     """
     source = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != spans.lower()])
     at = source.columns.index(text)
@@ -249,5 +281,5 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, text: str = "text", spans: s
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms, and how many values of each were replaced."""
-    done = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
     return done.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_values"), F.array_join(F.transform("pii_spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"))
