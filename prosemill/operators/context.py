@@ -7,45 +7,58 @@ without one pass per document; it is one Arrow pass. All rules then run on its c
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 HOLE = "\x01"  #: stands for each blanked byte in ``holed``: no space, so that nothing matches across a hole
 WORD = r"[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)*"
 
+#: vocab: runs of letters and digits, folded; present: the literals asked for that the folded text holds anywhere. Both decide
+#: whether a rule's expression runs on a text at all. shouted: words that stand in capitals and small; titled: Title Case phrases that
+#: also stand in lower case.
 SCHEMA = (
-    "masked string, holed string, untabled string, words int, raw_words int, vocab array<string>, "
+    "masked string, holed string, untabled string, words int, raw_words int, vocab array<string>, present array<string>, "
     "sentences array<struct<start:int,length:int,words:int,text:string,lead:string>>, "
     "headings array<struct<level:int,text:string,line:int,start:int,raw:string>>, "
-    "items array<struct<line:int,start:int,marker:string,text:string>>, "
+    "items array<struct<line:int,start:int,line_start:int,marker:string,text:string,raw:string>>, "
     "links array<struct<text:string,target:string,start:int,length:int,image:boolean>>, "
     "bolds array<struct<text:string,start:int,length:int>>, "
     "lines array<struct<line:int,start:int,text:string,blank:boolean,table:boolean>>, "
-    "fences array<struct<start:int,length:int,info:string>>, "
-    "refs array<struct<id:string,start:int,length:int,line:int,used:boolean>>, breaks array<struct<line:int,start:int,length:int,heading_next:boolean>>"
+    "fences array<struct<start:int,info:string>>, "
+    "refs array<struct<id:string,start:int,length:int,line:int,used:boolean>>, breaks array<struct<line:int,start:int,length:int,heading_next:boolean>>, "
+    "shouted array<struct<word:string,low:string,start:int>>, titled array<struct<phrase:string,start:int>>"
 )
+COLUMNS = tuple(re.findall(r"(?:^|, )(\w+) (?=string|int|array)", SCHEMA))
 
 # Words before a full stop that doesn't end a sentence.
 ABBREVIATIONS = frozenset("mr mrs ms dr prof sr jr st vs etc inc ltd co no fig al eg ie e.g i.e u.s u.k a.m p.m approx".split())
 
 _WORDS = re.compile(WORD)
-_PLAIN = re.compile("[a-z0-9]+")  #: ``vocab``: what decides whether a rule's expression runs on a text at all
+_PLAIN = re.compile("[a-z0-9]+")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)")
 _FRONT = re.compile(r"\A(---|\+\+\+)[ \t]*\n.*?\n\1[ \t]*(?:\n|\Z)", re.S)
 _HOLES = [re.compile(r"(`{1,3})[^`\n]+?\1"), re.compile(r"<!--[\s\S]*?-->"), re.compile(r"\{\{[\s\S]*?\}\}"), re.compile(r"</?[a-zA-Z][^>\n]*>")]
 _MARKS = re.compile(r"[`<~]|\{\{|\A(?:---|\+\+\+)")
 _HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$")
 _ITEM = re.compile(r"([ \t]*)([-*+]|\d+[.)])[ \t]+(.*)$")
-_LINK = re.compile(r"(!?)\[([^\]\n]*)\]\(([^()\s]*(?:\([^()\s]*\))?[^()\s]*)(?:\s+\"[^\"\n]*\")?\)")
-_BOLD = re.compile(r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1")
-_BREAK = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
-_SEPARATOR = re.compile(r"[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$")
-_REF = re.compile(r" {0,3}\[([^\]\n]+)\]:\s*(\S+)")
-_REF_USE = re.compile(r"\[([^\]\n]+)\](?:\[([^\]\n]*)\])?(?![(:\[])")
+_TARGET = r"\[([^\]]*)\]\(([^)\s]*)[^)]*\)"
+_LINK, _IMAGE = re.compile("(?<!!)" + _TARGET), re.compile("!" + _TARGET)
+_BOLD = re.compile(r"\*\*([^*\n]+)\*\*|__([^_\n]+)__")
+_BREAK = re.compile(r"\s{0,3}([-*_])(?:\s*\1){2,}\s*$")
+_SEPARATOR = re.compile(r"\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$")
+_REF = re.compile(r"\s{0,3}\[([^\]]+)\]:\s+\S")
+_REF_USES = [re.compile(r"\]\[([^\]]+)\]"), re.compile(r"(?<!!)\[([^\]\[]+)\](?![\[(:])")]
+_SHOUT = re.compile(r"\b[A-Z]{2,5}\b", re.A)
+_TITLE = re.compile(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b")
+_ANY_WORD = re.compile(r"\w+")
+# Words of a sentence's start that a Title Case phrase sheds.
+TITLE_STOPS = frozenset("the a an this that these those it he she they we you i if when while for and but or not as at by in on to of is are was were be note tip see use run add get set so such each any all".split())
 _END = re.compile(r"[.!?]+[\"')\]”’]?(\s+|$)")
 
 
@@ -117,33 +130,71 @@ def is_table_line(line: str) -> bool:
     return line.lstrip().startswith("|") or bool(_SEPARATOR.match(line)) or line.count("|") >= 2
 
 
-def context_of(text: str) -> tuple:
-    """All columns of ``SCHEMA`` for one text."""
+def folded(text: str) -> str:
+    """Case-folded as the JVM compares letters: what matches regardless of case is equal here."""
+    return text.replace("İ", "i").casefold()
+
+
+def context_of(text: str, wanted: tuple[str, ...] = COLUMNS, finder: Callable[[str], list[str]] = lambda low: []) -> dict:
+    """The wanted columns of ``SCHEMA`` for one text; ``finder`` gives the literals that a folded text holds."""
     ranges = _ranges(text)
     masked = _blank(text, ranges, " ")
-    holed = _blank(text, ranges, HOLE) if ranges else masked
-    raw_lines = text.split("\n")
-    lines, at = [], 0
-    for i, line in enumerate(masked.split("\n")):
-        lines.append((i, at, line, not line.strip(), is_table_line(line)))
-        at += len(line) + 1
+    out: dict = {"masked": masked, "present": []}
+    asks = lambda *names: any(n in wanted for n in names)
+    if asks("holed"):
+        out["holed"] = _blank(text, ranges, HOLE) if ranges else masked
+    if asks("words", "raw_words"):
+        out["words"] = len(_WORDS.findall(masked))
+        out["raw_words"] = len(_WORDS.findall(text)) if ranges else out["words"]
+    if asks("vocab", "present"):
+        low = folded(masked)
+        out["vocab"], out["present"] = list(set(_PLAIN.findall(low))), finder(low)
+    if asks("bolds"):
+        pos = _Bytes(masked)
+        out["bolds"] = [((m[1] or m[2]), pos(m.start()), _size(m[0])) for m in _BOLD.finditer(masked)] if "**" in masked or "__" in masked else []
+    if asks("links"):
+        pos = _Bytes(masked)
+        found = sorted((m.start(), image, m) for image, p in ((True, _IMAGE), (False, _LINK)) for m in p.finditer(masked)) if "](" in masked else []
+        out["links"] = [(m[1], m[2], pos(at), _size(m[0]), image) for at, image, m in found]
+    if asks("fences"):
+        out["fences"] = list(_fences(text))
+    if asks("shouted"):
+        out["shouted"] = list(_shouted(masked))
+    if asks("lines", "untabled", "headings", "items", "breaks", "refs", "sentences", "titled"):
+        _by_line(text, masked, bool(ranges), out, asks)
+    return out
+
+
+def _by_line(text: str, masked: str, holes: bool, out: dict, asks: Callable[..., bool]) -> None:
+    """Columns that follow the lines: structure, blocks and their sentences."""
     pos = _Bytes(masked)
-    untabled = "\n".join(" " * _size(x[2]) if x[4] else x[2] for x in lines) if any(x[4] for x in lines) else masked
-    headings, items, blocks, breaks, refs = [], [], [], [], []
-    start = None
-    for i, at, line, blank, _ in lines:
-        raw = raw_lines[i] if i < len(raw_lines) else line
+    raw_lines = text.split("\n") if holes else None
+    headings, items, blocks, breaks, refs, lines, tables = [], [], [], [], [], [], set()
+    start, at, waiting = None, 0, []
+    # Masking keeps bytes, not characters: where lines have holes, a place in the raw line is one in bytes.
+    raw_part = lambda raw, line, a, b: line[a:b] if raw is line else raw.encode("utf-8", "surrogatepass")[_size(line[:a]) : _size(line[:b])].decode("utf-8", "surrogatepass")
+    for i, line in enumerate(masked.split("\n")):
+        raw = raw_lines[i] if holes else line
+        blank, begin = not line.strip(), pos(at)
+        table = "|" in line and is_table_line(line)
+        if table:
+            tables.add(i)
+        lines.append((i, begin, raw, blank, table))
         h = None if blank else _HEADING.match(line)
         item = None if blank or h else _ITEM.match(line)
+        if waiting and raw.strip():
+            is_heading = bool(re.match(r"#[ #]", raw.lstrip()))
+            breaks += [(*w, is_heading) for w in waiting]
+            waiting = []
         if h:
-            headings.append({"level": len(h[1]), "text": h[2], "line": i, "start": pos(at), "raw": raw})
+            headings.append((len(h[1]), raw_part(raw, line, *h.span(2)), i, begin + _size(line[: h.start(2)]), raw))
         if item:
-            items.append({"line": i, "start": pos(at), "marker": item[2], "text": item[3]})
-        if not blank and _BREAK.match(line) and not item:
-            after = next((x for x in raw_lines[i + 1 :] if x.strip()), "")
-            breaks.append({"line": i, "start": pos(at), "length": _size(line), "heading_next": bool(re.match(r"#[ #]", after))})
-        if r := _REF.match(line):
-            refs.append({"id": r[1].lower(), "start": pos(at), "length": _size(line), "line": i})
+            items.append((i, begin + _size(line[: item.start(3)]), begin, item[2], raw_part(raw, line, *item.span(3)), raw))
+        if not blank:
+            if _BREAK.match(line):
+                waiting.append((i, begin, _size(raw)))
+            if r := _REF.match(line):
+                refs.append((raw_part(raw, line, *r.span(1)).lower(), begin, _size(line), i))
         if (blank or h or item) and start is not None:
             blocks.append((start, at))
             start = None
@@ -151,34 +202,74 @@ def context_of(text: str) -> tuple:
             blocks.append((at, at + len(line)))
         elif not blank and not h and start is None:
             start = at
+        at += len(line) + 1
     if start is not None:
         blocks.append((start, len(masked)))
-    used = {(m[2] or m[1]).lower() for i, _, line, _, _ in lines if "[" in line and not _REF.match(line) for m in _REF_USE.finditer(line)} if refs else set()
-    refs = [{**r, "used": r["id"] in used} for r in refs]
-    sentences = list(_sentences(masked, blocks, pos))
-    links = [{"text": m[2], "target": m[3], "start": pos(m.start()), "length": _size(m[0]), "image": bool(m[1])} for m in _LINK.finditer(masked)] if "](" in masked else []
-    bolds = [{"text": m[2], "start": pos(m.start()), "length": _size(m[0])} for m in _BOLD.finditer(masked)] if "**" in masked or "__" in masked else []
-    fences, opened, at = [], False, 0
-    if "```" in text or "~~~" in text:
-        for line in raw_lines:
-            if m := _FENCE.match(line):
-                if not opened:
-                    fences.append({"start": _size(text[:at]), "length": _size(line), "info": m[2].strip()})
-                opened = not opened
-            at += len(line) + 1
-    shown = [{"line": i, "start": pos(at), "text": raw_lines[i] if i < len(raw_lines) else line, "blank": blank, "table": table} for i, at, line, blank, table in lines]
-    return masked, holed, untabled, sum(1 for _ in _WORDS.finditer(masked)), sum(1 for _ in _WORDS.finditer(text)), list(set(_PLAIN.findall(masked.lower()))), sentences, headings, items, links, bolds, shown, fences, refs, breaks
-
-
-def _sentences(masked: str, blocks: list[tuple[int, int]], pos: _Bytes) -> Iterator[dict]:
-    def sentence(a: int, b: int) -> Iterator[dict]:
+    used = {m[1].lower() for p in _REF_USES for m in p.finditer(masked)} if refs else set()
+    out |= {"lines": lines, "headings": headings, "items": items, "breaks": breaks + [(*w, False) for w in waiting], "refs": [(*r, r[0] in used) for r in refs]}
+    if asks("untabled"):
+        out["untabled"] = "\n".join(" " * _size(x) if i in tables else x for i, x in enumerate(masked.split("\n"))) if tables else masked
+    if asks("sentences"):
+        out["sentences"] = list(_sentences(masked, blocks, _Bytes(masked)))
+    if asks("titled"):
+        out["titled"] = list(_titled(masked, {h[2] for h in headings} | tables))
+
+
+def _fences(text: str) -> Iterator[tuple[int, str]]:
+    """(start, info) of the fences that open; every second one closes."""
+    if "```" not in text and "~~~" not in text:
+        return
+    opened, at = False, 0
+    for line in text.split("\n"):
+        body = line.lstrip()
+        if body.startswith(("```", "~~~")):
+            if not opened:
+                yield at + _size(line) - _size(body), body.lstrip("`~").strip()
+            opened = not opened
+        at += _size(line) + 1
+
+
+def _shouted(masked: str) -> Iterator[tuple[str, str, int]]:
+    """(WORD, word, start): words of 2 to 5 capitals that also stand in small letters, with the first such place."""
+    caps = {m[0].lower(): m[0] for m in _SHOUT.finditer(masked)}
+    if caps:
+        pos = _Bytes(masked)
+        for m in _ANY_WORD.finditer(masked):
+            if m[0] in caps:
+                yield caps.pop(m[0]), m[0], pos(m.start())
+
+
+def _titled(masked: str, left_out: set[int]) -> Iterator[tuple[str, int]]:
+    """(phrase, start): Title Case phrases outside headings and tables that also stand in lower case; each phrase once."""
+    pos, at, line, seen = _Bytes(masked), 0, 0, {}
+    for m in _TITLE.finditer(masked):
+        line += masked.count("\n", at, m.start())
+        at = m.start()
+        if line in left_out:
+            continue
+        words = m[0].split(" ")
+        while words and words[0].lower() in TITLE_STOPS:
+            words.pop(0)
+        phrase = " ".join(words)
+        low = phrase.lower()
+        if len(words) < 2:
+            continue
+        if low not in seen:
+            seen[low] = bool(re.search(rf"(?<![A-Za-z0-9]){low}(?![A-Za-z0-9])", masked))
+        if seen[low]:
+            seen[low] = False
+            yield phrase, pos(m.end() - len(phrase))
+
+
+def _sentences(masked: str, blocks: list[tuple[int, int]], pos: _Bytes) -> Iterator[tuple]:
+    def sentence(a: int, b: int) -> Iterator[tuple]:
         text = masked[a:b]
-        count = sum(1 for _ in _WORDS.finditer(text))
+        count = len(_WORDS.findall(text))
         if count:
             body = text.strip()
             first = a + len(text) - len(text.lstrip())
             line_start = masked.rfind("\n", 0, first) + 1
-            yield {"start": pos(a), "length": _size(text), "words": count, "text": body, "lead": masked[line_start:first] + (re.match(r"\d*[.)]?\s*", body)[0])}
+            yield pos(a), _size(text), count, body, masked[line_start:first] + (re.match(r"\d*[.)]?\s*", body)[0])
 
     for a, b in blocks:
         cursor = a
@@ -194,24 +285,32 @@ def _sentences(masked: str, blocks: list[tuple[int, int]], pos: _Bytes) -> Itera
         yield from sentence(cursor, b)
 
 
-def with_context(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns of ``SCHEMA``; a null text is an empty one."""
-    added = StructType.fromDDL(SCHEMA)
-    names = set(added.names)
-    source = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
+def with_context(docs: DataFrame, text: str = "text", columns: tuple[str, ...] = COLUMNS, literals: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with the asked columns of ``SCHEMA``; a null text is an empty one. ``present`` looks for ``literals``, folded as by ``folded``."""
+    wanted = tuple(c for c in COLUMNS if c in columns)
+    added = StructType([f for f in StructType.fromDDL(SCHEMA).fields if f.name in wanted])
+    source = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in COLUMNS])
     at = source.columns.index(text)
-    arrow = [pa.field(n, t) for n, t in zip(added.names, _arrow_types())]
+    arrow = [pa.field(f.name, to_arrow_type(f.dataType)) for f in added.fields]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _finder(literals)
         for batch in batches:
-            rows = [context_of(v.as_py() or "") for v in batch.column(at)]
-            new = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added.names])
+            for i in range(0, len(batch), 500):  # long columns of a few texts at a time
+                part = batch.slice(i, 500)
+                rows = [context_of(v.as_py() or "", wanted, finder) for v in part.column(at)]
+                new = [pa.array([r[f.name] for r in rows], f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *wanted])
 
     return source.mapInArrow(parse, StructType([*source.schema.fields, *added.fields]))
 
 
-def _arrow_types() -> list[pa.DataType]:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return [to_arrow_type(f.dataType) for f in StructType.fromDDL(SCHEMA).fields]
+def _finder(literals: tuple[str, ...]) -> Callable[[str], list[str]]:
+    """Which of the literals stand anywhere in a text: one pass over it, however many there are."""
+    if not literals:
+        return lambda low: []
+    machine = ahocorasick.Automaton()
+    for x in literals:
+        machine.add_word(x, x)
+    machine.make_automaton()
+    return lambda low: list({x for _, x in machine.iter(low)})

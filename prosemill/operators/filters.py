@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 LANGUAGES = "ar bg cs da de el en en-gb en-us es et fi fr he hi hr hu id it ja ko lt lv ms nl no pl pt pt-br ro ru sk sl sv th tr uk vi zh zh-cn zh-tw".split()
 SOURCE_LANGUAGES = ("en", "en-us", "en-gb")
 SKIPPED_FOLDERS = (
-    "node_modules .git dist build .next coverage .mari testdata test-data fixtures __fixtures__ golden snapshots __snapshots__ target out vendor vendored 3rdparty thirdparty "
+    "node_modules .git dist build .next coverage testdata test-data fixtures __fixtures__ golden snapshots __snapshots__ target out vendor vendored 3rdparty thirdparty "
     "third_party third-party"
 ).split()
 GENERATED = ("CHANGELOG", "HISTORY", "LICENSE", "NOTICE")
@@ -24,8 +24,9 @@ def is_markdown(path: Column) -> Column:
     return path.rlike(r"(?i)\.(?:md|markdown|mdx|mdc)$")
 
 
-def in_skipped_folder(path: Column) -> Column:
-    return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in SKIPPED_FOLDERS]))
+def in_skipped_folder(path: Column, more: tuple[str, ...] = ()) -> Column:
+    """``more`` names folders of tools that keep their own files in a project."""
+    return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in (*SKIPPED_FOLDERS, *more)]))
 
 
 def is_generated(path: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,7 +40,8 @@ def narrative(docs: DataFrame) -> DataFrame:
         columns[name.replace("-", "_")] = F.when((words >= 250) & ~there, 5).otherwise(0)
     base = docs.select("doc_id", "text", words.alias("words"), *[c.cast("int").alias(n) for n, c in columns.items()])
     rows = docs.select("doc_id", F.posexplode(F.split(low, "\n")).alias("i", "line")).where("trim(line) <> ''")
-    opening = F.array_join(F.slice(F.filter(F.split(F.regexp_replace(F.trim("line"), r"^[-*0-9.) ]+", ""), r"\s+"), lambda w: w != ""), 1, 3), " ")
+    # Openings are compared without regard to the case of ASCII letters.
+    opening = F.translate(F.array_join(F.slice(F.filter(F.split(F.regexp_replace(F.trim("line"), r"^[-*0-9.) ]+", ""), r"(?U)\s+"), lambda w: w != ""), 1, 3), " "), string.ascii_uppercase, string.ascii_lowercase)
     by = W.partitionBy("doc_id").orderBy("i")
     again = rows.withColumn("o", opening).withColumn("same", ((F.octet_length("o") >= 10) & (F.col("o") == F.lag("o").over(by))).cast("int")).groupBy("doc_id").agg(F.least(F.lit(5), F.coalesce(F.sum("same"), F.lit(0))).cast("int").alias("machine_parallelism"))
     names = ["stated_morals", "tidy_structure", "machine_parallelism", "performed_embodiment", "vague_allusion", "no_concession_no_reader", "flat_time"]

@@ -16,10 +16,19 @@ WORD = r"[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)*"
 
 
 def located(findings: DataFrame, docs: DataFrame) -> DataFrame:
-    """Findings with line and col, from 1; col counts characters."""
-    head = F.expr("decode(substring(encode(text, 'UTF-8'), 1, offset), 'UTF-8')")
-    with_text = findings.join(docs.select("doc_id", "text"), "doc_id").withColumn("_head", head)
-    return with_text.withColumns({"line": F.regexp_count("_head", F.lit("\n")) + 1, "col": F.length(F.substring_index("_head", "\n", -1)) + 1}).drop("_head", "text")
+    """Findings with line and col, from 1; col counts characters.
+
+    As of each finding's offset, the last line that began: lines and findings of a document meet in one ordered window, so a text
+    is moved once, by lines, however many findings it has. Ids name documents here.
+    """
+    by = W.partitionBy("doc_id")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "said")).withColumn("start", F.coalesce(F.sum(F.octet_length("said") + 1).over(by.orderBy("i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    lines = lines.select("doc_id", F.col("start").alias("offset"), F.struct("i", "said", "start").alias("at"))
+    both = lines.unionByName(findings, allowMissingColumns=True)
+    held = F.last("at", ignorenulls=True).over(by.orderBy("offset", F.col("at").isNull()).rowsBetween(W.unboundedPreceding, 0))
+    rows = both.withColumn("held", held).where("at is null")
+    head = F.expr("decode(substring(encode(held.said, 'UTF-8'), 1, offset - held.start), 'UTF-8')")
+    return rows.select(*findings.columns, (F.col("held.i") + 1).alias("line"), (F.length(head) + 1).alias("col"))
 
 
 def waive(findings: DataFrame, values: DataFrame | None = None, spans: DataFrame | None = None) -> DataFrame:

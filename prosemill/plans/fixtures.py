@@ -12,7 +12,6 @@ TEXTS: list[str] = [
     "The report was written by Ana. The door is closed. It was even. The the list ends. There is a rule that people follow.",
     "# Getting Started With The New Tool\n\nText here.\n\n### Skipped level.\n\n# Second Top Heading\n\n# Second top heading\n\n- **Speed**: fast\n- **Cost**: low\n- **Reach**: wide\n- four\n- five\n",
     "See [here](target.md) and ![](pic.png). Visit https://example.com/a for more. [x](https://example.com/?utm_source=feed)\n\n[used]: https://example.com\n[lost]: https://example.org\n\nA [link][used] stays.",
-    "```\ncode is masked; utilize nothing\n```\n\nInline `utilize` too. <!-- utilize --> {{ utilize }} <b>utilize</b> utilize once.",
     "Send 12345 items at 5 pm on 3/4/2024. It costs $5M; pay .5 more; wait... Between 5 - 6 items? The 3rd one is 5% of 20 MB. e.g. this, i.e. that, etc.",
     "The chairman and his or her salesman use the blacklist on the master/slave bus. Guys, that is crazy and lame. A hour and an user met. Click it.",
     "He said “yes”, she said “no”. It’s a pity — a real one — and a shame — for us. We think our team and we agree. Towards the end, look backwards.",
@@ -23,6 +22,25 @@ TEXTS: list[str] = [
 ]
 
 
+#: Texts with parts that are masked, and what masking leaves of them, written by hand: a middle dot stands for each byte that is blanked.
+MASKED: list[tuple[str, str]] = [
+    ("a `b` c", "a ··· c"), ("a ``b`` c", "a ····· c"), ("a `b c", "a `b c"), ("x <b>y</b> z", "x ···y···· z"), ("x < y > z", "x < y > z"), ("x <!-- y\nz --> t", "x ······\n····· t"), ("p {{ q }} r", "p ······· r"), ("`é` ï", "···· ï"),
+    ("```\ncode\n```\nend", "···\n····\n···\nend"), ("```py\na\n````\nb", "·····\n·\n····\nb"), ("~~~\na\n```\nb\n~~~\nc", "···\n·\n···\n·\n···\nc"), ("```\nopen to the end\nstill", "···\n···············\n·····"),
+    ("---\na: 1\n---\nbody", "···\n····\n···\nbody"), ("+++\na = 1\n+++\nbody", "···\n·····\n···\nbody"), ("body\n---\na\n---\n", "body\n---\na\n---\n"), ("a <i title='x y'>b", "a ···············b"), ("1 `a` <b>`c`</b> 2", "1 ··· ·········· 2"), ("no marks", "no marks"), ("", ""),
+]
+
+
+def masked_texts(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(-1 - i, t) for i, (t, _) in enumerate(MASKED)], "doc_id long, text string")
+
+
+def masked_sql() -> str:
+    """Expected rows: the hand-written texts, with a blank for each dot, and all documents that hold no mark as they are."""
+    quoted = lambda t: t.replace("'", "''")
+    rows = ", ".join(f"({-1 - i}, '{quoted(a)}', '{quoted(b)}')" for i, (a, b) in enumerate(MASKED))
+    return rf"SELECT doc_id, strlen(text) AS bytes, md5(replace(masked, '·', ' ')) AS masked_md5 FROM (VALUES {rows}) v(doc_id, text, masked) UNION ALL SELECT doc_id, strlen(coalesce(text, '')), md5(coalesce(text, '')) FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[`<]|^~~~|\n ?~~~|\{{\{{|^---|^\+\+\+')"
+
+
 def fixtures(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(-1 - i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from prosemill.operators.context import with_context
 from prosemill.operators.detect import STRUCTURAL, detect
 from prosemill.operators.narrative import narrative
 from prosemill.operators.rules import PACKS, Rule, selected
-from prosemill.operators.storage import materialized
+from prosemill.operators.storage import materialized, spread
+from prosemill.plans import cases, fixtures
 from prosemill.plans.fixtures import corpus, corpus_sql
 
 COLUMNS = ["doc_id", "rule_id", "family", "severity", "offset", "length", "span", "message"]
@@ -61,14 +63,13 @@ def rule_sql(r: Rule) -> str:
 
 def plain_sql(rules: list[Rule]) -> str:
     # RE2's word characters are ASCII: other letters become an underscore, one for one.
-    return f"WITH c AS ({corpus_sql()}), w AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\\P{{L}}\\x00-\\x7F]', '_', 'g') AS t, text FROM c WHERE doc_id <> -6)\n" + "\nUNION ALL\n".join(map(rule_sql, rules))
+    return f"WITH c AS ({corpus_sql()}), w AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\\P{{L}}\\x00-\\x7F]', '_', 'g') AS t, text FROM c)\n" + "\nUNION ALL\n".join(map(rule_sql, rules))
 
 
 def _plain(style: str, group: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ids = tuple(r.id for r in simple_rules(style, group))
-        # The fixture with masked parts is left out: SQL has no masking.
-        return detect(corpus(spark, sf_dir).where("doc_id <> -6"), style, only=ids).select(*COLUMNS)
+        return detect(corpus(spark, sf_dir), style, only=ids).select(*COLUMNS)
 
     return run
 
@@ -88,6 +89,18 @@ def _group(style: str, group: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first finding that each rule makes in the text written for it, and in its near miss: (rule_id, style, kind, offset, length)."""
+    docs = spark.createDataFrame(cases.texts(), "doc_id long, style string, rule string, kind string, text string")
+    found = []
+    for style in PACKS:
+        own = tuple(dict.fromkeys(rule for rule, s, _, _ in cases.CASES if s == style))
+        found.append(detect(docs.where(F.col("style") == style).select("doc_id", "text"), style, only=own))
+    first = reduce(DataFrame.unionByName, found).groupBy("doc_id", "rule_id").agg(F.min(F.struct("offset", "length")).alias("f"))
+    rows = docs.join(first.withColumnRenamed("rule_id", "rule"), ["doc_id", "rule"], "left")
+    return rows.select(F.col("rule").alias("rule_id"), "style", "kind", "f.offset", "f.length")
+
+
 def _findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = corpus(spark, sf_dir)
     return docs, materialized(detect(docs))
@@ -118,7 +131,7 @@ def score_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reading_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = with_context(corpus(spark, sf_dir))
+    ctx = with_context(corpus(spark, sf_dir), columns=("masked", "sentences"))
     return with_grade(ctx).select("doc_id", "grade.words", "grade.sentences", "grade.syllables", "grade.letters", F.round("grade.grade", 6).alias("grade"))
 
 
@@ -127,26 +140,33 @@ def narrative_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_context(corpus(spark, sf_dir)).select("doc_id", F.posexplode("sentences").alias("i", "s")).select("doc_id", "i", "s.start", "s.length", "s.words")
+    return with_context(corpus(spark, sf_dir), columns=("sentences",)).select("doc_id", F.posexplode("sentences").alias("i", "s")).select("doc_id", "i", "s.start", "s.length", "s.words")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_context(corpus(spark, sf_dir)).select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.line", "l.start", "l.blank", "l.table")
+    return with_context(corpus(spark, sf_dir), columns=("lines",)).select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.line", "l.start", "l.blank", "l.table")
 
 
-LINES_SQL = f"""WITH c AS ({corpus_sql()}), s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM c WHERE doc_id <> -6), u AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l FROM s)
+LINES_SQL = f"""WITH c AS ({corpus_sql()}), s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM c), u AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l FROM s)
 SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, CAST(coalesce(sum(strlen(l[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start, trim(l[i]) = '' AS blank FROM u"""
 
 
 def plain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).where("doc_id <> -6").select("doc_id", "line", "start", "blank")
+    return lines(spark, sf_dir).select("doc_id", "line", "start", "blank")
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_context(corpus(spark, sf_dir).where("doc_id <> -6")).select("doc_id", "words", "raw_words")
+    return with_context(corpus(spark, sf_dir), columns=("words", "raw_words")).select("doc_id", "words", "raw_words")
+
+
+TOKENS_SQL = f"WITH c AS ({corpus_sql()}) SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)*')) AS INTEGER) AS words, CAST(len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)*')) AS INTEGER) AS raw_words FROM c"
 
 
-TOKENS_SQL = f"WITH c AS ({corpus_sql()}) SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)*')) AS INTEGER) AS words, CAST(len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)*')) AS INTEGER) AS raw_words FROM c WHERE doc_id <> -6"
+def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What masking leaves: of texts with marks of every kind, and of all documents without a mark."""
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(~F.col("text").rlike(r"[`<]|\A~~~|\n ?~~~|\{\{|\A---|\A\+\+\+"))
+    rows = with_context(spread(plain.unionByName(fixtures.masked_texts(spark))), columns=("masked",))
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.md5(F.col("masked").cast("binary")).alias("masked_md5"))
 
 
 def text_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,9 +207,10 @@ for _style, _groups in {"microsoft": ("ai-slop", "clarity", "style", "inclusive"
             QUERIES[f"plain_rules_{_g.replace('-', '_')}"] = _plain(_style, _g)
             ORACLES[f"plain_rules_{_g.replace('-', '_')}"] = plain_sql(_rules)
 QUERIES |= {
+    "rule_cases": rule_cases,
     "rule_histogram": rule_histogram, "worst_docs_top15": worst_docs, "severity_totals": severity_totals, "score_by_label": score_by_label, "reading_grade": reading_grades, "narrative_score": narrative_scores,
-    "op_sentences": sentences, "op_lines": plain_lines, "op_tokens": tokens, "text_filters": text_filters, "check_links": _project(project.check_links), "check_anchors": page_anchors, "check_nav": _project(project.check_navigation),
+    "op_mask": masks, "op_sentences": sentences, "op_lines": plain_lines, "op_tokens": tokens, "text_filters": text_filters, "check_links": _project(project.check_links), "check_anchors": page_anchors, "check_nav": _project(project.check_navigation),
     "check_community": _project(project.check_community), "check_sections": _project(project.check_sections), "postmortem_blame": _project(project.postmortem_blame), "asset_detect": _project(project.asset_types),
     "platform_detect": _project(project.platforms), "i18n_siblings": _project(project.translations), "i18n_structure": _project(project.check_translations), "surface_symbols": _project(project.surface), "glossary": _project(project.glossary),
 }
-ORACLES |= {"op_lines": LINES_SQL, "op_tokens": TOKENS_SQL, "text_filters": FILTERS_SQL}
+ORACLES |= {"rule_cases": cases.cases_sql(), "op_mask": fixtures.masked_sql(), "op_lines": LINES_SQL, "op_tokens": TOKENS_SQL, "text_filters": FILTERS_SQL}

@@ -22,7 +22,7 @@ def test_registry():
     assert entries_of("complex-word", {"complex-word": []}) == () and entries_of("complex-word", {"complex-word": "x"}) == LISTS["complex-word"].entries
 
 
-@pytest.mark.parametrize("name", ["plain_rules_style", "plain_rules_google", "op_lines", "op_tokens", "text_filters"])
+@pytest.mark.parametrize("name", ["plain_rules_style", "plain_rules_google", "op_lines", "op_tokens", "op_mask", "rule_cases", "text_filters"])
 def test_sql_says_the_same(spark, name):
     got, want = compare(spark, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert got == want
@@ -67,14 +67,59 @@ def test_overrides_zero_tolerance_and_waivers(spark):
 
 def test_masking_keeps_bytes_and_lines():
     text = "---\na: é\n---\n# Tïtle\n\n`é` <!-- x\ny --> {{ z }} <b>w</b>\n~~~\nç\n```\n~~~\nend"
-    masked, holed = context_of(text)[:2]
+    masked, holed = (context_of(text)[k] for k in ("masked", "holed"))
     assert len(masked.encode()) == len(text.encode()) == len(holed.encode()) and masked.count("\n") == text.count("\n")
     assert masked.split() == ["#", "Tïtle", "w", "end"]
 
 
 def test_sentences_spare_abbreviations():
-    sentences = context_of("Dr. Smith met e.g. Ann at 3.5 km. Then he left! Ok")[6]
-    assert [s["words"] for s in sentences] == [10, 3, 1]
+    sentences = context_of("Dr. Smith met e.g. Ann at 3.5 km. Then he left! Ok")["sentences"]
+    assert [s[2] for s in sentences] == [10, 3, 1]
+
+
+def test_prefilter_drops_no_finding(spark):
+    """Findings with and without the look at literals and runs are the same, on texts of all rules' words glued in every way."""
+    import random
+
+    from prosemill.operators import detect as d
+    from prosemill.operators import rules as r
+    from prosemill.plans.fixtures import TEXTS, MASKED
+    from prosemill.plans.cases import CASES as ALL
+
+    rng = random.Random(11)
+    pieces = [w for t in TEXTS for w in t.split(" ")] + [m.strip("«»") for _, _, m, _ in ALL if len(m) < 60] + ["was an AI language model user", "casestudies show", "İt is", "ſtudies ſhow", "ISBN123", "x_not", "énot just a but", "URLs"]
+    texts = [rng.choice(["", " ", "\n", ". "]).join(rng.choice(pieces) for _ in range(rng.randrange(1, 25))) for _ in range(250)] + TEXTS + [t for t, _ in MASKED] + ["He was an AI language model user.", "Casestudies show it."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for style in ("microsoft", "google", "plain"):
+        rules = r.selected(style)
+        ctx = d.context(docs, style)
+        known = frozenset(r.literals_of(rules))
+        plain = [x if x.id not in r.RUNS else x for x in rules]
+        with_look = {tuple(x) for x in d.pattern_findings(ctx, rules, (), known).collect()}
+        saved, r.RUNS = r.RUNS, {}
+        try:
+            without = {tuple(x) for x in d.pattern_findings(ctx, plain, (), frozenset()).collect()}
+        finally:
+            r.RUNS = saved
+        assert with_look == without and len(without) > 100
+        if style == "microsoft":
+            assert {x[1] for x in with_look if x[0][1] == len(texts) - 2} >= {"assistant-meta"} and {x[1] for x in with_look if x[0][1] == len(texts) - 1} >= {"vague-attribution"}
+
+
+def test_syllables_of_a_text_are_those_of_its_words(spark):
+    import random
+
+    from prosemill.functions import readability
+
+    rng = random.Random(3)
+    parts = ["a", "e", "i", "o", "u", "y", "b", "c", "l", "es", "ed", "le", "ia", "the", "every", "queue", "é", "-", "'", "1", "t"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 7))) for _ in range(3000)] + list(readability.EXCEPTIONS) * 3 + ["freed", "does", "y", "rhythm", "Table"]
+    rng.shuffle(words)
+    texts = [" ".join(words[i : i + 30]) for i in range(0, len(words), 30)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    whole = {r.i: r.n for r in df.select("i", readability.syllables_of_text(F.col("t")).alias("n")).collect()}
+    each = {r.i: r.n for r in df.select("i", F.explode(F.split("t", " ")).alias("w")).groupBy("i").agg(F.sum(readability.syllables(F.col("w"))).alias("n")).collect()}
+    assert whole == each
 
 
 def test_filters_and_sources(spark, tmp_path):
