@@ -17,7 +17,7 @@ from prosemill.operators.detect import STRUCTURAL, detect
 from prosemill.operators.narrative import narrative
 from prosemill.operators.rules import PACKS, Rule, selected
 from prosemill.operators.storage import materialized, spread
-from prosemill.plans import cases, fixtures
+from prosemill.plans import cases, fixtures, projects
 from prosemill.plans.fixtures import corpus, corpus_sql
 
 COLUMNS = ["doc_id", "rule_id", "family", "severity", "offset", "length", "span", "message"]
@@ -61,9 +61,13 @@ def rule_sql(r: Rule) -> str:
   )) {keep}"""
 
 
-def plain_sql(rules: list[Rule]) -> str:
+def _with_texts() -> str:
     # RE2's word characters are ASCII: other letters become an underscore, one for one.
-    return f"WITH c AS ({corpus_sql()}), w AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\\P{{L}}\\x00-\\x7F]', '_', 'g') AS t, text FROM c)\n" + "\nUNION ALL\n".join(map(rule_sql, rules))
+    return f"WITH c AS ({corpus_sql()}), w AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\\P{{L}}\\x00-\\x7F]', '_', 'g') AS t, text FROM c)"
+
+
+def plain_sql(rules: list[Rule]) -> str:
+    return _with_texts() + "\n" + "\nUNION ALL\n".join(map(rule_sql, rules))
 
 
 def _plain(style: str, group: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -130,6 +134,57 @@ def score_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slop_scores(spark, sf_dir).join(labels, "doc_id").groupBy("band", "quality", "toxic").agg(F.count("*").alias("n"))
 
 
+def _all_plain() -> list[Rule]:
+    return [r for g in ("ai-slop", "clarity", "style", "inclusive", "microsoft") for r in simple_rules("microsoft", g)]
+
+
+def _on_plain(report: Callable[[DataFrame, DataFrame, SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A report over the findings of those rules that SQL can say."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = corpus(spark, sf_dir)
+        return report(docs, materialized(detect(docs, only=tuple({r.id for r in _all_plain()}))), spark, sf_dir)
+
+    return run
+
+
+def _plain_scores(docs: DataFrame, found: DataFrame, *_) -> DataFrame:
+    return score.slop_score(docs, found).withColumns({"per1k": F.round("per1k", 6), "discount": F.round("discount", 6)})
+
+
+ON_PLAIN = {
+    "plain_slop_score": _on_plain(_plain_scores),
+    "plain_rule_histogram": _on_plain(lambda docs, found, *_: score.histogram(found)),
+    "plain_worst_docs_top15": _on_plain(lambda docs, found, *_: score.worst(found)),
+    "plain_severity_totals": _on_plain(lambda docs, found, *_: score.totals(found, docs)),
+    "plain_family_counts": _on_plain(lambda docs, found, *_: score.by_family(found)),
+    "plain_capped": _on_plain(lambda docs, found, *_: score.capped(found, 3).select("doc_id", "rule_id", "offset", "nth", "suppressed")),
+    "plain_located": _on_plain(lambda docs, found, *_: score.located(found, docs).select("doc_id", "rule_id", "offset", "line", "col")),
+    "plain_score_by_label": _on_plain(lambda docs, found, spark, sf: _plain_scores(docs, found).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("band", "quality", "toxic").agg(F.count("*").alias("n"))),
+}
+
+
+def on_plain_sql() -> dict[str, str]:
+    head = _with_texts() + ", found AS (" + "\nUNION ALL\n".join(map(rule_sql, _all_plain())) + ")"
+    scored = head + r""", m AS (SELECT doc_id, sum(CASE severity WHEN 'error' THEN 3.0 WHEN 'warn' THEN 2.0 ELSE 1.0 END * CASE family WHEN 'ai-slop' THEN 1.0 WHEN 'inclusive' THEN 0.5 WHEN 'clarity' THEN 0.4 ELSE 0.3 END) AS mass, count(*) AS n FROM found GROUP BY doc_id),
+s AS (SELECT doc_id, greatest(1, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)*'))) AS words, len(regexp_extract_all(t, '\w+[''’](?:t|s|re|ve|ll|d|m)\b')) AS contractions,
+  len(regexp_extract_all(t, '\b(?:I|I''m|I''ve|I''ll|I''d|[Ww]e|[Ww]e''re|[Ww]e''ve|[Ww]e''ll|[Ww]e''d|[Mm]y|[Oo]ur|[Mm]e|[Uu]s)\b')) AS first_person FROM w),
+p AS (SELECT s.doc_id, words, contractions, first_person, coalesce(n, 0) AS finding_count, CAST(coalesce(mass, 0) AS DOUBLE) / words * 1000 AS per1k, least(15.0, CAST(contractions + first_person AS DOUBLE) / words * 1500) AS discount FROM s LEFT JOIN m ON m.doc_id = s.doc_id),
+q AS (SELECT *, CAST(least(100, greatest(0, round(greatest(0.0, 100 * (1 - exp(-per1k / 35)) - discount)))) AS INTEGER) AS score FROM p),
+b AS (SELECT *, CASE WHEN score <= 11 THEN 'clean' WHEN score <= 29 THEN 'light' WHEN score <= 59 THEN 'moderate' ELSE 'heavy' END AS band FROM q)"""
+    return {
+        "plain_slop_score": scored + " SELECT doc_id, score, band, words, finding_count, round(per1k, 6) AS per1k, contractions, first_person, round(discount, 6) AS discount FROM b",
+        "plain_rule_histogram": head + " SELECT rule_id, count(*) AS n FROM found GROUP BY rule_id",
+        "plain_worst_docs_top15": head + " SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id ORDER BY n DESC, doc_id LIMIT 15",
+        "plain_severity_totals": head + " SELECT (SELECT count(*) FROM c) AS files, count(*) AS findings, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warn') AS warns, count(*) FILTER (severity = 'advisory') AS advisories FROM found",
+        "plain_family_counts": head + " SELECT doc_id, family, count(*) AS n FROM found GROUP BY doc_id, family",
+        "plain_capped": head + ' SELECT * FROM (SELECT doc_id, rule_id, "offset", CAST(row_number() OVER (PARTITION BY doc_id ORDER BY "offset", rule_id, length, message) AS INTEGER) AS nth, greatest(0, count(*) OVER (PARTITION BY doc_id) - 3) AS suppressed FROM found) WHERE nth <= 3',
+        "plain_located": head + """, k AS (SELECT f.doc_id, rule_id, "offset", decode(encode(text)[:"offset"]) AS before FROM found f JOIN w ON w.doc_id = f.doc_id)
+SELECT doc_id, rule_id, "offset", CAST(len(before) - len(replace(before, chr(10), '')) + 1 AS INTEGER) AS line, CAST(len(regexp_extract(before, '[^\n]*$')) + 1 AS INTEGER) AS col FROM k""",
+        "plain_score_by_label": scored + " SELECT band, quality, toxic, count(*) AS n FROM b JOIN labels USING (doc_id) GROUP BY band, quality, toxic",
+    }
+
+
 def reading_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx = with_context(corpus(spark, sf_dir), columns=("masked", "sentences"))
     return with_grade(ctx).select("doc_id", "grade.words", "grade.sentences", "grade.syllables", "grade.letters", F.round("grade.grade", 6).alias("grade"))
@@ -177,25 +232,21 @@ FILTERS_SQL = f"""WITH c AS ({corpus_sql()}), n AS (SELECT doc_id, text, len(reg
   len(regexp_extract_all(text, '[\\x{{0400}}-\\x{{04FF}}\\x{{0600}}-\\x{{06FF}}\\x{{0E00}}-\\x{{0E7F}}\\x{{3040}}-\\x{{30FF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{AC00}}-\\x{{D7AF}}]')) AS other, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)*')) AS words FROM c)
 SELECT doc_id, other > 80 AND other * 3 > latin AS non_latin, len(list_filter(string_split(text, chr(10)), lambda x: strlen(x) >= 2000)) > 0 OR (words >= 200 AND len(regexp_extract_all(text, '[.!?]')) * 100 < words) AS data_like FROM n"""
 
-FILES = [
-    ("README.md", "# Project\n\nSee [setup](docs/setup.md#first-steps), [gone](docs/gone.md), [lost](docs/setup.md#nowhere) and [here](#project)."), ("docs/setup.md", "# Setup\n\n## First steps\n\n## First steps\n\n```\ncode\n```\n"),
-    ("docs/setup.fr.md", "# Mise en place\n\n### Premiers pas\n"), ("docs/orphan.md", "# Orphan\n"), ("mkdocs.yml", "nav:\n  - Setup: setup.md\n  - Gone: missing.md\n"), ("LICENSE", "MIT"), ("CONTRIBUTING.md", "TODO"),
-    ("POSTMORTEM.md", "# Incident\n\n## Summary\n\nIt was human error.\n\n## Impact\n"), ("src/lib.rs", "pub fn run() {}\npub struct Thing;\nfn hidden() {}\n"), ("src/app.py", "class App:\n    def go(self):\n        pass\n"),
-    ("page.html", "<a href=\"#top\">x</a>\n<p id=\"top\">\n<a href=\"#none\">y</a>"), ("STYLE.md", "# Style\n\n## Terminology\n\n| use | not |\n| --- | --- |\n| sign in | log in, login |\n"),
-]
-
-
-def files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FILES, "path string, text string")
-
-
 def _project(make: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: make(files(spark))
+    return lambda spark, sf_dir: make(projects.files(spark, sf_dir))
 
 
 def page_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("page/"), "page_id").alias("path"), F.col("html").alias("text"))
-    return project.check_anchors(pages.unionByName(files(spark).where("path = 'page.html'")))
+    fixed = spark.createDataFrame(projects.FIXED, "path string, text string")
+    return project.check_anchors(pages.unionByName(fixed.where("path = 'page.html'"))).select("path", "target", "line", "rule_id", "severity")
+
+
+ANCHORS_SQL = r"""WITH f AS (SELECT concat('page/', page_id) AS path, html AS text FROM pages UNION ALL SELECT 'page.html', '<a href="#top">x</a>' || chr(10) || '<p id="top">' || chr(10) || '<a href="#none">y</a>'),
+d AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '\bid\s*=\s*\{?["'']([^"'']+)["'']', 1)) AS target FROM f),
+l AS (SELECT path, i, ls[i] AS line FROM (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT path, string_split_regex(text, '\r?\n') AS ls FROM f))),
+h AS (SELECT path, i, unnest(regexp_extract_all(line, '\bhref\s*=\s*\{?["'']#([^"'']+)["'']', 1)) AS target FROM l)
+SELECT path, target, CAST(i AS INTEGER) AS line, 'anchor-broken' AS rule_id, 'error' AS severity FROM h WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.path = h.path AND d.target = h.target)"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"slop_score": slop_scores}
@@ -207,10 +258,11 @@ for _style, _groups in {"microsoft": ("ai-slop", "clarity", "style", "inclusive"
             QUERIES[f"plain_rules_{_g.replace('-', '_')}"] = _plain(_style, _g)
             ORACLES[f"plain_rules_{_g.replace('-', '_')}"] = plain_sql(_rules)
 QUERIES |= {
-    "rule_cases": rule_cases,
+    "rule_cases": rule_cases, **ON_PLAIN,
     "rule_histogram": rule_histogram, "worst_docs_top15": worst_docs, "severity_totals": severity_totals, "score_by_label": score_by_label, "reading_grade": reading_grades, "narrative_score": narrative_scores,
     "op_mask": masks, "op_sentences": sentences, "op_lines": plain_lines, "op_tokens": tokens, "text_filters": text_filters, "check_links": _project(project.check_links), "check_anchors": page_anchors, "check_nav": _project(project.check_navigation),
     "check_community": _project(project.check_community), "check_sections": _project(project.check_sections), "postmortem_blame": _project(project.postmortem_blame), "asset_detect": _project(project.asset_types),
     "platform_detect": _project(project.platforms), "i18n_siblings": _project(project.translations), "i18n_structure": _project(project.check_translations), "surface_symbols": _project(project.surface), "glossary": _project(project.glossary),
 }
 ORACLES |= {"rule_cases": cases.cases_sql(), "op_mask": fixtures.masked_sql(), "op_lines": LINES_SQL, "op_tokens": TOKENS_SQL, "text_filters": FILTERS_SQL}
+ORACLES |= {**on_plain_sql(), **projects.SQL, "check_anchors": ANCHORS_SQL}

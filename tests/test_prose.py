@@ -8,7 +8,8 @@ from prosemill.operators.context import context_of
 from prosemill.operators.detect import detect
 from prosemill.operators.rules import catalogue
 from prosemill.plans import config
-from prosemill.plans.queries import FILES
+from prosemill.plans.projects import FIXED
+from prosemill.plans.projects import SQL as PROJECT_SQL
 from prosemill.sources import code_strings, edited_paths, line_units, text_files
 from prosemill.sources.sinks import exit_code, json_documents
 from pyspark.sql import functions as F
@@ -137,10 +138,16 @@ def test_filters_and_sources(spark, tmp_path):
     assert sorted(r.path for r in edited_paths(events).collect()) == ["/b.md", "a.md"]
 
 
+@pytest.mark.parametrize("name", [*PROJECT_SQL, "check_anchors"])
+def test_project_sql_says_the_same(spark, name):
+    got, want = compare(spark, entry.queries()[name], entry.oracle_sql()[name], SF)
+    assert got == want and got
+
+
 def test_project_checks(spark):
-    files = spark.createDataFrame(FILES, "path string, text string")
+    files = spark.createDataFrame([*FIXED, ("POSTMORTEM.md", "# Incident\n\n## Summary\n\nIt was human error.\n\n## Impact\n")], "path string, text string")
     assert sorted((r.target, r.message) for r in project.check_links(files).collect()) == [("docs/gone.md", "linked file is missing"), ("docs/setup.md#nowhere", "linked anchor is missing")]
-    assert [r.target for r in project.check_navigation(files).where("severity = 'error'").collect()] == ["missing.md"]
+    assert sorted(r.target for r in project.check_navigation(files).where("severity = 'error'").collect()) == ["missing.md", "p1/1.md"]
     rules = spark.createDataFrame([("docs", ["docs/**", "*.{py,rs}"], ["**/skip.md"], "tell")], "name string, paths array<string>, exclude array<string>, message string")
     edits = spark.createDataFrame([("docs/a.md",), ("docs/skip.md",), ("src/app.py",), ("x.txt",)], "path string")
     assert sorted(r.path for r in project.notified(edits, rules).collect()) == ["docs/a.md", "src/app.py"]
