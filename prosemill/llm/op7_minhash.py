@@ -20,7 +20,8 @@ MISS = 1e-6  #: probability at most that no band brings a pair at the threshold
 #: Standard deviations of the signature's estimate below the threshold down to which a pair is compared on its full sets: of
 #: pairs at the threshold fewer are lost than by the bands (a binomial tail of 4e-8 at 0.85 and 2e-8 at 0.8).
 SLACK = 6.0
-BLOCK = 512  #: texts in a block of a candidate group; a task holds two blocks
+BLOCK = 512  #: texts in a block of a candidate group; a unit of work holds two blocks of texts
+WIDE = 8  #: blocks whose signatures are compared at once, by one byte of each value
 
 
 def words_of(text: str) -> list[bytes]:
@@ -121,20 +122,22 @@ class _Forest:
         return a != b
 
 
-def _likely(sigs: np.ndarray, sizes: np.ndarray, first: int, percent: int) -> np.ndarray:
-    """Rows (estimate, i, j) of the pairs that may reach the threshold: i below ``first`` with j at or above it, or all pairs if it is 0."""
+def _likely(low: np.ndarray, sizes: np.ndarray, first: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places i, j of the pairs that may reach the threshold: i below ``first`` with j at or above it, or all pairs if it is 0.
+
+    ``low`` are the signatures' low bytes, one row a text: equal values have equal bytes, so nothing likely is left out.
+    """
     t = percent / 100
-    least = t - SLACK * (t * (1 - t) / VALUES) ** 0.5
-    found = [np.empty((0, 3))]
-    for i in range(first or len(sizes) - 1):
-        low = first or i + 1
-        fits = np.nonzero(np.minimum(sizes[low:], sizes[i]) * 100 >= percent * np.maximum(sizes[low:], sizes[i]))[0] + low
-        if len(fits):
-            same = (sigs[fits] == sigs[i]).mean(1)
-            keep = same >= least
-            if keep.any():
-                found.append(np.stack([same[keep], np.full(keep.sum(), i), fits[keep]], 1))
-    return np.concatenate(found)
+    least = (t - SLACK * (t * (1 - t) / VALUES) ** 0.5) * VALUES
+    begin, left, right = first, slice(0, first or len(sizes)), slice(first, len(sizes))
+    a, b = np.ascontiguousarray(low[left].T), np.ascontiguousarray(low[right].T)
+    same = np.zeros((a.shape[1], b.shape[1]), np.uint8)
+    for x, y in zip(a, b):
+        same += x[:, None] == y[None, :]
+    i, j = np.nonzero(same >= least)
+    j = j + begin
+    fits = (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])) & ((i < j) | (first > 0))
+    return i[fits], j[fits]
 
 
 def _links(ids: list[int], texts: list[str], sigs: np.ndarray, sizes: np.ndarray, first: int, n: int, percent: int) -> list[tuple[int, int]]:
@@ -143,9 +146,11 @@ def _links(ids: list[int], texts: list[str], sigs: np.ndarray, sizes: np.ndarray
     Likely pairs are confirmed, likeliest first; pairs that earlier links connect already add nothing to the components and are
     passed over.
     """
-    pairs, forest, sets, out = _likely(sigs, sizes, first, percent), _Forest(), {}, []
-    for _, i, j in pairs[np.argsort(-pairs[:, 0], kind="stable")]:
-        i, j = int(i), int(j)
+    left, right = _likely(sigs.astype(np.uint8), sizes, first, percent)
+    same = np.concatenate([np.empty(0), *[(sigs[left[k : k + 65536]] == sigs[right[k : k + 65536]]).mean(1) for k in range(0, len(left), 65536)]])
+    forest, sets, out = _Forest(), {}, []
+    for k in np.argsort(-same, kind="stable").tolist():
+        i, j = int(left[k]), int(right[k])
         if forest.find(i) != forest.find(j):
             for k in (i, j):
                 if k not in sets:
@@ -180,15 +185,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
                 s = shingle_set(value.as_py(), n)
                 count.append(len(s))
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "mark", "n_shingles", "print", "sig"])
+                sigs.append(signature(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64()), pa.array(prints, pa.binary()), *(pa.array([x if x is None else x.astype(t).tobytes() for x in sigs], pa.binary()) for t in (np.uint32, np.uint8))], ["doc_id", "mark", "n_shingles", "print", "sig", "low"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
-    signed = materialize(source.mapInArrow(sign, "doc_id long, mark long, n_shingles long, print binary, sig binary"))
+    signed = materialize(source.mapInArrow(sign, "doc_id long, mark long, n_shingles long, print binary, sig binary, low binary"))
     live = signed.where("n_shingles > 0 and doc_id is not null")
     # Equal sets have equal sizes and signatures; the text is that of any row of the smallest id.
-    classes = live.groupBy("print").agg(F.min(F.struct("doc_id", "mark")).alias("lead"), F.min("n_shingles").alias("size"), F.first("sig").alias("sig"))
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cls"), "print", F.col("lead.doc_id").alias("rep"), F.col("lead.mark").alias("mark"), "size", "sig"))
+    classes = live.groupBy("print").agg(F.min(F.struct("doc_id", "mark")).alias("lead"), F.min("n_shingles").alias("size"), F.first(F.struct("sig", "low")).alias("s"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cls"), "print", F.col("lead.doc_id").alias("rep"), F.col("lead.mark").alias("mark"), "size", "s.sig", "s.low"))
     links = _confirmed(source, classes, n, percent, block)
     same = live.select("doc_id", "print").join(classes.select("print", "rep"), "print").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionAll(same))
@@ -199,7 +204,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
 
 def _confirmed(source: DataFrame, classes: DataFrame, n: int, percent: int, block: int) -> DataFrame:
     """Links (a, b) between the representatives of different classes, enough for their components."""
-    rows = rows_for(percent)
+    spark, rows = source.sparkSession, rows_for(percent)
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +218,8 @@ def _confirmed(source: DataFrame, classes: DataFrame, n: int, percent: int, bloc
     ties = materialize(keys.join(first, ["band", "key"]).where("cls <> pivot").select("cls", "pivot", "n"))
     groups = materialize(components(ties.select(F.col("cls").alias("a"), F.col("pivot").alias("b"))).select(F.col("node").alias("cls"), F.col("component").alias("grp")))
     large = materialize(groups.join(groups.groupBy("grp").count().where(F.col("count") > block).select("grp"), "grp", "left_semi"))
-    by_pivot = _with_pivots(source, classes, ties.join(large, "cls"), n, percent, block)
+    # Without a large group nothing is dealt to pivots, and the texts needn't be read for it.
+    by_pivot = spark.createDataFrame([], "a long, b long") if large.isEmpty() else _with_pivots(source, classes, ties.join(large, "cls"), n, percent, block)
     # Large connected parts of large groups are streams of their own; whatever else a group holds is its stream -1.
     parts = components(by_pivot).select(F.col("node").alias("cls"), F.col("component").alias("stream"))
     parts = parts.join(parts.groupBy("stream").count().where(F.col("count") > block).select("stream"), "stream", "left_semi")
@@ -267,52 +273,55 @@ def _within_blocks(source: DataFrame, classes: DataFrame, streams: DataFrame, n:
     runs = sized.groupBy("grp", "stream", "size").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(by_size.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     # A size's texts are dealt over as many blocks as its run spans.
     place = F.floor((F.col("before") + F.pmod(F.xxhash64("cls"), F.col("n"))) / block).cast("long")
-    blocked = materialize(sized.join(runs, ["grp", "stream", "size"]).select("cls", "grp", "size", F.struct("stream", place.alias("k")).alias("blk")))
+    blocked = materialize(sized.join(runs, ["grp", "stream", "size"]).select("cls", "grp", "size", "stream", place.alias("k"), F.struct("stream", F.floor(place / WIDE).alias("w")).alias("blk")))
     spans = blocked.groupBy("grp", "blk").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count("*").alias("n"))
     pair = (F.col("l.grp") == F.col("r.grp")) & (F.col("l.blk") <= F.col("r.blk")) & (F.col("r.low") * percent <= F.col("l.high") * 100) & (F.col("l.low") * percent <= F.col("r.high") * 100)
     met = (F.col("l.blk.stream") < 0) | (F.col("l.blk.stream") != F.col("r.blk.stream"))
     more = (F.col("l.blk") != F.col("r.blk")) | (F.col("l.n") > 1)
     pairs = spans.alias("l").join(spans.alias("r"), pair & met & more).select(F.col("l.grp").alias("grp"), F.col("l.blk").alias("i"), F.col("r.blk").alias("j"))
-    unit = ["grp", "i", "j"]
-    units = pairs.select(*unit, F.explode(F.array_distinct(F.array("i", "j"))).alias("blk"))
-    work = blocked.join(units, ["grp", "blk"]).select(*unit, (F.col("blk") > F.col("i")).alias("side"), "cls", "size").join(classes.select("cls", "sig"), "cls")
+    units = pairs.select("grp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("blk"))
+    named = lambda x, n: F.concat_ws(":", f"{x}.stream", f"{x}.{n}")
+    work = blocked.join(units, ["grp", "blk"]).select("grp", named("i", "w").alias("ui"), named("j", "w").alias("uj"), (F.col("blk") > F.col("i")).alias("side"), "cls", "size", F.concat_ws(":", "stream", "k").alias("sub"))
+    work = work.join(classes.select("cls", "low"), "cls").select("grp", "ui", "uj", "side", "cls", "size", "sub", "low")
 
-    def whole(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[tuple]]:
-        """The rows of each unit, the first block's first; a unit holds two blocks at most."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+        """Each unit (grp, ui, uj) with its rows, the first block's first."""
         now, rows = None, []
         for batch in batches:
-            for key, row in zip(zip(*(batch.column(c).to_pylist() for c in ("grp", "ui", "uj"))), zip(*(batch.column(c).to_pylist() for c in names))):
-                if key != now:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != now:
                     if len(rows) > 1:
                         yield now, rows
-                    now, rows = key, []
-                rows.append(row)
+                    now, rows = row[:3], []
+                rows.append(row[3:])
         if len(rows) > 1:
             yield now, rows
 
-    def taken(rows: list[tuple]) -> tuple[list[int], np.ndarray, np.ndarray, int]:
+    def start_of(rows: list[tuple]) -> int:
         sides = [r[0] for r in rows]
-        sigs = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(-1, VALUES)
-        return [r[1] for r in rows], sigs, np.array([r[2] for r in rows], np.int64), sides.index(True) if True in sides else 0
+        return sides.index(True) if True in sides else 0
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in whole(batches, ["side", "cls", "size", "sig"]):
-            _, sigs, sizes, first = taken(rows)
-            active = np.unique(_likely(sigs, sizes, first, percent)[:, 1:].astype(np.int64)).tolist()
-            if active:
-                out = [(*key, *rows[k]) for k in active]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()))], ["grp", "ui", "uj", "side", "cls", "size", "sig"])
+        for (grp, _, _), rows in whole(batches):
+            low, sizes = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, VALUES), np.array([r[2] for r in rows], np.int64)
+            i, j = _likely(low, sizes, start_of(rows), percent)
+            # Both texts of a pair go to the unit of their blocks, each text once.
+            names, code = np.unique([r[3] for r in rows], return_inverse=True)
+            u, v = np.minimum(code[i], code[j]), np.maximum(code[i], code[j])
+            out = np.unique(np.concatenate([np.stack([u, v, i], 1), np.stack([u, v, j], 1)]), axis=0)
+            if len(out):
+                x, y, k = out.T
+                columns = [[grp] * len(out), names[x].tolist(), names[y].tolist(), (x != y) & (code[k] == y), [rows[r][1] for r in k.tolist()], sizes[k]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()))], ["grp", "ui", "uj", "side", "cls", "size"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in whole(batches, ["side", "cls", "size", "sig", "text"]):
-            ids, sigs, sizes, first = taken(rows)
-            yield _pairs(_links(ids, [r[4] for r in rows], sigs, sizes, first, n, percent))
+        for _, rows in whole(batches):
+            sigs = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(-1, VALUES)
+            yield _pairs(_links([r[1] for r in rows], [r[4] for r in rows], sigs, np.array([r[2] for r in rows], np.int64), start_of(rows), n, percent))
 
-    named = lambda x: F.concat_ws(":", f"{x}.stream", f"{x}.k")
-    work = work.select("grp", named("i").alias("ui"), named("j").alias("uj"), "side", "cls", "size", "sig")
     keys = ["grp", "ui", "uj"]
-    active = materialize(work.repartition(parts, *keys).sortWithinPartitions(*keys, "side").mapInArrow(likely, "grp long, ui string, uj string, side boolean, cls long, size long, sig binary"))
-    texts = _texts(source, classes, active)
+    active = materialize(work.repartition(parts, *keys).sortWithinPartitions(*keys, "side").mapInArrow(likely, "grp long, ui string, uj string, side boolean, cls long, size long"))
+    texts = _texts(source, classes, active.distinct()).join(classes.select("cls", "sig"), "cls").select(*keys, "side", "cls", "size", "sig", "text")
     return materialize(texts.repartition(parts, *keys).sortWithinPartitions(*keys, "side").mapInArrow(confirm, "a long, b long"))
 
 
