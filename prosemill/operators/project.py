@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,9 +74,27 @@ def anchors(files: DataFrame) -> DataFrame:
     return rows.select("path", F.when(nth == 0, F.col("s")).otherwise(F.concat("s", F.lit("-"), nth)).alias("slug"))
 
 
+def _outside_code(files: DataFrame) -> DataFrame:
+    """(path, text) without fenced blocks and inline code; a fence is open after an odd number of fence lines."""
+    lines = F.split("text", "\r?\n")
+    is_fence = lambda x: x.rlike(r"^ {0,3}(?:```|~~~)")
+    step = lambda acc, x: F.struct(F.when(is_fence(x), ~acc["open"]).otherwise(acc["open"]).alias("open"), F.when(is_fence(x) | acc["open"], acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x))).alias("kept"))
+    kept = F.aggregate(lines, F.struct(F.lit(False).alias("open"), F.expr("cast(array() as array<string>)").alias("kept")), step)["kept"]
+    plain = F.when(F.col("text").rlike("```|~~~"), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    return files.select("path", F.regexp_replace(plain, r"`[^`\n]*`", "").alias("text"))
+
+
 def links(files: DataFrame) -> DataFrame:
-    """(path, target) of inline links and images, as written."""
-    return files.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"\[[^\]\n]*\]\(([^)\s]+)(?:\s+\"[^\"\n]*\")?\)"), F.lit(1))).alias("target"))
+    """(path, target) of inline links and images as written, and of references by way of their definitions; code holds none."""
+    plain = _outside_code(files)
+    inline = plain.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"\[[^\]\n]*\]\(([^)\s]+)(?:\s+\"[^\"\n]*\")?\)"), F.lit(1))).alias("target"))
+    said = plain.where(F.contains("text", F.lit("]:")))
+    defined = said.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^ {0,3}(\[[^\]\n]+\]:[ \t]+\S+)"), F.lit(1))).alias("d"))
+    defined = defined.select("path", F.lower(F.regexp_extract("d", r"^\[([^\]]+)\]", 1)).alias("id"), F.regexp_extract("d", r"\]:[ \t]+<?([^\s>]+)", 1).alias("target")).dropDuplicates(["path", "id"])
+    # [text][id], [id][] and [id]; a definition isn't a use.
+    uses = F.regexp_extract_all("text", F.lit(r"\[([^\]\[\n]+)\](?:\[([^\]\n]*)\])?(?![(:\[])"), F.lit(0))
+    used = said.select("path", F.explode(uses).alias("u")).select("path", F.lower(F.regexp_extract("u", r"\[([^\]\[]+)\](?:\[\])?$", 1)).alias("id"))
+    return inline.unionByName(used.join(defined, ["path", "id"]).select("path", "target"))
 
 
 def normalized(path: Column) -> Column:
@@ -153,14 +173,32 @@ def postmortem_blame(files: DataFrame) -> DataFrame:
     return files.where(basename(F.col("path")) == ARCHETYPES["postmortem"][0]).select("path", F.explode(F.filter(phrases, lambda p: F.contains(F.lower("text"), p))).alias("target"), F.lit("postmortem-blame").alias("rule_id"), F.lit("error").alias("severity"))
 
 
-def asset_types(files: DataFrame) -> DataFrame:
-    """(path, archetype): by file name, else the first archetype that has three of its sections as headings."""
-    spec = sections(files.sparkSession)
-    by_name = files.select("path", basename(F.col("path")).alias("file")).join(spec.select("file", "archetype").distinct(), "file").select("path", "archetype", F.lit(0).alias("rank"))
-    order = {a: i + 1 for i, a in enumerate(ARCHETYPES)}
-    rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    hits = headings(files).select("path", _norm(F.col("text")).alias("key")).distinct().join(spec.withColumn("key", _norm(F.col("section"))), "key").groupBy("path", "archetype").agg(F.countDistinct("key").alias("n")).where("n >= 3").select("path", "archetype", rank[F.col("archetype")].alias("rank"))
-    return by_name.unionByName(hits).groupBy("path").agg(F.min_by("archetype", "rank").alias("archetype"))
+#: What names an archetype in a file name or in the headings, in order.
+KEYWORDS = [
+    ("postmortem", ["postmortem"], ["postmortem", "incident review"]), ("runbook", ["runbook"], ["runbook"]), ("rfc", ["rfc"], ["request for comments"]), ("adr", ["adr"], ["architecture decision"]),
+    ("contributing", ["contributing"], []), ("code-of-conduct", ["code_of_conduct", "code-of-conduct"], []), ("governance", ["governance"], []), ("security", ["security"], []),
+]
+
+
+def asset_types(files: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """(path, archetype): by file name, else by a word of the name or the headings, else the first that has three of its sections as
+    headings, else one of which ``overrides`` (archetype, section) names two."""
+    spec, order = sections(files.sparkSession), {a: i for i, a in enumerate(ARCHETYPES)}
+    place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
+    name, heads = F.lower(basename(F.col("path"))), headings(files)
+    by_name = files.select("path", name.alias("file")).join(spec.select(F.lower("file").alias("file"), "archetype").distinct(), "file").select("path", "archetype", F.lit(0).alias("rank"))
+    said = files.select("path", name.alias("name")).join(heads.groupBy("path").agg(F.lower(F.array_join(F.collect_list("text"), " ")).alias("said")), "path", "left")
+    word = F.coalesce(*[F.when(reduce(lambda a, b: a | b, [F.contains("name", F.lit(x)) for x in names] + [F.contains(F.coalesce("said", F.lit("")), F.lit(x)) for x in phrases]), F.struct(F.lit(a).alias("archetype"), F.lit(100 + i).alias("rank"))) for i, (a, names, phrases) in enumerate(KEYWORDS)])
+    by_word = said.withColumn("w", word).where("w is not null").select("path", "w.archetype", "w.rank")
+
+    def by_sections(wanted: DataFrame, least: int, rank: int) -> DataFrame:
+        met = heads.select("path", _norm(F.col("text")).alias("key")).distinct().join(wanted.withColumn("key", _norm(F.col("section"))), "key")
+        return met.groupBy("path", "archetype").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= least).select("path", "archetype", (place[F.col("archetype")] + rank).alias("rank"))
+
+    found = by_name.unionByName(by_word).unionByName(by_sections(spec, 3, 200))
+    if overrides is not None:
+        found = found.unionByName(by_sections(overrides, 2, 300))
+    return found.groupBy("path").agg(F.min_by("archetype", "rank").alias("archetype"))
 
 
 def platforms(files: DataFrame) -> DataFrame:
@@ -210,9 +248,15 @@ def check_translations(files: DataFrame) -> DataFrame:
     return pair.select("path", "source", F.explode(issues).alias("issue"))
 
 
-def localization(files: DataFrame, languages: list[str] | None = None) -> DataFrame:
-    """source by language: the translation's path in a column of each language."""
-    return translations(files).groupBy("source").pivot("lang", languages or [x for x in LANGUAGES if x not in SOURCE_LANGUAGES]).agg(F.min("path"))
+def localization(files: DataFrame) -> DataFrame:
+    """(source, lang, path, layout, stale, issues, ok): a row a translation; stale where the source was modified later (files may have ``modified``)."""
+    modified = files.select(F.col("path").alias("p"), F.col("modified").alias("m") if "modified" in files.columns else F.lit(None).cast("timestamp").alias("m"))
+    pairs = translations(files).join(modified.select(F.col("p").alias("path"), F.col("m").alias("mine")), "path").join(modified.select(F.col("p").alias("source"), F.col("m").alias("theirs")), "source")
+    issues = check_translations(files).groupBy("path").agg(F.array_sort(F.collect_list("issue")).alias("issues"))
+    rows = pairs.join(issues, "path", "left").withColumns({"issues": F.coalesce("issues", F.array().cast("array<string>")), "stale": F.coalesce(F.col("theirs") > F.col("mine"), F.lit(False))})
+    p = F.col("path")
+    layout = F.when(p.rlike("^i18n/[^/]+/docusaurus-plugin-content-docs/"), "docusaurus").when(p.rlike(r"(?:^|/)content\.[^/]+/"), "hugo").when(p.rlike(r"\.[^./]+\.[^./]+$"), "suffix").otherwise("directory")
+    return rows.select("source", "lang", "path", layout.alias("layout"), "stale", "issues", (~F.col("stale") & (F.size("issues") == 0)).alias("ok"))
 
 
 def surface(files: DataFrame) -> DataFrame:
@@ -226,11 +270,17 @@ def surface(files: DataFrame) -> DataFrame:
 
 
 def symbol_span(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(path, symbol, start_line, end_line) for (path, symbol): a markdown section up to the next heading of its level or above."""
-    heads = headings(files).join(files.select("path", F.size(F.split("text", "\n")).alias("lines")), "path")
-    mine = wanted.join(heads, "path").where(_norm(F.col("text")) == _norm(F.col("symbol"))).select("path", "symbol", F.col("line").alias("start_line"), F.col("level").alias("own"), "lines")
-    after = mine.join(headings(files).select("path", "line", "level"), "path").where("line > start_line and level <= own").groupBy("path", "symbol", "start_line").agg(F.min("line").alias("next"))
-    return mine.join(after, ["path", "symbol", "start_line"], "left").select("path", "symbol", "start_line", F.coalesce(F.col("next") - 1, F.col("lines")).alias("end_line"))
+    """(path, symbol, start_line, end_line) for (path, symbol): a markdown section up to the next heading of its level or above, or a
+    declaration in code up to the line before the next public one."""
+    sizes = files.select("path", F.size(F.split("text", "\n")).alias("lines"))
+    heads = headings(files).select("path", "line", "level", _norm(F.col("text")).alias("key"))
+    code = surface(files).where(~F.col("kind").isin("heading", "config-key")).select(F.col("file").alias("path"), "line", F.lit(1).alias("level"), F.col("name").alias("key"))
+    key = F.when(is_markdown(F.col("path")), _norm(F.col("symbol"))).otherwise(F.col("symbol"))
+    marks = heads.where(is_markdown(F.col("path"))).unionByName(code)
+    mine = wanted.withColumn("key", key).join(marks, ["path", "key"]).join(sizes, "path").select("path", "symbol", F.col("line").alias("start_line"), F.col("level").alias("own"), "lines")
+    mine = mine.groupBy("path", "symbol").agg(F.min_by(F.struct("start_line", "own", "lines"), "start_line").alias("m")).select("path", "symbol", "m.*")
+    after = mine.join(marks.select("path", "line", "level"), "path").where("line > start_line and level <= own").groupBy("path", "symbol").agg(F.min("line").alias("next"))
+    return mine.join(after, ["path", "symbol"], "left").select("path", "symbol", "start_line", F.coalesce(F.col("next") - 1, F.col("lines")).alias("end_line"))
 
 
 def glob_regex(glob: Column) -> Column:
@@ -249,6 +299,14 @@ def notified(edits: DataFrame, rules: DataFrame) -> DataFrame:
     return edits.select("path").distinct().join(rules, hit).select("path", "name", "message")
 
 
+def nudged(edits: DataFrame, nudges: DataFrame) -> DataFrame:
+    """(path, name, text): edited paths that a nudge's ``file`` glob matches, and none of its ``exclude``; nudges (name, file, exclude, edit, message) are configuration."""
+    p = F.col("path")
+    hit = F.regexp_like(p, glob_regex(F.col("file"))) & ~F.exists(F.coalesce("exclude", F.array().cast("array<string>")), lambda g: F.regexp_like(p, glob_regex(g)))
+    why = F.when(F.coalesce(F.length("message"), F.lit(0)) > 0, F.concat(F.lit(" — "), "message")).otherwise("")
+    return edits.select("path").distinct().join(F.broadcast(nudges.where("file is not null")), hit).select("path", "name", F.concat("path", F.lit(" changed — edit "), F.array_join("edit", ", "), why).alias("text"))
+
+
 def check_nudges(files: DataFrame, nudges: DataFrame) -> DataFrame:
     """(name, error) for nudges (name, path, symbol): a path that isn't there, or a symbol that the file lacks; globs are passed over."""
     plain = nudges.where("path is null or not path rlike '[*?\\\\[{]'")

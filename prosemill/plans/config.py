@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import copy
 import json
+import os
+import tempfile
 from pathlib import Path
 from typing import Any
 
@@ -73,6 +75,27 @@ def coerced(text: str, default: Any) -> Any:
     return text
 
 
+def write(path: str | Path, config: dict) -> None:
+    """Writes a layer as JSON: beside the file first, then in its place."""
+    folder = Path(path).parent
+    folder.mkdir(parents=True, exist_ok=True)
+    with tempfile.NamedTemporaryFile("w", dir=folder, suffix=".json", delete=False, encoding="utf-8") as f:
+        json.dump(config, f, indent=2, ensure_ascii=False)
+        f.write("\n")
+    os.replace(f.name, path)
+
+
+def with_item(config: dict, path: str, item: Any) -> dict:
+    """A list at a dotted key with one more item; one that is there already stays once."""
+    now = get(config, path) or []
+    return config if item in now else put(config, path, [*now, item])
+
+
+def without_item(config: dict, path: str, item: Any) -> dict:
+    """A list at a dotted key without an item; items that are objects go by their name."""
+    return put(config, path, [x for x in get(config, path) or [] if x != item and not (isinstance(x, dict) and x.get("name") == item)])
+
+
 def settings(config: dict) -> dict[str, Any]:
     """What ``detect`` takes."""
     d = config["detector"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +21,11 @@ NOT_COPY = (
 
 
 def text_files(spark: SparkSession, root: str, pattern: str = MARKDOWN) -> DataFrame:
-    """(path relative to ``root``, text) of files below ``root``, without skipped folders and generated files; the name filter prunes the listing."""
+    """(path relative to ``root``, text, modified) of files below ``root``, without skipped folders; the name filter prunes the listing."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     full = F.col("_metadata.file_path")
-    rel = F.regexp_replace(F.url_decode(F.regexp_replace(full, "\\+", "%2B")), "^.*?" + root.rstrip("/").replace(".", "\\.").split(":")[-1] + "/", "")
-    out = files.select(rel.alias("path"), F.col("value").alias("text"))
+    rel = F.regexp_replace(F.url_decode(F.regexp_replace(full, "\\+", "%2B")), "^.*?" + re.escape(root.rstrip("/").split(":", 1)[-1]) + "/", "")
+    out = files.select(rel.alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"))
     return out.where(~in_skipped_folder(F.col("path")))
 
 
@@ -64,6 +66,9 @@ def is_copy(text):
 
 
 def edited_paths(events: DataFrame, column: str = "value") -> DataFrame:
-    """(path): distinct paths in JSON edit events, under any of the usual keys at any depth; ``file://`` is taken off."""
-    found = F.regexp_extract_all(column, F.lit(r'"(?:file_path|filePath|path|uri)"\s*:\s*"((?:\\.|[^"\\])*)"'), F.lit(1))
-    return events.select(F.explode(found).alias("p")).select(F.regexp_replace(F.replace("p", F.lit("\\/"), F.lit("/")), "^file://", "").alias("path")).distinct()
+    """(path): distinct paths in JSON edit events: what stands under any of the usual keys at any depth, and any text that looks like a
+    path (with a slash, or a name of a text file); ``file://`` is taken off."""
+    keyed = F.regexp_extract_all(column, F.lit(r'"(?:file_path|filePath|path|uri)"\s*:\s*"((?:\\.|[^"\\])*)"'), F.lit(1))
+    texts = F.regexp_extract_all(column, F.lit(r'"((?:\\.|[^"\\])*)"(?!\s*:)'), F.lit(1))
+    shaped = F.filter(texts, lambda t: ~t.rlike(r"\s") & t.rlike(r"\.(?:md|mdx|mdc|txt)$|/"))
+    return events.select(F.explode(F.array_distinct(F.concat(keyed, shaped))).alias("p")).select(F.regexp_replace(F.replace("p", F.lit("\\/"), F.lit("/")), "^file://", "").alias("path")).distinct()

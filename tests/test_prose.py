@@ -155,6 +155,52 @@ def test_project_checks(spark):
     assert [(r.start_line, r.end_line) for r in spans] == [(3, 6)]
 
 
+def test_report_from_files_and_configuration(spark, tmp_path):
+    from prosemill.plans import report
+
+    files = spark.createDataFrame([("a.md", "We utilize it.\n\nWe utilize é utilize."), ("b.md", "We utilize it."), ("skip/c.md", "We utilize it."), ("d.md", "Fine."), ("e.md", None)], "path string, text string")
+    layer = {"detector": {"ignoreFiles": ["skip/*"], "ignoreSpans": {"a.md": [[1, 1]]}, "ignoreRules": ["avoid-we"]}}
+    made = report.check(files, layer, only=("complex-word",))
+    assert sorted((r.path, r.line, r.col) for r in made.findings.collect()) == [("a.md", 3, 4), ("a.md", 3, 14), ("b.md", 1, 4)]
+    lines = [(r.path, r.text) for r in report.text_lines(made).orderBy(F.col("path").asc_nulls_last(), "n").collect()]
+    assert lines == [("a.md", "a.md"), ("a.md", "  3:4 advisory complex-word — complex word — use 'use'  [utilize]"), ("a.md", "  3:14 advisory complex-word — complex word — use 'use'  [utilize]"), ("a.md", ""), ("b.md", "b.md"), ("b.md", "  1:4 advisory complex-word — complex word — use 'use'  [utilize]"), ("b.md", ""), (None, "3 finding(s) in 2 file(s)")]
+    import json
+
+    rows = {r.path: json.loads(r.json) for r in report.json_lines(made).collect()}
+    assert sorted(rows) == ["a.md", "b.md", "d.md", "e.md"] and [f["col"] for f in rows["a.md"]["findings"]] == [4, 14] and rows["d.md"]["findings"] == [] and rows["b.md"]["score"]["findingCount"] == 1
+    assert json.loads(report.summary_json(made).first().json) == {"files": 4, "findings": 3, "errors": 0, "warns": 0, "advisories": 3}
+    assert report.score_lines(made).where("path = 'd.md'").first().text == "d.md: slop score 0 (clean) — 0 findings / 1 words, density 0.0/1k, discount 0.0"
+    none = report.check(files.limit(0), layer, only=("complex-word",))
+    assert [r.text for r in report.text_lines(none).collect()] == ["✓ clean — no findings"]
+    waived = report.check(files, layer, {"detector": {"ignoreValues": {"complex-word": ["utilize"]}}}, only=("complex-word",))
+    assert waived.findings.count() == 0
+    got = report.units(line_units(files.where("path = 'a.md'")), only=("complex-word",))
+    assert sorted((r.path, r.line, r.col) for r in got.collect()) == [("a.md", 1, 4), ("a.md", 3, 4), ("a.md", 3, 14)]
+
+
+def test_links_assets_spans_and_nudges(spark):
+    files = spark.createDataFrame([
+        ("a.md", "# A\n\n[x][one] and [two] and [three][] in `[no](no.md)`\n\n```\n[no](no2.md)\n```\n\n[one]: b.md\n[Two]: gone.md\n[three]: <c.md>\n"), ("b.md", "# B"), ("c.md", "# C"), ("ops/old-runbook.md", "# x"), ("notes/x.md", "# Incident Review\n"), ("y.md", "# P\n\n## Mine\n\n## Yours\n"),
+        ("m.py", "class A:\n    pass\n\ndef b():\n    pass\n"), ("m.fr.md", "x"), ("m.md", "x"),
+    ], "path string, text string")
+    assert sorted((r.path, r.target) for r in project.links(files).collect()) == [("a.md", "b.md"), ("a.md", "c.md"), ("a.md", "gone.md")]
+    own = spark.createDataFrame([("adr", "Mine"), ("adr", "Yours")], "archetype string, section string")
+    assert sorted((r.path, r.archetype) for r in project.asset_types(files, own).collect()) == [("notes/x.md", "postmortem"), ("ops/old-runbook.md", "runbook"), ("y.md", "adr")]
+    spans = project.symbol_span(files, spark.createDataFrame([("m.py", "A"), ("m.py", "b")], "path string, symbol string")).collect()
+    assert sorted((r.symbol, r.start_line, r.end_line) for r in spans) == [("A", 1, 3), ("b", 4, 6)]
+    timed = files.withColumn("modified", F.when(F.col("path") == "m.md", F.lit("2024-02-01")).otherwise(F.lit("2024-01-01")).cast("timestamp"))
+    assert [(r.source, r.lang, r.layout, r.stale, r.ok) for r in project.localization(timed).collect()] == [("m.md", "fr", "suffix", True, False)]
+    nudges = spark.createDataFrame([("n", "*.py", ["skip*"], ["README.md"], "say why")], "name string, file string, exclude array<string>, edit array<string>, message string")
+    edits = spark.createDataFrame([("m.py",), ("skip.py",), ("m.md",)], "path string")
+    assert [(r.path, r.text) for r in project.nudged(edits, nudges).collect()] == [("m.py", "m.py changed — edit README.md — say why")]
+
+
+def test_config_is_written_and_lists_change(tmp_path):
+    c = config.with_item(config.with_item({}, "detector.ignoreRules", "a"), "detector.ignoreRules", "a")
+    config.write(tmp_path / "x" / "c.json", c)
+    assert config.read(tmp_path / "x" / "c.json") == {"detector": {"ignoreRules": ["a"]}} and config.without_item({"rules": [{"name": "n"}, {"name": "m"}]}, "rules", "n") == {"rules": [{"name": "m"}]}
+
+
 def test_config_layers():
     c = config.layers({"detector": {"styleGuide": "google", "lists": {"a": ["b"]}}, "extra": {"x": 1}}, {"extra": None, "hook": {"maxFindings": 5}})
     assert c["detector"]["styleGuide"] == "google" and c["hook"] == {"maxFindings": 5, "grammar": False, "quiet": False} and "extra" not in c
