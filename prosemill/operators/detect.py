@@ -35,29 +35,29 @@ def shown(text: Column) -> Column:
     return F.left(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), F.lit(80))
 
 
-def scan(ctx: DataFrame, patterns: list[tuple[str, str]], possible: list[Column] | None = None) -> DataFrame:
-    """(doc_id, words, k, i, offset, match, n): every match of the patterns (column, regex), k being the pattern's place; n counts a document's matches of a pattern."""
+def scan(ctx: DataFrame, patterns: list[tuple[str, str]], possible: list[str] | None = None) -> DataFrame:
+    """(doc_id, words, k, i, offset, match, n): every match of the patterns (column, regex), k being the pattern's place; n counts a
+    document's matches of a pattern. ``possible`` are SQL conditions without which a pattern isn't tried."""
     if not patterns:
         return ctx.sparkSession.createDataFrame([], f"doc_id {ctx.schema['doc_id'].dataType.simpleString()}, words int, k int, i int, offset int, match string, n long")
 
     def ascii_only(pattern: str) -> str:
         return re.sub(r"^\(\?([a-zU]+)\)", lambda m: f"(?{m[1].replace('U', '')})", pattern) if pattern.isascii() else pattern
 
-    def hits_of(on: str, pattern: str) -> Column:
+    def hits_of(on: str, pattern: str) -> str:
         """On ASCII texts the ASCII classes mean the same, and the JVM finds them several times faster."""
-        wide = F.regexp_extract_all(F.col(on), F.lit(pattern), F.lit(0))
-        plain = ascii_only(pattern)
-        return wide if plain == pattern else F.when(F.col("plain"), F.regexp_extract_all(F.col(on), F.lit(plain), F.lit(0))).otherwise(wide)
+        wide, narrow = (f"regexp_extract_all({on}, {R.sql_text(p)}, 0)" for p in (pattern, ascii_only(pattern)))
+        return wide if narrow == wide else f"if(plain, {narrow}, {wide})"
 
     columns = sorted({on for on, _ in patterns})
     ctx = ctx.withColumn("plain", F.length("masked") == F.octet_length("masked"))
     parts = []
     for k, (on, pattern) in enumerate(patterns):
-        hits = F.struct(F.lit(k).alias("k"), hits_of(on, pattern).alias("hits"))
-        parts.append(F.when(possible[k], hits) if possible else hits)
+        hits = f"named_struct('k', {k}, 'hits', {hits_of(on, pattern)})"
+        parts.append(f"if({possible[k]}, {hits}, null)" if possible and possible[k] != "true" else hits)
     # Texts that can't have a match aren't searched, and only those that have one are split.
     # The array stands inside the generator: as a column of its own, filters inferred from it would compute it again.
-    found = ctx.select("doc_id", "words", "plain", *columns, F.explode(F.filter(F.array_compact(F.array(*parts)), lambda p: F.size(p["hits"]) > 0)).alias("p"))
+    found = ctx.select("doc_id", "words", "plain", *columns, F.expr(f"explode(filter(array_compact(array({', '.join(parts)})), p -> size(p.hits) > 0))").alias("p"))
     # The pattern of a split is looked up by the rule's place: it is compiled for each text anyway, and the plan stays small.
     said = F.from_json(F.lit(json.dumps([[on, ascii_only(pattern), pattern] for on, pattern in patterns])), "array<array<string>>")
     mine = F.element_at(said, F.col("p.k") + 1)
