@@ -1,27 +1,34 @@
-"""Helpers shared by the training-data operators: shared storage, table reads, global positions, components."""
+"""Helpers shared by the training-data operators: shared storage, table reads, components."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="prosemill-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the one that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only on one machine (master local[...]) a local one is set where that is unset.
+    The cluster names it in ``spark.checkpoint.dir``. Only on one machine (master local[...]) a local one is taken where that is unset.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="prosemill-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_dir()
     return f"{base.rstrip('/')}/prosemill-{uuid.uuid4().hex}"
 
 
@@ -31,9 +38,26 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
+_OPEN: list[list[str]] = []  #: folders of the scratch tables of the calls under way, the innermost last
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are deleted at the end, but for lasting ones, which a returned plan still reads."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
+
+
+def materialize(df: DataFrame, path: str | None = None, lasting: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again: lineage is cut and lost executors cost nothing."""
-    path = path or shared_dir(df.sparkSession)
+    if not path:
+        path = shared_dir(df.sparkSession)
+        if _OPEN and not lasting:
+            _OPEN[-1].append(path)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -46,25 +70,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_position(df: DataFrame, order: list[Column], amount: Column, start: str, path: str | None = None) -> DataFrame:
-    """Adds ``start``: the sum of ``amount`` over all rows before this one in ``order``.
-
-    Rows are dealt by range and sorted, each part is written with its number, and only one sum a part meets in one place;
-    the running sum inside a part is a window over that part. Nulls in ``order`` come first; ties keep the written order.
-    """
-    spark = df.sparkSession
-    n = partitions(spark)
-    parts = materialize(
-        df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id(), "_amount": amount.cast("long")}),
-        path,
-    )
-    sums = parts.groupBy("_part").agg(F.sum("_amount").alias("_sum"))
-    # One row a partition: its size is that of the partitioning, whatever the input.
-    before = sums.select("_part", (F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
-    inside = F.coalesce(F.sum("_amount").over(W.partitionBy("_part").orderBy("_row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return parts.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn(start, F.col("_before") + F.col("_inside")).drop("_part", "_row", "_amount", "_inside", "_before")
-
-
 HUB = 1024  #: edges of a vertex that is joined apart from the others
 HUBS_MOST = 100_000  #: such vertices at most, so their table (two numbers a row) can be broadcast
 
@@ -80,15 +85,38 @@ def _with_least(both: DataFrame, edges: int) -> DataFrame:
     return rest.select("a", "b", "m").unionAll(marked.where("hub is not null").select("a", "b", "hub"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (vertex, smallest vertex that this task's edges reach from it)."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (p := up.get(top, top)) != top:
+            top = p
+        while x != top:
+            up[x], x = top, up[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if a is not None and b is not None:
+                a, b = find(a), find(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+    found = [(x, find(x)) for x in list(up)]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+
+
+def components(edges: DataFrame, lasting: bool = False) -> DataFrame:
     """Smallest reachable id of every vertex of ``edges`` (a, b): rows (node, component), vertices without an edge left out.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014) written as a minimum per vertex and a join, so that no
+    The edges of each task are first united among themselves, which leaves at most one a vertex. Then alternating large-star and
+    small-star steps (Kiveris et al., 2014), written as a minimum per vertex and a join, so that no
     neighbourhood is ever gathered; each round is written to the shared folder, and the one before it is deleted. Nulls and loops
     are ignored.
     """
     spark, path = edges.sparkSession, shared_dir(edges.sparkSession)
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path)
+    now = materialize(edges.where("a <> b").select("a", "b").mapInArrow(_contracted, "a long, b long").distinct(), path)
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
@@ -103,5 +131,7 @@ def components(edges: DataFrame) -> DataFrame:
         last, path = path, shared_dir(spark)
         now = materialize(small, path)
         remove(spark, last)
+    if _OPEN and not lasting:
+        _OPEN[-1].append(path)
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import components, materialize, partitions, table
+from prosemill.llm.common import components, materialize, partitions, scratch, table
 
 PERMUTATIONS = 60  #: each gives a minimum and a maximum: 120 signature values
 VALUES = 2 * PERMUTATIONS
 MISS = 1e-6  #: probability at most that no band brings a pair at the threshold together
 #: Standard deviations of the signature's estimate below the threshold down to which a pair is compared on its full sets: of
-#: pairs at the threshold fewer are lost than by the bands (a binomial tail of 4e-8 at 0.85 and 2e-8 at 0.8).
+#: pairs at the threshold some 1 in a million is lost by a third of the values, and fewer by all of them (binomial tails).
 SLACK = 6.0
+SIEVE_WORDS = 1 << 19  #: 64-bit words of the filter that picks the rows of wanted texts: 8 MB, whatever the number of texts
 BLOCK = 512  #: texts in a block of a candidate group; a unit of work holds two blocks of texts
 WIDE = 8  #: blocks whose signatures are compared at once, by one byte of each value
 
@@ -122,20 +123,34 @@ class _Forest:
         return a != b
 
 
+def _least(percent: int, values: int) -> float:
+    """Equal values, of so many, down to which a pair may be at the threshold: ``SLACK`` deviations below what is expected there."""
+    t = percent / 100
+    return t * values - SLACK * (t * (1 - t) * values) ** 0.5
+
+
 def _likely(low: np.ndarray, sizes: np.ndarray, first: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Places i, j of the pairs that may reach the threshold: i below ``first`` with j at or above it, or all pairs if it is 0.
 
-    ``low`` are the signatures' low bytes, one row a text: equal values have equal bytes, so nothing likely is left out.
+    ``low`` are the signatures' low bytes, one row a text: equal values have equal bytes, so they leave out no pair that the values
+    don't. A third of the values is compared first, under the same slack; where few pairs pass, only these are looked at further.
     """
-    t = percent / 100
-    least = (t - SLACK * (t * (1 - t) / VALUES) ** 0.5) * VALUES
     begin, left, right = first, slice(0, first or len(sizes)), slice(first, len(sizes))
     a, b = np.ascontiguousarray(low[left].T), np.ascontiguousarray(low[right].T)
     same = np.zeros((a.shape[1], b.shape[1]), np.uint8)
-    for x, y in zip(a, b):
+    third = VALUES // 3
+    for x, y in zip(a[:third], b[:third]):
         same += x[:, None] == y[None, :]
-    i, j = np.nonzero(same >= least)
-    j = j + begin
+    i, j = np.nonzero(same >= _least(percent, third))
+    if len(i) > 0.05 * same.size:
+        for x, y in zip(a[third:], b[third:]):
+            same += x[:, None] == y[None, :]
+        i, j = np.nonzero(same >= _least(percent, VALUES))
+        j = j + begin
+    else:
+        j = j + begin
+        keep = np.concatenate([np.empty(0, bool), *[(low[i[k : k + 65536]] == low[j[k : k + 65536]]).sum(1) >= _least(percent, VALUES) for k in range(0, len(i), 65536)]])
+        i, j = i[keep], j[keep]
     fits = (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])) & ((i < j) | (first > 0))
     return i[fits], j[fits]
 
@@ -189,17 +204,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64()), pa.array(prints, pa.binary()), *(pa.array([x if x is None else x.astype(t).tobytes() for x in sigs], pa.binary()) for t in (np.uint32, np.uint8))], ["doc_id", "mark", "n_shingles", "print", "sig", "low"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
-    signed = materialize(source.mapInArrow(sign, "doc_id long, mark long, n_shingles long, print binary, sig binary, low binary"))
+    spark = docs.sparkSession
+    with scratch(spark):
+        signed = materialize(source.mapInArrow(sign, "doc_id long, mark long, n_shingles long, print binary, sig binary, low binary"))
+        counts = materialize(signed.select("doc_id", "n_shingles"), lasting=True)
+        found = components(_all_links(source, signed, n, percent, block), lasting=True)
+    out = counts.join(found, counts.doc_id == found.node, "left")
+    component = F.coalesce("component", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _all_links(source: DataFrame, signed: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+    """Links (a, b) of ids: between the classes' representatives, and of each id with those of its classes."""
     live = signed.where("n_shingles > 0 and doc_id is not null")
     # Equal sets have equal sizes and signatures; the text is that of any row of the smallest id.
     classes = live.groupBy("print").agg(F.min(F.struct("doc_id", "mark")).alias("lead"), F.min("n_shingles").alias("size"), F.first(F.struct("sig", "low")).alias("s"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("cls"), "print", F.col("lead.doc_id").alias("rep"), F.col("lead.mark").alias("mark"), "size", "s.sig", "s.low"))
     links = _confirmed(source, classes, n, percent, block)
     same = live.select("doc_id", "print").join(classes.select("print", "rep"), "print").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.unionAll(same))
-    out = signed.select("doc_id", "n_shingles").join(found, signed.doc_id == found.node, "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return links.unionAll(same)
 
 
 def _confirmed(source: DataFrame, classes: DataFrame, n: int, percent: int, block: int) -> DataFrame:
@@ -229,11 +252,19 @@ def _confirmed(source: DataFrame, classes: DataFrame, n: int, percent: int, bloc
     return by_pivot.unionAll(by_block).join(name("a"), "a").join(name("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
-def _texts(source: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (cls, ...) with the text of each class; a row of the source that is there twice gives the text once."""
-    keyed = wanted.join(classes.select("cls", F.col("rep").alias("doc_id"), "mark"), "cls")
-    met = keyed.join(source, ["doc_id", "mark"])
-    return met.groupBy("doc_id", "mark", *wanted.columns).agg(F.first("text").alias("text")).select(*wanted.columns, "text")
+def _texts(source: DataFrame, classes: DataFrame, wanted: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """``wanted`` (cls, ...) with ``more`` columns of its class and the class's text; a row of the source that is there twice gives the
+    text once.
+
+    Before texts are shuffled, a bit for each wanted hash picks their rows. The bits are at most ``SIEVE_WORDS`` rows of two numbers, so
+    they can be broadcast; with very many wanted texts they pick more rows, and the join alone decides.
+    """
+    keyed = wanted.join(classes.select("cls", F.col("rep").alias("doc_id"), "mark", *more), "cls")
+    word, bit = F.pmod(F.shiftrightunsigned("mark", 6), F.lit(SIEVE_WORDS)), F.expr("shiftleft(1L, cast(mark & 63 as int))")
+    bits = keyed.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    picked = source.withColumn("word", word).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+    met = keyed.join(picked, ["doc_id", "mark"])
+    return met.groupBy("doc_id", "mark", *wanted.columns).agg(F.first("text").alias("text"), *[F.first(c).alias(c) for c in more]).select(*wanted.columns, *more, "text")
 
 
 def _with_pivots(source: DataFrame, classes: DataFrame, ties: DataFrame, n: int, percent: int, block: int) -> DataFrame:
@@ -321,7 +352,7 @@ def _within_blocks(source: DataFrame, classes: DataFrame, streams: DataFrame, n:
 
     keys = ["grp", "ui", "uj"]
     active = materialize(work.repartition(parts, *keys).sortWithinPartitions(*keys, "side").mapInArrow(likely, "grp long, ui string, uj string, side boolean, cls long, size long"))
-    texts = _texts(source, classes, active.distinct()).join(classes.select("cls", "sig"), "cls").select(*keys, "side", "cls", "size", "sig", "text")
+    texts = _texts(source, classes, active.distinct(), ("sig",)).select(*keys, "side", "cls", "size", "sig", "text")
     return materialize(texts.repartition(parts, *keys).sortWithinPartitions(*keys, "side").mapInArrow(confirm, "a long, b long"))
 
 

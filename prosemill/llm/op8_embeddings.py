@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import components, materialize, partitions, table
+from prosemill.llm.common import components, materialize, partitions, scratch, table
 
 THRESHOLD = 0.93
 MISS = 1e-6  #: probability at most that no pass brings a pair at the threshold together
@@ -73,16 +73,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["vec_id", "label", "unit"])
 
     source = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
-    ready = materialize(source.mapInArrow(prepare, "vec_id long, label string, unit binary"))
-    live = ready.where("unit is not null and label is not null and vec_id is not null").groupBy("vec_id").agg(F.min_by(F.struct("label", "unit"), F.struct("label", "unit")).alias("v")).select("vec_id", "v.*")
-    classes = materialize(live.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    members = materialize(live.join(classes, ["label", "unit"]).select("vec_id", "rep"))
-    found = _found(classes, threshold, passes)
-    sizes = classes.select("rep", "n")
-    linked = found.where("linked > 0").groupBy("rep").agg(F.sum("linked").alias("linked"))
-    united = components(found.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
-    by_class = sizes.join(linked, "rep", "left").join(united, "rep", "left").select("rep", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = ready.select("vec_id").join(members.join(by_class, "rep"), "vec_id", "left")
+    with scratch(spark):
+        ready = materialize(source.mapInArrow(prepare, "vec_id long, label string, unit binary"))
+        live = ready.where("unit is not null and label is not null and vec_id is not null").groupBy("vec_id").agg(F.min_by(F.struct("label", "unit"), F.struct("label", "unit")).alias("v")).select("vec_id", "v.*")
+        classes = materialize(live.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+        members = live.join(classes, ["label", "unit"]).select("vec_id", "rep")
+        found = _found(classes, threshold, passes)
+        linked = found.where("linked > 0").groupBy("rep").agg(F.sum("linked").alias("linked"))
+        united = components(found.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
+        by_class = classes.select("rep", "n").join(linked, "rep", "left").join(united, "rep", "left").select("rep", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        out = materialize(ready.select("vec_id").join(members.join(by_class, "rep"), "vec_id", "left"), lasting=True)
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from prosemill.llm import op1_token_store as store
-from prosemill.llm.common import shared_dir, with_position
+from prosemill.llm.common import shared_dir
 from prosemill.llm.op5_packing import digests, pack, sequences, sum_of_squares
 from prosemill.llm.tokens import encoder, tokenizer_path
 from tests.llm.conftest import SF
@@ -114,13 +114,6 @@ def test_store_of_nothing(spark, empty):
     assert store.verify(spark, path).count() == 0
 
 
-def test_position_is_a_running_sum(spark):
-    rows = [(i, (i * 7919) % 13) for i in range(500)]
-    df = spark.createDataFrame(rows[::-1], "k long, v long")
-    got = {r.k: r.start for r in with_position(df, [store.F.col("k")], store.F.col("v"), "start").collect()}
-    assert got == {k: sum(v for _, v in rows[:k]) for k, _ in rows}
-
-
 def test_packing(spark, odd, library):
     packed = pack(odd)
     rows = digests(packed).collect()
