@@ -5,19 +5,28 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="prosemill-")
+
+
 def materialized(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet and read by column: what many plans share is neither recomputed nor held in memory."""
+    """``df`` written once as Parquet and read by column: what many plans share is neither recomputed nor held in memory.
+
+    It stays in the folder that ``spark.checkpoint.dir`` names until that is cleared, as plans that are returned read it. Only on one
+    machine a local folder is taken where that is unset.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="prosemill-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_dir()
     path = f"{base.rstrip('/')}/prose-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,9 +9,9 @@ from prosemill.operators.score import capped, histogram, worst
 
 
 def human_lines(findings: DataFrame) -> DataFrame:
-    """(doc_id, offset, line): one printable line a finding, in order; needs line and col."""
+    """(doc_id, offset, text): one printable line a finding, to be ordered by its reader; needs line and col."""
     text = F.format_string("%d:%d %s %s — %s  [%s]", "line", "col", "severity", "rule_id", "message", "span")
-    return findings.orderBy("doc_id", "offset", "rule_id").select("doc_id", "offset", text.alias("text"))
+    return findings.select("doc_id", "offset", text.alias("text"))
 
 
 def json_documents(findings: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def summary(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
 def audit(findings: DataFrame) -> DataFrame:
     """Findings by family, each with what is bad and the fix that its message quotes."""
     fix = F.regexp_extract("message", "(?:use|prefer|consider) '([^']+)'", 1)
-    return findings.select("doc_id", "family", "offset", "rule_id", F.col("span").alias("bad"), F.nullif(fix, F.lit("")).alias("good")).orderBy("doc_id", "family", "offset")
+    return findings.select("doc_id", "family", "offset", "rule_id", F.col("span").alias("bad"), F.nullif(fix, F.lit("")).alias("good"))
 
 
 def hook_lines(findings: DataFrame, k: int = 20) -> DataFrame:
