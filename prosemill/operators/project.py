@@ -42,11 +42,9 @@ SYMBOLS = {
     "ts|tsx|js|jsx": _declared("js-ts", r"export\s+(?:default\s+)?(?:async\s+)?", "function const let var class interface type enum", r"[A-Za-z_$][\w$]*"),
     "py": _declared("python", r"(?:async\s+)?", "def class"),
     "go": ("go", [*_declared("", "", "func type const var", r"[A-Z]\w*")[1], r"^\s*func\s+\([^)]*\)\s*([A-Z]\w*)"]),
-    "md|mdx": ("heading", [r"^#{1,6}\s+(.*?)\s*#*\s*$"]),
-    "toml": ("config-key", [r"^\s*\[{1,2}([^\]]+)\]", r"^\s*([\w.-]+)\s*="]),
-    "yaml|yml": ("config-key", [r"^\s*(?:-\s*)?([\w.-]+)\s*:(?:\s|$)"]),
-    "json": ("config-key", [r'^\s*"([^"]+)"\s*:']),
 }
+#: Programs whose calls in documents are commands.
+TOOLS = "cargo git gh npm pnpm yarn make docker kubectl python python3 node".split()
 
 
 def lines_of(files: DataFrame) -> DataFrame:
@@ -259,14 +257,52 @@ def localization(files: DataFrame) -> DataFrame:
     return rows.select("source", "lang", "path", layout.alias("layout"), "stale", "issues", (~F.col("stale") & (F.size("issues") == 0)).alias("ok"))
 
 
-def surface(files: DataFrame) -> DataFrame:
-    """(kind, name, file, line, signature) of public symbols, headings and configuration keys."""
+def surface(files: DataFrame, tools: tuple[str, ...] = ()) -> DataFrame:
+    """(kind, name, file, line, signature) of public symbols, headings, commands in documents (of ``TOOLS`` and ``tools``) and configuration keys."""
     rows = lines_of(files).withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
     found = []
     for exts, (kind, patterns) in SYMBOLS.items():
         name = F.coalesce(*[F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in patterns])
         found.append(F.when(F.col("ext").isin(*exts.split("|")), F.struct(F.lit(kind).alias("kind"), name.alias("name"))))
-    return rows.withColumn("s", F.coalesce(*found)).where("s.name is not null").select("s.kind", "s.name", F.col("path").alias("file"), "line", F.trim("text").alias("signature"))
+    code = rows.withColumn("s", F.coalesce(*found)).where("s.name is not null and not (s.kind = 'python' and startswith(s.name, '_'))")
+    code = code.select("s.kind", "s.name", "path", "line", F.trim("text").alias("signature"))
+    prose = rows.where(F.col("ext").isin("md", "mdx")).withColumn("text", F.trim("text"))
+    heads = prose.where(F.col("text").rlike("^#{1,6} ")).select(F.lit("heading").alias("kind"), F.trim(F.regexp_replace("text", "^#{1,6} ", "")).alias("name"), "path", "line", F.col("text").alias("signature"))
+    return reduce(DataFrame.unionByName, [code, heads, _commands(prose, (*TOOLS, *tools)), _config_keys(rows)]).withColumnRenamed("path", "file")
+
+
+def _commands(prose: DataFrame, tools: tuple[str, ...]) -> DataFrame:
+    """Lines of fenced blocks (without a prompt) and spans of inline code that begin with a tool or a path of the project."""
+    fence = F.col("text").rlike("^(?:```|~~~)")
+    lines = prose.withColumn("fences", F.sum(fence.cast("int")).over(W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, 0))).where(~fence)
+    spans = F.transform(F.regexp_extract_all("text", F.lit("`([^`]*)`"), F.lit(1)), lambda x: F.trim(x))
+    said = lines.select("path", "line", F.explode(F.when(F.col("fences") % 2 == 1, F.array(F.regexp_replace("text", r"^\$ ", ""))).otherwise(spans)).alias("signature")).withColumn("name", F.regexp_extract("signature", r"^\S+", 0))
+    return said.where(F.col("name").startswith("./") | F.regexp_replace("name", r"^\./", "").isin(*tools)).select(F.lit("command").alias("kind"), "name", "path", "line", "signature")
+
+
+def _config_keys(rows: DataFrame) -> DataFrame:
+    """Keys of TOML, YAML and JSON by their whole dotted path: in TOML below the last section, elsewhere below the keys that are
+    open at the line's indentation (a fold over the lines of one file)."""
+    trimmed = F.trim(F.col("text"))
+    live = rows.where(F.col("ext").isin("toml", "yaml", "yml", "json") & (trimmed != "") & ~trimmed.startswith("#"))
+    toml = live.where("ext = 'toml'").select("path", "line", trimmed.alias("signature"), F.nullif(F.regexp_extract(trimmed, r"^\[{1,2}\s*([\w.-]+)\s*\]{1,2}$", 1), F.lit("")).alias("section"), F.nullif(F.regexp_extract(trimmed, r"^([A-Za-z_][\w-]*)\s*=", 1), F.lit("")).alias("key"))
+    within = F.last("section", ignorenulls=True).over(W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
+    flat = toml.withColumn("name", F.when(F.col("section").isNotNull(), F.col("section")).when(F.col("key").isNotNull(), F.concat_ws(".", within, "key"))).where("name is not null").select("path", "line", "name", "signature")
+    json = F.col("ext") == "json"
+    keyed = F.when(json, F.regexp_extract("text", r'^\s*"([^"]+)"\s*:', 1)).otherwise(F.regexp_extract("text", r"^\s*([A-Za-z_][\w.-]*)\s*:", 1))
+    value = F.trim(F.regexp_replace("text", "^[^:]*:", ""))
+    deep = live.where(F.col("ext") != "toml").withColumns({"key": keyed, "indent": F.length(F.regexp_extract("text", r"^\s*", 0)), "opens": F.when(json, value.rlike(r"^[{\[]")).otherwise(value == "")}).where((F.col("key") != "") & (json | ~trimmed.startswith("-")))
+    one = F.array_sort(F.collect_list(F.struct("line", "indent", "key", "opens", trimmed.alias("signature"))))
+
+    def step(acc, x):
+        above = F.filter(acc["open"], lambda k: k["indent"] < x["indent"])
+        name = F.array_join(F.concat(F.transform(above, lambda k: k["key"]), F.array(x["key"])), ".")
+        now = F.when(x["opens"], F.concat(above, F.array(F.struct(x["indent"].alias("indent"), x["key"].alias("key"))))).otherwise(above)
+        return F.struct(now.alias("open"), F.concat(acc["out"], F.array(F.struct(x["line"].alias("line"), name.alias("name"), x["signature"].alias("signature")))).alias("out"))
+
+    empty = F.expr("named_struct('open', cast(array() as array<struct<indent:int,key:string>>), 'out', cast(array() as array<struct<line:int,name:string,signature:string>>))")
+    nested = deep.groupBy("path").agg(one.alias("rows")).select("path", F.explode(F.aggregate("rows", empty, step)["out"]).alias("o")).select("path", "o.line", "o.name", "o.signature")
+    return flat.unionByName(nested).select(F.lit("config").alias("kind"), "name", "path", "line", "signature")
 
 
 def symbol_span(files: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -274,7 +310,7 @@ def symbol_span(files: DataFrame, wanted: DataFrame) -> DataFrame:
     declaration in code up to the line before the next public one."""
     sizes = files.select("path", F.size(F.split("text", "\n")).alias("lines"))
     heads = headings(files).select("path", "line", "level", _norm(F.col("text")).alias("key"))
-    code = surface(files).where(~F.col("kind").isin("heading", "config-key")).select(F.col("file").alias("path"), "line", F.lit(1).alias("level"), F.col("name").alias("key"))
+    code = surface(files).where(~F.col("kind").isin("heading", "config", "command")).select(F.col("file").alias("path"), "line", F.lit(1).alias("level"), F.col("name").alias("key"))
     key = F.when(is_markdown(F.col("path")), _norm(F.col("symbol"))).otherwise(F.col("symbol"))
     marks = heads.where(is_markdown(F.col("path"))).unionByName(code)
     mine = wanted.withColumn("key", key).join(marks, ["path", "key"]).join(sizes, "path").select("path", "symbol", F.col("line").alias("start_line"), F.col("level").alias("own"), "lines")
@@ -317,6 +353,25 @@ def check_nudges(files: DataFrame, nudges: DataFrame) -> DataFrame:
     return none.unionByName(absent).unionByName(lost)
 
 
+def template_sections(files: DataFrame, folder: str = "templates") -> DataFrame:
+    """(archetype, section) of template files ``folder/<archetype>.md``: their headings below the first level."""
+    own = headings(files.where(F.col("path").startswith(f"{folder}/") & is_markdown(F.col("path")))).where("level > 1")
+    return own.select(F.lower(F.regexp_replace(basename(F.col("path")), r"\.[^.]*$", "")).alias("archetype"), F.col("text").alias("section"))
+
+
+def with_term(text: str, use: str, variants: tuple[str, ...]) -> str:
+    """A style document with one more row in the table under its heading Terminology; the heading and table are added where there are none."""
+    row, lines = f"| {use} | {', '.join(variants)} |", text.split("\n")
+    at = next((i for i, x in enumerate(lines) if x.lstrip("#").strip().lower() == "terminology" and x.startswith("#")), None)
+    if at is None:
+        return f"{text.rstrip()}\n\n## Terminology\n\n| use | not |\n| --- | --- |\n{row}\n".lstrip()
+    end = next((i for i in range(at + 1, len(lines)) if lines[i].startswith("#")), len(lines))
+    table = [i for i in range(at + 1, end) if lines[i].lstrip().startswith("|")]
+    new = [row] if table else ["", "| use | not |", "| --- | --- |", row]
+    place = (table[-1] if table else at) + 1
+    return "\n".join(lines[:place] + new + lines[place:])
+
+
 def glossary(style: DataFrame) -> DataFrame:
     """(path, use, variant) rows of the pipe table under the heading Terminology."""
     rows = lines_of(style).withColumn("head", F.when(F.col("text").rlike(r"^#{1,6}\s"), F.lower(F.trim(F.regexp_replace("text", r"^#+|#+\s*$", "")))))

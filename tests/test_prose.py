@@ -195,6 +195,15 @@ def test_links_assets_spans_and_nudges(spark):
     assert [(r.path, r.text) for r in project.nudged(edits, nudges).collect()] == [("m.py", "m.py changed — edit README.md — say why")]
 
 
+def test_terms_and_templates(spark):
+    once = project.with_term("# Style\n", "sign in", ("log in", "login"))
+    twice = project.with_term(once + "\n## Next\n\ntext\n", "email", ("e-mail",))
+    rows = project.glossary(spark.createDataFrame([("STYLE.md", twice)], "path string, text string")).collect()
+    assert sorted((r.use, r.variant) for r in rows) == [("email", "e-mail"), ("sign in", "log in"), ("sign in", "login")] and twice.endswith("## Next\n\ntext\n")
+    own = project.template_sections(spark.createDataFrame([("templates/adr.md", "# T\n\n## Mine\n\n## Yours\n"), ("x/adr.md", "## No")], "path string, text string"))
+    assert sorted(map(tuple, own.collect())) == [("adr", "Mine"), ("adr", "Yours")]
+
+
 def test_config_is_written_and_lists_change(tmp_path):
     c = config.with_item(config.with_item({}, "detector.ignoreRules", "a"), "detector.ignoreRules", "a")
     config.write(tmp_path / "x" / "c.json", c)
