@@ -19,6 +19,11 @@ def phrases(entries: list[str]) -> str:
     return f"{NOCASE}(?<![A-Za-z0-9_])(?:{body})(?![A-Za-z0-9_])"
 
 
+def anywhere(entries: list[str], *more: str) -> str:
+    """Entries wherever they stand, inside words too, and further expressions."""
+    return f"{NOCASE}(?:{'|'.join([*map(quoted, entries), *more])})"
+
+
 def words(entries: list[str]) -> str:
     return rf"{NOCASE}\b(?:{'|'.join(map(quoted, entries))})\b"
 
