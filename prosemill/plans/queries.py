@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prosemill.functions.lists import LISTS
 from prosemill.functions.patterns import keys_of
-from prosemill.functions.readability import with_grade
+from prosemill.functions.readability import syllables_of_text, with_grade
 from prosemill.operators import filters, project, score
 from prosemill.operators.context import with_context
 from prosemill.operators.detect import STRUCTURAL, detect
@@ -194,6 +194,36 @@ def narrative_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return narrative(corpus(spark, sf_dir))
 
 
+NARRATIVE_SQL = rf"""WITH c AS ({corpus_sql()}), t AS (SELECT doc_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM c),
+n AS (SELECT doc_id, low, len(regexp_extract_all(low, '\S+')) AS words, list_filter(list_transform(string_split_regex(low, '\n\s*\n'), lambda p: len(regexp_extract_all(p, '\S+'))), lambda k: k >= 20) AS lens,
+  list_sum(list_transform(['the key takeaway', 'the takeaway', 'the lesson', 'ultimately', 'in conclusion', 'it is important to', 'remember that'], lambda p: len(regexp_extract_all(low, p)))) AS morals,
+  list_sum(list_transform(['i''ve seen', 'i have seen', 'in my experience', 'as someone who', 'i know firsthand', 'we''ve all'], lambda p: len(regexp_extract_all(low, p)))) AS embodied,
+  list_sum(list_transform(['various', 'a variety of', 'many ways', 'things', 'stuff', 'somewhere', 'someone', 'some people', 'certain'], lambda p: len(regexp_extract_all(low, p)))) AS vague,
+  regexp_matches(low, '(?:^|[^a-z])(?:but|however|although|except|unless|tradeoff|limitation|risk|reader|user)(?:[^a-z]|$)') OR contains(low, 'trade-off') AS concedes,
+  regexp_matches(low, '(?:^|[^a-z])(?:when|after|before|then|now|today|later|previously|next|first|finally)(?:[^a-z]|$)') AS timed FROM t),
+l AS (SELECT doc_id, i, trim(ls[i]) AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM t)) WHERE trim(ls[i]) <> ''),
+o AS (SELECT doc_id, i, translate(array_to_string(list_slice(list_filter(string_split_regex(regexp_replace(line, '^[-*0-9.) ]+', ''), '\s+'), lambda w: w <> ''), 1, 3), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS opening FROM l),
+g AS (SELECT doc_id, least(5, coalesce(sum(CAST(strlen(opening) >= 10 AND opening = before AS INTEGER)), 0)) AS parallel FROM (SELECT doc_id, opening, lag(opening) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM o) GROUP BY doc_id),
+d AS (SELECT n.doc_id, CAST(words AS INTEGER) AS words, CAST(least(5, morals) AS INTEGER) AS stated_morals, CASE WHEN len(lens) >= 4 AND list_max(lens) <= 2 * list_min(lens) THEN 3 ELSE 0 END AS tidy_structure, CAST(coalesce(parallel, 0) AS INTEGER) AS machine_parallelism,
+  CAST(least(5, embodied) AS INTEGER) AS performed_embodiment, CAST(least(5, vague) AS INTEGER) AS vague_allusion, CASE WHEN words >= 250 AND NOT concedes THEN 5 ELSE 0 END AS no_concession_no_reader, CASE WHEN words >= 250 AND NOT timed THEN 5 ELSE 0 END AS flat_time FROM n LEFT JOIN g ON g.doc_id = n.doc_id),
+s AS (SELECT *, stated_morals + tidy_structure + machine_parallelism + performed_embodiment + vague_allusion + no_concession_no_reader + flat_time AS total FROM d)
+SELECT *, CASE WHEN total <= 6 THEN 'low' WHEN total <= 15 THEN 'medium' ELSE 'high' END AS band FROM s"""
+
+
+def syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words between white space, their letters and syllables, of all texts as they are."""
+    text = F.coalesce("text", F.lit(""))
+    return corpus(spark, sf_dir).select("doc_id", F.regexp_count(text, F.lit(r"(?U)\S+")).alias("words"), F.regexp_count(text, F.lit("[A-Za-z0-9]")).alias("letters"), syllables_of_text(text).alias("syllables"))
+
+
+# Word by word: endings first, then groups of vowels, and the words that the rules get wrong.
+SYLLABLES_SQL = rf"""WITH c AS ({corpus_sql()}), w AS (SELECT doc_id, regexp_replace(lower(unnest(regexp_extract_all(coalesce(text, ''), '\S+'))), '[^a-z]', '', 'g') AS w FROM c),
+e AS (SELECT doc_id, w, CASE WHEN w LIKE '%es' AND length(w) > 3 THEN regexp_replace(w, '([aeiouy])([^aeiouyl])es$', '\1\2') WHEN w LIKE '%ed' AND length(w) > 3 THEN w[:-3] WHEN w LIKE '%e' AND w NOT LIKE '%le' AND length(w) > 2 THEN w[:-2] ELSE w END AS stem FROM w),
+k AS (SELECT doc_id, CASE WHEN w = '' THEN 0 ELSE coalesce(MAP {{'every': 2, 'business': 2, 'different': 3, 'comfortable': 3, 'vegetable': 3, 'february': 4, 'area': 3, 'idea': 3, 'science': 2, 'being': 2, 'create': 2, 'people': 2, 'simile': 3, 'queue': 1, 'the': 1, 'average': 3, 'naive': 2, 'real': 1, 'cereal': 3}}[w],
+  greatest(1, len(regexp_extract_all(regexp_replace(stem, '^y', ''), '[aeiouy]{{1,2}}')) + CAST(regexp_matches(w, '[^aeiouy]le$') AS INTEGER) + CAST(regexp_matches(w, 'ia|io|ua|eo') AS INTEGER))) END AS n FROM e)
+SELECT c.doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '\S+')) AS INTEGER) AS words, CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]')) AS INTEGER) AS letters, CAST(coalesce((SELECT sum(n) FROM k WHERE k.doc_id = c.doc_id), 0) AS INTEGER) AS syllables FROM c"""
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_context(corpus(spark, sf_dir), columns=("sentences",)).select("doc_id", F.posexplode("sentences").alias("i", "s")).select("doc_id", "i", "s.start", "s.length", "s.words")
 
@@ -260,9 +290,9 @@ for _style, _groups in {"microsoft": ("ai-slop", "clarity", "style", "inclusive"
 QUERIES |= {
     "rule_cases": rule_cases, **ON_PLAIN,
     "rule_histogram": rule_histogram, "worst_docs_top15": worst_docs, "severity_totals": severity_totals, "score_by_label": score_by_label, "reading_grade": reading_grades, "narrative_score": narrative_scores,
-    "op_mask": masks, "op_sentences": sentences, "op_lines": plain_lines, "op_tokens": tokens, "text_filters": text_filters, "check_links": _project(project.check_links), "check_anchors": page_anchors, "check_nav": _project(project.check_navigation),
+    "op_mask": masks, "op_syllables": syllables, "op_sentences": sentences, "op_lines": plain_lines, "op_tokens": tokens, "text_filters": text_filters, "check_links": _project(project.check_links), "check_anchors": page_anchors, "check_nav": _project(project.check_navigation),
     "check_community": _project(project.check_community), "check_sections": _project(project.check_sections), "postmortem_blame": _project(project.postmortem_blame), "asset_detect": _project(project.asset_types),
     "platform_detect": _project(project.platforms), "i18n_siblings": _project(project.translations), "i18n_structure": _project(project.check_translations), "surface_symbols": _project(project.surface), "glossary": _project(project.glossary),
 }
-ORACLES |= {"rule_cases": cases.cases_sql(), "op_mask": fixtures.masked_sql(), "op_lines": LINES_SQL, "op_tokens": TOKENS_SQL, "text_filters": FILTERS_SQL}
+ORACLES |= {"narrative_score": NARRATIVE_SQL, "op_syllables": SYLLABLES_SQL, "rule_cases": cases.cases_sql(), "op_mask": fixtures.masked_sql(), "op_lines": LINES_SQL, "op_tokens": TOKENS_SQL, "text_filters": FILTERS_SQL}
 ORACLES |= {**on_plain_sql(), **projects.SQL, "check_anchors": ANCHORS_SQL}
