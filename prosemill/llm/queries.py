@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 from prosemill.llm.op10_chat import OP10_SQL, op10_chat_format
+from prosemill.llm.op11_divergence import OP11_SQL, op11_source_divergence
+from prosemill.llm.op12_compression import op12_quality_rules
+from prosemill.llm.op13_vector_codes import OP13_SQL, op13_vector_codes
 from prosemill.llm.op1_token_store import op1_token_store
 from prosemill.llm.op2_secrets import op2_secret_scan
 from prosemill.llm.op3_decontam import op3_decontamination
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -32,4 +38,6 @@ ORACLES: dict[str, str] = {
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
     "op6_url_filter": OP6_SQL,
     "op10_chat_format": OP10_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
