@@ -50,6 +50,8 @@ def scan(ctx: DataFrame, patterns: list[tuple[str, str]], possible: list[str] |
         return wide if narrow == wide else f"if(plain, {narrow}, {wide})"
 
     columns = sorted({on for on, _ in patterns})
+    if "octets" in columns:  # a character a byte, so that a pattern's window counts bytes; its matches are ASCII
+        ctx = ctx.withColumn("octets", F.decode(F.encode("masked", "UTF-8"), "ISO-8859-1"))
     ctx = ctx.withColumn("plain", F.length("masked") == F.octet_length("masked"))
     parts = []
     for k, (on, pattern) in enumerate(patterns):
@@ -64,7 +66,7 @@ def scan(ctx: DataFrame, patterns: list[tuple[str, str]], possible: list[str] |
     pattern = F.when(F.col("plain"), mine[1]).otherwise(mine[2])
     text = reduce(lambda rest, name: F.when(mine[0] == name, F.col(name)).otherwise(rest), columns[1:], F.col(columns[0]))
     gaps = F.split(text, pattern, -1)
-    rows = found.select("doc_id", "words", "p.k", F.size("p.hits").cast("long").alias("n"), F.posexplode(F.arrays_zip(F.col("p.hits").alias("match"), F.transform(gaps, lambda x: F.octet_length(x)).alias("gap"))).alias("i", "z"))
+    rows = found.select("doc_id", "words", "p.k", F.size("p.hits").cast("long").alias("n"), F.posexplode(F.arrays_zip(F.col("p.hits").alias("match"), F.transform(gaps, lambda x: F.when(mine[0] == "octets", F.length(x)).otherwise(F.octet_length(x))).alias("gap"))).alias("i", "z"))
     rows = rows.where("z.match is not null").select("doc_id", "words", "k", "n", "i", "z.match", "z.gap")
     by = W.partitionBy("doc_id", "k").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     offset = (F.sum(F.col("gap") + F.octet_length("match")).over(by) - F.octet_length("match")).cast("int")

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prosemill.operators.filters import LANGUAGES, SOURCE_LANGUAGES, basename, is_markdown, language_of
+from prosemill.operators.commonmark import conform
+from prosemill.operators.declarations import nested_keys, spans, symbol_span  # noqa: F401
+from prosemill.operators.filters import SOURCE_LANGUAGES, basename, is_markdown, language_of
+from prosemill.operators.ignores import SALT, above, folder_of
 
 # Fixed values.
 REQUIRED = {"README.md": "error", "LICENSE": "error", "CONTRIBUTING.md": "error", "CODE_OF_CONDUCT.md": "warn", "SECURITY.md": "warn", "CHANGELOG.md": "warn"}
@@ -29,20 +32,6 @@ PLATFORMS = {
     "docsify": ["index.html", ".nojekyll"], "vitepress": ["docs/.vitepress/config.ts", ".vitepress/config.ts"], "starlight": ["astro.config.mjs", "astro.config.ts"],
     "gitbook": [".gitbook.yaml", "SUMMARY.md"], "readthedocs": [".readthedocs.yaml", "readthedocs.yml"],
 }
-
-
-def _declared(name: str, before: str, kinds: str, own: str = r"[A-Za-z_]\w*") -> tuple[str, list[str]]:
-    """Symbols named behind a keyword: what may stand before it, the keywords, and what a name looks like."""
-    return name, [rf"^\s*{before}(?:{kinds.replace(' ', '|')})\s+({own})"]
-
-
-#: By extension: the kind, and expressions whose first group is a public name. A language is its modifiers, its keywords and its names.
-SYMBOLS = {
-    "rs": _declared("rust", r"pub(?:\(\w[^)]*\))?\s+(?:async\s+)?", "fn struct enum trait type const static mod"),
-    "ts|tsx|js|jsx": _declared("js-ts", r"export\s+(?:default\s+)?(?:async\s+)?", "function const let var class interface type enum", r"[A-Za-z_$][\w$]*"),
-    "py": _declared("python", r"(?:async\s+)?", "def class"),
-    "go": ("go", [*_declared("", "", "func type const var", r"[A-Z]\w*")[1], r"^\s*func\s+\([^)]*\)\s*([A-Z]\w*)"]),
-}
 #: Programs whose calls in documents are commands.
 TOOLS = "cargo git gh npm pnpm yarn make docker kubectl python python3 node".split()
 
@@ -72,13 +61,13 @@ def anchors(files: DataFrame) -> DataFrame:
     return rows.select("path", F.when(nth == 0, F.col("s")).otherwise(F.concat("s", F.lit("-"), nth)).alias("slug"))
 
 
+#: From a fence line to the next one, or to the end.
+_FENCED = r"(?ms)^ {0,3}(?:```|~~~)[^\n]*\n?+.*?(?:^ {0,3}(?:```|~~~)[^\n]*|\z)"
+
+
 def _outside_code(files: DataFrame) -> DataFrame:
     """(path, text) without fenced blocks and inline code; a fence is open after an odd number of fence lines."""
-    lines = F.split("text", "\r?\n")
-    is_fence = lambda x: x.rlike(r"^ {0,3}(?:```|~~~)")
-    step = lambda acc, x: F.struct(F.when(is_fence(x), ~acc["open"]).otherwise(acc["open"]).alias("open"), F.when(is_fence(x) | acc["open"], acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x))).alias("kept"))
-    kept = F.aggregate(lines, F.struct(F.lit(False).alias("open"), F.expr("cast(array() as array<string>)").alias("kept")), step)["kept"]
-    plain = F.when(F.col("text").rlike("```|~~~"), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    plain = F.when(F.col("text").rlike("```|~~~"), F.regexp_replace("text", _FENCED, "")).otherwise(F.col("text"))
     return files.select("path", F.regexp_replace(plain, r"`[^`\n]*`", "").alias("text"))
 
 
@@ -125,16 +114,22 @@ def check_anchors(pages: DataFrame) -> DataFrame:
 
 
 def check_navigation(files: DataFrame) -> DataFrame:
-    """nav-missing-target and nav-orphan-page (rule_id, path, target)."""
-    nav = files.where(basename(F.col("path")).isin("mkdocs.yml", "mkdocs.yaml", "_toc.yml"))
-    named = nav.select(F.col("path").alias("nav"), F.explode(F.split("text", r"[\s\"'\[\](),]+")).alias("t")).where("t rlike '[.]md($|#)' and not t rlike '^https?:'").select("nav", F.regexp_replace("t", "#.*$", "").alias("target")).distinct()
-    docs = files.where(is_markdown(F.col("path")) & ~F.col("path").startswith(".") & ~basename(F.col("path")).isin(*REQUIRED))
-    there = docs.select(F.regexp_replace("path", "^docs/", "").alias("target"), "path").distinct()
-    missing = named.join(there.select("target").union(there.select(F.col("path").alias("target"))), "target", "left_anti").select(F.lit("nav-missing-target").alias("rule_id"), F.col("nav").alias("path"), "target", F.lit("error").alias("severity"))
-    # All navigation files in one row: each page is asked for each of them.
-    pairs = there.crossJoin(F.broadcast(nav.agg(F.collect_set("path").alias("navs")))).select("target", "path", F.explode("navs").alias("nav"))
-    orphan = pairs.join(named, ["nav", "target"], "left_anti").join(named.select("nav", F.col("target").alias("path")), ["nav", "path"], "left_anti").select(F.lit("nav-orphan-page").alias("rule_id"), "path", F.col("nav").alias("target"), F.lit("warn").alias("severity"))
-    return missing.unionByName(orphan)
+    """nav-missing-target and nav-orphan-page (rule_id, path, target): a navigation file and the pages below its folder, by an equi join on that folder.
+
+    Targets are paths from the file's folder or from its ``docs``. The pages below one folder are dealt to ``SALT`` places.
+    """
+    nav = files.where(basename(F.col("path")).isin("mkdocs.yml", "mkdocs.yaml", "_toc.yml")).withColumn("root", folder_of(F.col("path")))
+    named = nav.select(F.col("path").alias("nav"), "root", F.explode(F.split("text", r"[\s\"'\[\](),]+")).alias("t")).where("t rlike '[.]md($|#)' and not t rlike '^https?:'").select("nav", "root", F.regexp_replace("t", "#.*$", "").alias("target")).distinct()
+    docs = files.where(is_markdown(F.col("path")) & ~F.col("path").startswith(".") & ~basename(F.col("path")).isin(*REQUIRED)).select("path").distinct()
+    places = F.pmod(F.xxhash64("path"), F.lit(SALT)).cast("int")
+    below = docs.select("path", F.explode(above(F.col("path"))).alias("root"), places.alias("salt"))
+    roots = nav.select(F.col("path").alias("nav"), "root", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    own = F.when(F.col("root") == "", F.col("path")).otherwise(F.substr("path", F.length("root") + 2))
+    pages = below.join(roots, ["root", "salt"]).select("nav", "path", own.alias("own"), F.regexp_replace(own, "^docs/", "").alias("short"))
+    there = pages.select("nav", F.explode(F.array_distinct(F.array("own", "short"))).alias("target"))
+    missing = named.join(there, ["nav", "target"], "left_anti").select(F.lit("nav-missing-target").alias("rule_id"), F.col("nav").alias("path"), "target", F.lit("error").alias("severity"))
+    orphan = pages.join(named.select("nav", F.col("target").alias("short")), ["nav", "short"], "left_anti").join(named.select("nav", F.col("target").alias("own")), ["nav", "own"], "left_anti")
+    return missing.unionByName(orphan.select(F.lit("nav-orphan-page").alias("rule_id"), "path", F.col("nav").alias("target"), F.lit("warn").alias("severity")))
 
 
 def check_community(files: DataFrame) -> DataFrame:
@@ -229,6 +224,11 @@ def structure(files: DataFrame) -> DataFrame:
     return files.select("path", F.floor(F.regexp_count("text", F.lit(r"(?m)^ {0,3}(?:```|~~~)")) / 2).alias("fences"), F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\]\(([^)\s]+)\)"), F.lit(1)))).alias("targets")).join(heads, "path", "left").withColumn("levels", F.coalesce("levels", F.array().cast("array<int>")))
 
 
+def conformed(files: DataFrame) -> DataFrame:
+    """(source, path, lang, issues) of all translations, by their blocks: headings, code blocks and links that the source has (see ``commonmark``)."""
+    return conform(files, translations(files))
+
+
 def check_translations(files: DataFrame) -> DataFrame:
     """(path, source, issue): headings, levels, code blocks and links that a translation lacks."""
     s = structure(files)
@@ -250,7 +250,7 @@ def localization(files: DataFrame) -> DataFrame:
     """(source, lang, path, layout, stale, issues, ok): a row a translation; stale where the source was modified later (files may have ``modified``)."""
     modified = files.select(F.col("path").alias("p"), F.col("modified").alias("m") if "modified" in files.columns else F.lit(None).cast("timestamp").alias("m"))
     pairs = translations(files).join(modified.select(F.col("p").alias("path"), F.col("m").alias("mine")), "path").join(modified.select(F.col("p").alias("source"), F.col("m").alias("theirs")), "source")
-    issues = check_translations(files).groupBy("path").agg(F.array_sort(F.collect_list("issue")).alias("issues"))
+    issues = conformed(files).select("path", "issues")
     rows = pairs.join(issues, "path", "left").withColumns({"issues": F.coalesce("issues", F.array().cast("array<string>")), "stale": F.coalesce(F.col("theirs") > F.col("mine"), F.lit(False))})
     p = F.col("path")
     layout = F.when(p.rlike("^i18n/[^/]+/docusaurus-plugin-content-docs/"), "docusaurus").when(p.rlike(r"(?:^|/)content\.[^/]+/"), "hugo").when(p.rlike(r"\.[^./]+\.[^./]+$"), "suffix").otherwise("directory")
@@ -260,15 +260,11 @@ def localization(files: DataFrame) -> DataFrame:
 def surface(files: DataFrame, tools: tuple[str, ...] = ()) -> DataFrame:
     """(kind, name, file, line, signature) of public symbols, headings, commands in documents (of ``TOOLS`` and ``tools``) and configuration keys."""
     rows = lines_of(files).withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
-    found = []
-    for exts, (kind, patterns) in SYMBOLS.items():
-        name = F.coalesce(*[F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in patterns])
-        found.append(F.when(F.col("ext").isin(*exts.split("|")), F.struct(F.lit(kind).alias("kind"), name.alias("name"))))
-    code = rows.withColumn("s", F.coalesce(*found)).where("s.name is not null and not (s.kind = 'python' and startswith(s.name, '_'))")
-    code = code.select("s.kind", "s.name", "path", "line", F.trim("text").alias("signature"))
+    named = spans(files.where(F.col("path").rlike(r"(?i)\.(?:rs|tsx?|jsx?|py|go)$"))).where("not (kind = 'python' and startswith(name, '_'))")
+    code = named.select("kind", "name", "path", F.col("start_line").alias("line"), "signature")
     prose = rows.where(F.col("ext").isin("md", "mdx")).withColumn("text", F.trim("text"))
     heads = prose.where(F.col("text").rlike("^#{1,6} ")).select(F.lit("heading").alias("kind"), F.trim(F.regexp_replace("text", "^#{1,6} ", "")).alias("name"), "path", "line", F.col("text").alias("signature"))
-    return reduce(DataFrame.unionByName, [code, heads, _commands(prose, (*TOOLS, *tools)), _config_keys(rows)]).withColumnRenamed("path", "file")
+    return reduce(DataFrame.unionByName, [code, heads, _commands(prose, (*TOOLS, *tools)), _config_keys(files, rows)]).withColumnRenamed("path", "file")
 
 
 def _commands(prose: DataFrame, tools: tuple[str, ...]) -> DataFrame:
@@ -280,67 +276,73 @@ def _commands(prose: DataFrame, tools: tuple[str, ...]) -> DataFrame:
     return said.where(F.col("name").startswith("./") | F.regexp_replace("name", r"^\./", "").isin(*tools)).select(F.lit("command").alias("kind"), "name", "path", "line", "signature")
 
 
-def _config_keys(rows: DataFrame) -> DataFrame:
+def _config_keys(files: DataFrame, rows: DataFrame) -> DataFrame:
     """Keys of TOML, YAML and JSON by their whole dotted path: in TOML below the last section, elsewhere below the keys that are
-    open at the line's indentation (a fold over the lines of one file)."""
+    open at the line's indentation."""
     trimmed = F.trim(F.col("text"))
-    live = rows.where(F.col("ext").isin("toml", "yaml", "yml", "json") & (trimmed != "") & ~trimmed.startswith("#"))
-    toml = live.where("ext = 'toml'").select("path", "line", trimmed.alias("signature"), F.nullif(F.regexp_extract(trimmed, r"^\[{1,2}\s*([\w.-]+)\s*\]{1,2}$", 1), F.lit("")).alias("section"), F.nullif(F.regexp_extract(trimmed, r"^([A-Za-z_][\w-]*)\s*=", 1), F.lit("")).alias("key"))
+    live = rows.where((F.col("ext") == "toml") & (trimmed != "") & ~trimmed.startswith("#"))
+    toml = live.select("path", "line", trimmed.alias("signature"), F.nullif(F.regexp_extract(trimmed, r"^\[{1,2}\s*([\w.-]+)\s*\]{1,2}$", 1), F.lit("")).alias("section"), F.nullif(F.regexp_extract(trimmed, r"^([A-Za-z_][\w-]*)\s*=", 1), F.lit("")).alias("key"))
     within = F.last("section", ignorenulls=True).over(W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
     flat = toml.withColumn("name", F.when(F.col("section").isNotNull(), F.col("section")).when(F.col("key").isNotNull(), F.concat_ws(".", within, "key"))).where("name is not null").select("path", "line", "name", "signature")
-    json = F.col("ext") == "json"
-    keyed = F.when(json, F.regexp_extract("text", r'^\s*"([^"]+)"\s*:', 1)).otherwise(F.regexp_extract("text", r"^\s*([A-Za-z_][\w.-]*)\s*:", 1))
-    value = F.trim(F.regexp_replace("text", "^[^:]*:", ""))
-    deep = live.where(F.col("ext") != "toml").withColumns({"key": keyed, "indent": F.length(F.regexp_extract("text", r"^\s*", 0)), "opens": F.when(json, value.rlike(r"^[{\[]")).otherwise(value == "")}).where((F.col("key") != "") & (json | ~trimmed.startswith("-")))
-    one = F.array_sort(F.collect_list(F.struct("line", "indent", "key", "opens", trimmed.alias("signature"))))
-
-    def step(acc, x):
-        above = F.filter(acc["open"], lambda k: k["indent"] < x["indent"])
-        name = F.array_join(F.concat(F.transform(above, lambda k: k["key"]), F.array(x["key"])), ".")
-        now = F.when(x["opens"], F.concat(above, F.array(F.struct(x["indent"].alias("indent"), x["key"].alias("key"))))).otherwise(above)
-        return F.struct(now.alias("open"), F.concat(acc["out"], F.array(F.struct(x["line"].alias("line"), name.alias("name"), x["signature"].alias("signature")))).alias("out"))
-
-    empty = F.expr("named_struct('open', cast(array() as array<struct<indent:int,key:string>>), 'out', cast(array() as array<struct<line:int,name:string,signature:string>>))")
-    nested = deep.groupBy("path").agg(one.alias("rows")).select("path", F.explode(F.aggregate("rows", empty, step)["out"]).alias("o")).select("path", "o.line", "o.name", "o.signature")
-    return flat.unionByName(nested).select(F.lit("config").alias("kind"), "name", "path", "line", "signature")
-
-
-def symbol_span(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(path, symbol, start_line, end_line) for (path, symbol): a markdown section up to the next heading of its level or above, or a
-    declaration in code up to the line before the next public one."""
-    sizes = files.select("path", F.size(F.split("text", "\n")).alias("lines"))
-    heads = headings(files).select("path", "line", "level", _norm(F.col("text")).alias("key"))
-    code = surface(files).where(~F.col("kind").isin("heading", "config", "command")).select(F.col("file").alias("path"), "line", F.lit(1).alias("level"), F.col("name").alias("key"))
-    key = F.when(is_markdown(F.col("path")), _norm(F.col("symbol"))).otherwise(F.col("symbol"))
-    marks = heads.where(is_markdown(F.col("path"))).unionByName(code)
-    mine = wanted.withColumn("key", key).join(marks, ["path", "key"]).join(sizes, "path").select("path", "symbol", F.col("line").alias("start_line"), F.col("level").alias("own"), "lines")
-    mine = mine.groupBy("path", "symbol").agg(F.min_by(F.struct("start_line", "own", "lines"), "start_line").alias("m")).select("path", "symbol", "m.*")
-    after = mine.join(marks.select("path", "line", "level"), "path").where("line > start_line and level <= own").groupBy("path", "symbol").agg(F.min("line").alias("next"))
-    return mine.join(after, ["path", "symbol"], "left").select("path", "symbol", "start_line", F.coalesce(F.col("next") - 1, F.col("lines")).alias("end_line"))
+    return flat.unionByName(nested_keys(files)).select(F.lit("config").alias("kind"), "name", "path", "line", "signature")
 
 
 def glob_regex(glob: Column) -> Column:
     """A glob as a regular expression: ``*`` and ``**`` cross folders, ``?`` is one character, ``{a,b}`` and ``[ab]`` are choices."""
-    out = F.regexp_replace(F.regexp_replace(glob, r"([.+^$()|\\])", r"\\$1"), r"\?", ".")
+    out = F.regexp_replace(glob, r",(?=[^{}]*\})", "\u0003")
+    out = F.regexp_replace(F.regexp_replace(out, r"([.+^$()|\\])", r"\\$1"), r"\?", ".")
     out = F.regexp_replace(F.regexp_replace(out, r"\*\*/", "\u0001"), r"\*+", ".*")
     out = F.replace(out, F.lit("\u0001"), F.lit("(?:.*/)?"))
     out = F.regexp_replace(F.regexp_replace(out, r"\{", "(?:"), r"\}", ")")
-    return F.concat(F.lit("^(?:"), F.regexp_replace(out, ",", "|"), F.lit(")$"))
+    return F.concat(F.lit("^(?:"), F.regexp_replace(F.replace(out, F.lit("\u0003"), F.lit("|")), r"\[!", "[^"), F.lit(")$"))
+
+
+def globbed(paths: DataFrame, globs: DataFrame) -> DataFrame:
+    """``globs`` (glob, ...) beside each of ``paths`` (path) that they match, without running every glob on every path.
+
+    What is fixed in a glob are join keys: the folder before its first mark, and the extension behind its last one. A path is dealt out by
+    the folders above it, with and without its extension, so it meets only globs that agree in both; the whole glob is tried on these.
+    The paths below one folder are dealt to ``SALT`` places, as many globs begin with no folder.
+    """
+    fixed = F.regexp_extract("glob", r"^[^*?\[{\\]*", 0)
+    keyed = globs.withColumns({"_folder": folder_of(fixed), "_ext": F.regexp_extract("glob", r"(?<!\\)(\.[A-Za-z0-9]+)$", 1), "_salt": F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))})
+    ext = F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1)
+    asked = paths.select("path").distinct().select("path", F.explode(above(F.col("path"))).alias("_folder"), F.array_distinct(F.array(F.lit(""), ext)).alias("_exts"), F.pmod(F.xxhash64("path"), F.lit(SALT)).cast("int").alias("_salt"))
+    met = asked.withColumn("_ext", F.explode("_exts")).drop("_exts").join(keyed, ["_folder", "_ext", "_salt"])
+    return met.where(F.regexp_like("path", glob_regex(F.col("glob")))).drop("_folder", "_ext", "_salt")
+
+
+def _spared(exclude: str) -> Column:
+    return ~F.exists(F.coalesce(F.col(exclude), F.array().cast("array<string>")), lambda g: F.regexp_like("path", glob_regex(g)))
 
 
 def notified(edits: DataFrame, rules: DataFrame) -> DataFrame:
-    """(path, name, message): edited paths that a rule's globs match and none of its excludes; rules (name, paths, exclude, message) are configuration."""
-    p = F.col("path")
-    hit = F.exists("paths", lambda g: F.regexp_like(p, glob_regex(g))) & ~F.exists(F.coalesce("exclude", F.array().cast("array<string>")), lambda g: F.regexp_like(p, glob_regex(g)))
-    return edits.select("path").distinct().join(rules, hit).select("path", "name", "message")
+    """(path, name, message): edited paths that a rule's globs match and none of its excludes; rules (name, paths, exclude, message) are configuration.
+    A rule says its message once for a path."""
+    hits = globbed(edits, rules.select("name", "message", "exclude", F.explode(F.array_distinct("paths")).alias("glob")))
+    return hits.where(_spared("exclude")).select("path", "name", "message").distinct()
 
 
 def nudged(edits: DataFrame, nudges: DataFrame) -> DataFrame:
     """(path, name, text): edited paths that a nudge's ``file`` glob matches, and none of its ``exclude``; nudges (name, file, exclude, edit, message) are configuration."""
-    p = F.col("path")
-    hit = F.regexp_like(p, glob_regex(F.col("file"))) & ~F.exists(F.coalesce("exclude", F.array().cast("array<string>")), lambda g: F.regexp_like(p, glob_regex(g)))
+    hits = globbed(edits, nudges.where("file is not null").select("name", "exclude", "edit", "message", F.col("file").alias("glob"))).where(_spared("exclude"))
     why = F.when(F.coalesce(F.length("message"), F.lit(0)) > 0, F.concat(F.lit(" — "), "message")).otherwise("")
-    return edits.select("path").distinct().join(F.broadcast(nudges.where("file is not null")), hit).select("path", "name", F.concat("path", F.lit(" changed — edit "), F.array_join("edit", ", "), why).alias("text"))
+    return hits.select("path", "name", F.concat("path", F.lit(" changed — edit "), F.array_join("edit", ", "), why).alias("text"))
+
+
+# Rules that a project's own files suggest.
+PROPOSED = {
+    "code-docs": (["src/**"], "Code changed; check docs, SPEC.md, and examples for drift."),
+    "rust-manifest": (["Cargo.toml", "Cargo.lock"], "Rust manifest changed; check install, build, and dependency docs."),
+}
+
+
+def discovered(files: DataFrame) -> DataFrame:
+    """(name, paths, message, exclude) of the notices that the files (path) suggest: for code that has documents, and for a manifest of Rust."""
+    p = F.col("path")
+    has = files.agg(*[F.coalesce(F.max(c), F.lit(False)).alias(n) for n, c in {"src": p.startswith("src/"), "docs": p.startswith("docs/") | (p == "SPEC.md"), "rust": p == "Cargo.toml"}.items()])
+    rows = [F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, globs)).alias("paths"), F.lit(said).alias("message"), F.array().cast("array<string>").alias("exclude")) for n, (globs, said) in PROPOSED.items()]
+    return has.select(F.explode(F.array_compact(F.array(F.when(F.col("src") & F.col("docs"), rows[0]), F.when(F.col("rust"), rows[1])))).alias("r")).select("r.*")
 
 
 def check_nudges(files: DataFrame, nudges: DataFrame) -> DataFrame:
@@ -359,6 +361,20 @@ def template_sections(files: DataFrame, folder: str = "templates") -> DataFrame:
     return own.select(F.lower(F.regexp_replace(basename(F.col("path")), r"\.[^.]*$", "")).alias("archetype"), F.col("text").alias("section"))
 
 
+def scaffold(archetype: str, title: str | None = None, template: str | None = None) -> tuple[str, str]:
+    """(file, text) of a new document of an archetype: its template with ``{{title}}`` filled in, else a heading and its sections."""
+    file, names = ARCHETYPES[archetype]
+    said = title or archetype.replace("-", " ").title()
+    if template is not None:
+        return file, template.replace("{{title}}", said)
+    return file, f"# {said}\n" + "".join(f"\n## {n}\n\nTODO\n" for n in names)
+
+
+def templated(templates: DataFrame, titles: DataFrame) -> DataFrame:
+    """(archetype, title, text): template texts (archetype, text) filled in for each of the titles (archetype, title)."""
+    return titles.join(templates.select("archetype", "text"), "archetype").select("archetype", "title", F.replace("text", F.lit("{{title}}"), F.col("title")).alias("text"))
+
+
 def with_term(text: str, use: str, variants: tuple[str, ...]) -> str:
     """A style document with one more row in the table under its heading Terminology; the heading and table are added where there are none."""
     row, lines = f"| {use} | {', '.join(variants)} |", text.split("\n")
