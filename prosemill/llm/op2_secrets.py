@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -31,6 +32,8 @@ _MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 _ESCAPED = re.compile(r"(?:\\+r)?\\+n|\\+r")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{32,}+={0,2}[ \t]*[\r\n]+[ \t]*)++(?:[A-Za-z0-9+/_-]++={0,2})?")
+_SSH_LINE = "b3BlbnNzaC1rZXktdjEA"  #: how an OpenSSH key's mark begins in Base64
+KEY_MOST = 24_576  #: bytes of a key at most: those of 32,768 bits in the longest of the forms
 _LONG = 32  #: hex, Base64 and tokens have a run of so many characters without a blank
 
 
@@ -156,42 +159,46 @@ def _kind(data: bytes | None, depth: int) -> str | None:
 
 
 def _wrapped(text: str, depth: int) -> Iterator[tuple[str, int, int]]:
-    """Keys in Base64 over several lines: DER ends where its length says, others where the width of the lines changes."""
+    """Keys in Base64 over several lines. A DER key ends where its own length says, an OpenSSH key with the lines of one width; other lines of one
+    width are decoded once, as a text that may hold a PEM. A key is looked for within ``KEY_MOST`` bytes, so work is linear in the lines."""
     for m in _WRAPPED.finditer(text):
         lines = [(m.start() + x.start(), m.start() + x.end(), x[0]) for x in _RUN.finditer(m[0])]
+        flat = "".join(x[2].rstrip("=") for x in lines)
         upto = [0]
         for _, _, line in lines:
             upto.append(upto[-1] + len(line.rstrip("=")))
-        last, where = list(range(len(lines))), {n: i for i, n in enumerate(upto)}
+        where = {n: i for i, n in enumerate(upto)}
+        last = list(range(len(lines)))  # the last line of the same width, for each line
         for i in range(len(lines) - 2, -1, -1):
             if len(lines[i][2]) == len(lines[i + 1][2]) and "=" not in lines[i][2]:
                 last[i] = last[i + 1]
-        joined = lambda a, b: decoded("".join(x[2] for x in lines[a:b]))
-        done = 0  # lines before it are searched for text, or taken
+
+        def ends(i: int) -> tuple[int, ...]:
+            """Behind a shorter line that follows the lines of one width, and before it."""
+            to = last[i] + 1
+            short = to < len(lines) and len(lines[to][2]) < len(lines[to - 1][2]) and "=" not in lines[to - 1][2]
+            return (to + 1, to) if short else (to,)
+
+        done = searched = 0  # lines that are taken, and lines that were decoded as text
         for i in range(len(lines) - 1):
-            line, end = lines[i][2], None
-            if line[0] == "M" and i >= done:
+            if i < done:
+                continue
+            line, found = lines[i][2], None
+            if line[0] == "M":
                 head = decoded(line[:8]) or b""
                 k = head[1] & 0x7F if head[1] & 0x80 else 0
                 total = 2 + k + int.from_bytes(head[2 : 2 + k], "big") if k else 2 + head[1]
-                end = where.get(upto[i] + total // 3 * 4 + (0, 2, 3)[total % 3])
-                if end is not None and end > i + 1 and (kind := _kind(joined(i, end), depth)):
-                    yield kind, lines[i][0], lines[end - 1][1]
-                    done = end
-                    continue
-            if i < done or "=" in line:
-                continue
-            to = last[i + 1] + 1
-            short = to < len(lines) and len(lines[to][2]) < len(lines[to - 1][2]) and "=" not in lines[to - 1][2]
-            for end in (to + 1, to) if short else (to,):
-                if kind := _kind(joined(i, end), depth):
-                    yield kind, lines[i][0], lines[end - 1][1]
-                    break
-            else:
-                # Text is searched once a block, an OpenSSH key may begin at any line.
-                done = next((j for j in range(i + 1, to) if lines[j][2][0] == "M" or lines[j][2].startswith(("b3BlbnNzaC1rZXktdjEA", "LS0tLS1CRUdJTi"))), to)
-                continue
-            done = end
+                end = where.get(upto[i] + total // 3 * 4 + (0, 2, 3)[total % 3]) if total <= KEY_MOST else None
+                if end is not None and end > i + 1 and is_private_der(decoded(flat[upto[i] : upto[end]]) or b""):
+                    found = ("der", end)
+            elif line.startswith(_SSH_LINE):
+                found = next((("ssh", end) for end in ends(i) if is_openssh(decoded(flat[upto[i] : min(upto[end], upto[i] + KEY_MOST // 3 * 4)]) or b"")), None)
+            if not found and i >= searched and "=" not in line:
+                searched = last[i] + 1
+                found = next((("pem", end) for end in ends(i) if end > i + 1 and _kind(decoded(flat[upto[i] : upto[end]]), depth) == "pem"), None)
+            if found:
+                yield found[0], lines[i][0], lines[found[1] - 1][1]
+                done = found[1]
 
 
 def confirmed_spans(text: str, depth: int = 0) -> list[tuple[str, int, int]]:
@@ -217,7 +224,11 @@ def confirmed_spans(text: str, depth: int = 0) -> list[tuple[str, int, int]]:
             if kind := _kind(decoded(m[0]), depth):
                 out.append((kind, *m.span()))
         # The lines of a PEM are that PEM.
-        out += [x for x in _wrapped(text, depth) if not any(a <= x[1] and x[2] <= b for _, a, b in pems)]
+        starts = [a for _, a, _ in pems]
+        for x in _wrapped(text, depth):
+            k = bisect.bisect_right(starts, x[1]) - 1
+            if k < 0 or x[2] > pems[k][2]:
+                out.append(x)
         for m in _ANY_HEX.finditer(text):
             if kind := _kind(bytes.fromhex(m[0]), depth):
                 out.append((kind, *m.span()))
@@ -232,7 +243,8 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """(doc_id, spans) for every row: spans of (kind, start, end) in code points, end exclusive, by start and then kind.
 
     A null text is an empty one and has no spans. Rows that repeat an id or have none stay rows of their own; other columns are
-    ignored. Work on a text is linear in its length: patterns run only where a cheap test finds what they need.
+    ignored; an empty table gives no rows. Work on a text is linear in its length: patterns run only where a cheap test finds what they need, and keys
+    are looked for within ``KEY_MOST`` bytes.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

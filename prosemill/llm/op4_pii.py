@@ -6,6 +6,7 @@ import datetime
 import hashlib
 import re
 import secrets
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,14 +21,15 @@ ROUNDS = 10
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_IP = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w)")
-_CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])")
-_SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-_PHONE = re.compile(r"(?<![\w.-])(?:\+\d{1,3}[ .-]?|1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])")
-_DATE = re.compile(r"(?<![\w./-])(?:(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4}))(?!(?![Tt]\d)[\w/-])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IP = re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?\w)")
+_CARD = re.compile(r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])")
+_SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
+_PHONE = re.compile(r"(?<![\w.-])(?:\+[0-9]{1,3}[ .-]?|1[ .-])?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])")
+_DATE = re.compile(r"(?<![\w./-])(?:([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?!(?![Tt][0-9])[\w/-])")
 _WHOLE = re.compile(r"(?s:.*)")
-_NEEDS = re.compile(r"[0-9@]")
+_NEEDS = re.compile(r"[\d@]")
+_FOREIGN = re.compile(r"(?![0-9])\d")  #: digits of other scripts
 
 #: Lengths of IBANs by country, from the registry.
 _IBAN_LENGTHS = {
@@ -215,10 +217,21 @@ KINDS: list[tuple[str, re.Pattern, Callable[[re.Match, bytes], str | None]]] = [
 ]
 
 
+def _in_script(new: str, old: str) -> str:
+    """A new value with the digits of the script that the old one has, place by place; where their lengths differ, those of its first digit."""
+    zeros = [ord(c) - unicodedata.decimal(c) for c in old if c.isdecimal()]
+    if set(zeros) <= {48}:
+        return new
+    at = [ord(c) - unicodedata.decimal(c) if c.isdecimal() else zeros[0] for c in old] if len(new) == len(old) else [zeros[0]] * len(new)
+    return "".join(chr(z + int(c)) if "0" <= c <= "9" else c for c, z in zip(new, at))
+
+
 def pseudonymized(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and the spans (kind, start, end) of the values in the old text, by start."""
     if not _NEEDS.search(text):
         return text, []
+    # Digits of all scripts are read as ASCII's, so that equal numbers are linked however they are written.
+    whole, text = text, text.translate({ord(c): str(unicodedata.decimal(c)) for c in set(_FOREIGN.findall(text))}) if _FOREIGN.search(text) else text
     taken: list[tuple[int, int, str, str]] = []
     covered = bytearray(0)
     for kind, pattern, new in KINDS:
@@ -240,9 +253,9 @@ def pseudonymized(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]
     taken.sort()
     out, at = [], 0
     for a, b, _, value in taken:
-        out += [text[at:a], value]
+        out += [whole[at:a], value if whole is text else _in_script(value, whole[a:b])]
         at = b
-    return "".join([*out, text[at:]]), [(k, a, b) for a, b, k, _ in taken]
+    return "".join([*out, whole[at:]]), [(k, a, b) for a, b, k, _ in taken]
 
 
 def key_of(spark: SparkSession) -> bytes:
@@ -256,7 +269,8 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", spans: str = "
 
     A value is replaced only if it validates: check digits of cards and IBANs, ranges of numbers, phones and addresses, calendar
     dates from 1900 to 2099. Equal values of a kind get equal pseudonyms in every document under one key, different values different
-    ones; separators, widths and the shape stay. A null text stays null and has no spans; rows and other columns stay, but a column
+    ones; separators, widths, the shape and the digits' script stay. International phones in other groups than 3, 3 and 4, IPv6 addresses and
+    dates with a month's name are no kinds of this operator and stay. A null text stays null and has no spans; rows and other columns stay, but a column
     by the name of ``spans`` is replaced.
     """
     source = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != spans.lower()])
