@@ -166,33 +166,67 @@ def test_vectors_against_all_pairs(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int"), passes=2).count() == 0
 
 
+VECTORS = "vec_id long, embedding array<double>, label int"
+
+
+def unit_rows(x):
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def test_dense_group_keeps_every_link(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal(64)
-    x = base / np.linalg.norm(base) + rng.standard_normal((5000, 64)) * 0.02
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    assert (x @ x.T).min() > 0.93
-    rows = near_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
-    assert {(r.n_links, r.component_id) for r in rows} == {(4999, 0)} and len(rows) == 5000
-
-
-def test_coded_passes_find_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(op8_embeddings, "COMPARE", 3.0)
-    monkeypatch.setattr(op8_embeddings, "BLOCK", 64)
-    assert op8_embeddings.plan(1024, 0.93)[0] > 1
+    x = unit_rows(base / np.linalg.norm(base) + rng.standard_normal((10_000, 64)) * 0.015)
+    assert (x[:2000] @ x.T).min() > 0.93 and op8_embeddings.plan(10_000, 0.93)[1] > 2
+    rows = near_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], VECTORS)).collect()
+    assert {(r.n_links, r.component_id) for r in rows} == {(9999, 0)} and len(rows) == 10_000
+
+
+def test_large_label_finds_its_pairs(spark):
+    """20,000 vectors in groups around the threshold, in the passes that a label of this size has: recall against all pairs."""
+    rng = np.random.default_rng(9)
+    x = unit_rows(np.concatenate([rng.standard_normal((1, 64)) + rng.standard_normal((8, 64)) * 0.26 for _ in range(2500)]))
+    true = np.concatenate([(x[k : k + 2000] @ x.T >= 0.93).sum(1) - 1 for k in range(0, len(x), 2000)])
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], VECTORS)).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert true.sum() > 20_000 and (found <= true).all() and found.sum() >= 0.999 * true.sum()
+
+
+@pytest.mark.parametrize(("block", "compare"), [(64, 3.0), (8, 0.03), (16, 30.0)])
+def test_passes_and_windows_find_all_pairs(spark, monkeypatch, block, compare):
+    monkeypatch.setattr(op8_embeddings, "COMPARE", compare)
+    monkeypatch.setattr(op8_embeddings, "BLOCK", block)
     rng = np.random.default_rng(5)
-    x = np.concatenate([rng.standard_normal((1, 32)) + rng.standard_normal((k, 32)) * 0.2 for k in rng.integers(1, 60, 30)])
-    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = unit_rows(np.concatenate([rng.standard_normal((1, 32)) + rng.standard_normal((k, 32)) * 0.2 for k in rng.integers(1, 60, 30)]))
     near = x @ x.T >= 0.93
-    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    assert op8_embeddings.plan(len(x), 0.93)[1] > 2
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], VECTORS)).collect()}
     assert near.sum() > 2 * len(x) and [got[i] for i in range(len(x))] == (near.sum(1) - 1).tolist()
 
 
+def test_windows_alone_count_a_pair_once(spark, monkeypatch):
+    """Codes so long that near vectors rarely share one: pairs come from the windows of several passes."""
+    monkeypatch.setattr(op8_embeddings, "BLOCK", 16)
+    monkeypatch.setattr(op8_embeddings, "plan", lambda n, threshold, passes=1: (32, 9))
+    rng = np.random.default_rng(6)
+    x = unit_rows(np.concatenate([rng.standard_normal((1, 32)) + rng.standard_normal((4, 32)) * 0.2 for _ in range(40)]))
+    near = (x @ x.T >= 0.93).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame([(i, v.tolist(), i % 1) for i, v in enumerate(x)], VECTORS)).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= near).all() and found.sum() >= 0.9 * near.sum() > 100
+
+
+def test_rows_that_repeat_an_id_keep_their_links(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 1.0], 1), (4, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (5, [-1.0, 0.0], 1), (5, None, 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame(rows, VECTORS)).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 2, 1, False), (4, 2, 1, False), (5, 0, 5, True), (5, 0, 5, True)]
+
+
 @pytest.mark.parametrize("n", [10**3, 10**5, 10**7, 10**9])
 def test_passes_follow_the_size(n):
     bits, passes = op8_embeddings.plan(n, 0.93)
     agree = 1 - np.arccos(0.93) / np.pi
-    assert (1 - agree**bits) ** passes <= 1e-6 and (n > 10**3) == (bits > 0)
+    assert (1 - agree**bits) ** passes <= 1e-6 and bits >= op8_embeddings.BITS_LEAST
 
 
 def test_url_lists_as_of(spark):
