@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @cache
@@ -15,6 +15,25 @@ def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="prosemill-")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the one that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _local_dir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def landed(stream: DataFrame) -> DataFrame:
+    """What a stream gives of all that is there now, written as Parquet beside its checkpoint and read again."""
+    spark = stream.sparkSession
+    at = folder(spark, "stream")
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet and read by column: what many plans share is neither recomputed nor held in memory.
 
@@ -22,12 +41,7 @@ def materialized(df: DataFrame) -> DataFrame:
     machine a local folder is taken where that is unset.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = _local_dir()
-    path = f"{base.rstrip('/')}/prose-{uuid.uuid4().hex}"
+    path = folder(spark, "prose")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -17,7 +17,7 @@ from prosemill.operators.detect import STRUCTURAL, detect
 from prosemill.operators.narrative import narrative
 from prosemill.operators.rules import PACKS, Rule, selected
 from prosemill.operators.storage import materialized, spread
-from prosemill.plans import cases, fixtures, projects
+from prosemill.plans import cases, fixtures, projects, trees
 from prosemill.plans.fixtures import corpus, corpus_sql
 
 COLUMNS = ["doc_id", "rule_id", "family", "severity", "offset", "length", "span", "message"]
@@ -296,3 +296,5 @@ QUERIES |= {
 }
 ORACLES |= {"narrative_score": NARRATIVE_SQL, "op_syllables": SYLLABLES_SQL, "rule_cases": cases.cases_sql(), "op_mask": fixtures.masked_sql(), "op_lines": LINES_SQL, "op_tokens": TOKENS_SQL, "text_filters": FILTERS_SQL}
 ORACLES |= {**on_plain_sql(), **projects.SQL, "check_anchors": ANCHORS_SQL}
+QUERIES |= trees.QUERIES
+ORACLES |= trees.ORACLES

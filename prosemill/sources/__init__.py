@@ -44,7 +44,9 @@ def text_files(spark: SparkSession, root: str, pattern: str = MARKDOWN, limit: i
 def listed(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, modified, full) of the files below ``root`` without skipped folders, from the listing: no file is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    out = files.select(_below(F.col("path"), root).alias("below"), F.col("modificationTime").alias("modified"), F.col("path").alias("full")).withColumnRenamed("below", "path")
+    # A path is read again as it stands, so what a pattern would take for a mark is escaped.
+    full = F.regexp_replace("path", r"([\[\]{}*?\\])", r"\\$1")
+    out = files.select(_below(F.col("_metadata.file_path"), root).alias("below"), F.col("modificationTime").alias("modified"), full.alias("full")).withColumnRenamed("below", "path")
     return out.where(~in_skipped_folder(F.col("path")))
 
 

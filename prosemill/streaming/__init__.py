@@ -46,7 +46,7 @@ def edited_once(events: DataFrame, delay: str = "10 minutes", column: str = "val
     held is bounded by the paths of that time, not by the stream. Events behind the watermark are dropped. A path that is edited again later
     comes again.
     """
-    paths = edited_paths(events.withColumn("_at", F.col(at)), column, keep=("_at",), root=root).withColumnRenamed("_at", "at")
+    paths = edited_paths(events.withColumn("_at", F.col(at).cast("timestamp")), column, keep=("_at",), root=root).withColumnRenamed("_at", "at")
     return paths.withWatermark("at", delay).dropDuplicatesWithinWatermark(["path"])
 
 
