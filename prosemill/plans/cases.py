@@ -202,9 +202,18 @@ def texts() -> list[tuple[int, str, str, str, str]]:
     return out
 
 
+FENCE = "~" * 12  #: around a document that follows a text
+#: Rules that count a share of all lines, so that a document behind the text changes what they say of it: they stand alone.
+ALONE = ("bullet-overuse",)
+#: A sentence at the end of a block takes in the line feed that a document behind it adds.
+LINE_FEED = ("long-sentence", "plain-long-sentence")
+
+
 def cases_sql() -> str:
-    """A row a case: the marked place of a find in bytes, nothing for a miss."""
+    """A row a text, alone and for each document that follows it: the marked place of a find in bytes, nothing for a miss."""
     quoted = lambda t: t.replace("'", "''")
-    rows = ",\n".join(f"('{r}', '{s}', '{quoted(m)}')" for r, s, m, _ in CASES)
-    return f"""WITH c(rule_id, style, marked) AS (VALUES {rows}), p AS (SELECT rule_id, style, strlen(split_part(marked, '«', 1)) AS before, strlen(split_part(split_part(marked, '«', 2), '»', 1)) AS inside FROM c)
-SELECT rule_id, style, 'find' AS kind, CAST(before AS INTEGER) AS "offset", CAST(inside AS INTEGER) AS length FROM p UNION ALL SELECT rule_id, style, 'miss', NULL, NULL FROM p"""
+    rows = ",\n".join(f"({i}, '{r}', '{s}', '{quoted(m)}')" for i, (r, s, m, _) in enumerate(CASES))
+    return f"""WITH c(i, rule_id, style, marked) AS (VALUES {rows}), p AS (SELECT i, rule_id, style, strlen(split_part(marked, '«', 1)) AS before, strlen(split_part(split_part(marked, '«', 2), '»', 1)) AS inside FROM c),
+k AS (SELECT 2 * i AS number, rule_id, style, 'find' AS kind, CAST(before AS INTEGER) AS "offset", CAST(inside AS INTEGER) AS length FROM p UNION ALL SELECT 2 * i + 1, rule_id, style, 'miss', NULL, NULL FROM p),
+d AS (SELECT doc_id, ((doc_id % {2 * len(CASES)}) + {2 * len(CASES)}) % {2 * len(CASES)} AS number FROM documents UNION ALL SELECT -1 - number, number FROM k)
+SELECT doc_id, rule_id, style, kind, "offset", CAST(CASE WHEN doc_id >= 0 AND rule_id IN {LINE_FEED} THEN length + 1 ELSE length END AS INTEGER) AS length FROM d JOIN k USING (number) WHERE doc_id < 0 OR rule_id NOT IN ('{ALONE[0]}')"""
