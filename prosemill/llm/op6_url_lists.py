@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from prosemill.llm.common import table
 
 FOREVER = 2**31 - 1
+SALT = 16
 _HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/:?#\[\]]+)"
 _ADDRESS = r"^\[|^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"
 
@@ -31,6 +32,11 @@ def intervals(entries: DataFrame) -> DataFrame:
     return days.select("domain", "since", until.alias("until"), F.col("a.name").alias("action"))
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """``rows`` once for each of the places that the hosts below one name are dealt to."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetch_day") -> DataFrame:
     """``captures`` with host, blocked, listed_domain and since: what the list said of the URL's host on the day it was fetched.
 
@@ -39,7 +45,8 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
 
     The as-of join is a window over the domain's intervals and the days that it is asked for: each such day gets the last
     interval that began by then. Hosts, days and domains are made distinct before (summed before the shuffle), so the window of a domain
-    holds a row a day and a row an entry, whatever the captures; entries and days don't multiply, and no size of the list is assumed.
+    holds a row a day and a row an entry, whatever the captures; entries and days don't multiply, and no size of the list is assumed. The hosts
+    below one name are dealt to ``SALT`` places, each with that name's intervals, so neither a listed nor an unlisted name is one task's.
 
     A null URL, one without a host and a null day are not blocked. Equal captures stay as many. Columns of ``captures`` by the new
     names are replaced; any other name is free.
@@ -49,13 +56,15 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
     asked = rows.where("host is not null and day is not null").select("host", "day").distinct()
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    named = asked.select("host", "day", F.explode(F.when(F.col("host").rlike(_ADDRESS), F.array("host")).otherwise(suffixes)).alias("domain"))
+    named = asked.select("host", "day", F.pmod(F.xxhash64("host"), F.lit(SALT)).cast("int").alias("salt"), F.explode(F.when(F.col("host").rlike(_ADDRESS), F.array("host")).otherwise(suffixes)).alias("domain"))
     listed = intervals(entries).select("domain", F.col("since").alias("day"), F.struct("since", "until", "action").alias("entry"))
+    # Names above a host that no entry has, as those that all hosts share, are left out before anything is gathered by name.
+    named = named.join(_salted(listed.select("domain").distinct()), ["domain", "salt"], "left_semi")
     points = named.select("domain", "day").distinct()
     # On one day the entry comes before the question.
     as_of = F.last("entry", ignorenulls=True).over(W.partitionBy("domain").orderBy("day", F.col("entry").isNull()).rowsBetween(W.unboundedPreceding, 0))
     active = listed.unionByName(points, allowMissingColumns=True).select("domain", "day", as_of.alias("held"), F.col("entry").isNull().alias("point")).where("point and held is not null and day < held.until")
-    found = named.join(active.select("domain", "day", "held"), ["domain", "day"])
+    found = named.join(_salted(active.select("domain", "day", "held")), ["domain", "day", "salt"])
     verdict = found.groupBy("host", "day").agg(F.max(F.struct(F.length("domain").alias("n"), "domain", "held")).alias("v"))
     out = rows.join(verdict, ["host", "day"], "left")
     return out.select("row.*", "host", F.coalesce(F.col("v.held.action") == "block", F.lit(False)).alias("blocked"), F.col("v.domain").alias("listed_domain"), F.col("v.held.since").alias("since"))

@@ -13,10 +13,11 @@ from prosemill.llm.common import components, materialize, partitions, scratch, t
 
 THRESHOLD = 0.93
 MISS = 1e-6  #: probability at most that no pass brings a pair at the threshold together
-BLOCK = 512  #: vectors that stand side by side in the order; a window is a block and the next one
-BITS_LEAST, BITS_MOST = 4, 32  #: signs in a code
+BLOCK = 1024  #: vectors that stand side by side in the order; a window is a block and the next one
+BITS_LEAST, BITS_MOST = 1, 32  #: signs in a code
+BITS_SMALL = 8  #: signs of a label that fits a block
 PASSES_LEAST = 2
-SHIP, COMPARE = 30.0, 0.03  #: microseconds that a vector costs in a pass, and a pair that is compared
+SHIP, COMPARE = 30.0, 0.03  #: microseconds that a vector costs each time it is sent, and a pair that is compared
 TOGETHER = 8  #: passes in one job
 SEED = 7
 LABELS_BROADCAST = 100_000  #: labels whose sizes are broadcast; of more they are joined by label
@@ -35,13 +36,15 @@ def plan(n: int, threshold: float, passes: int = PASSES_LEAST) -> tuple[int, int
     """
     agree = 1 - np.arccos(np.clip(threshold, -1, 1 - 1e-9)) / np.pi
     if n <= BLOCK:
-        return BITS_LEAST, max(1, passes)
+        return BITS_SMALL, max(1, passes)
     options = []
     for bits in range(BITS_LEAST, BITS_MOST + 1):
         if (both := agree**bits) > 1e-9:
             need = max(passes, int(np.ceil(np.log(MISS) / np.log1p(-both))))
-            options.append((need * (SHIP + (2 * BLOCK + n / 2**bits) * COMPARE), bits, need))
-    return min(options)[1:] if options else (BITS_LEAST, max(1, passes, int(np.ceil(np.log(MISS) / np.log1p(-max(agree, 0.01) ** BITS_LEAST)))))
+            run = n / 2**bits  # it is sent to be sorted, to two windows, and once for each block of its run beyond these
+            options.append((need * (SHIP * (3 + max(0, run / BLOCK - 2)) + (2 * BLOCK + run) * COMPARE), bits, need))
+    # A threshold that opposite vectors meet leaves no code to share: one run holds them all.
+    return min(options)[1:] if options else (0, 1)
 
 
 def unit(values: list | None) -> np.ndarray | None:
@@ -211,9 +214,9 @@ def _compared(rows: list[tuple], far: bool, threshold: float) -> Iterator[pa.Rec
     if not len(mine_all) or len(rows) < 2:
         return
     now = rows[0][4]
-    code = np.frombuffer(b"".join(r[5] for r in rows), ">u4")
+    code = np.frombuffer(b"".join(r[5] for r in rows), ">u4").astype(np.uint32)
     home = np.array([r[6] for r in rows], np.int64)
-    codes = np.frombuffer(b"".join(r[7] for r in rows), ">u4").reshape(len(rows), -1)
+    codes = np.frombuffer(b"".join(r[7] for r in rows), ">u4").astype(np.uint32).reshape(len(rows), -1)
     cls, rep, count = (np.array([r[k] for r in rows], np.int64) for k in (8, 9, 10))
     x = np.frombuffer(b"".join(r[11] for r in rows), np.float64).reshape(len(rows), -1)
     linked, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
@@ -223,27 +226,31 @@ def _compared(rows: list[tuple], far: bool, threshold: float) -> Iterator[pa.Rec
         mine = mine_all[lo : lo + BLOCK]
         for to in range(0, len(others), BLOCK):
             theirs = others[to : to + BLOCK]
-            i, j = np.nonzero(x[mine] @ x[theirs].T >= threshold - 1e-9)
-            i, j = mine[i], theirs[j]
-            once = (side[j] == 1) | (i < j)
-            i, j = i[once], j[once]
+            near = x[mine] @ x[theirs].T
+            new = near >= threshold - 1e-9
+            new &= (side[theirs] == 1)[None, :] | (mine[:, None] < theirs[None, :])
             if now:  # windows of the first pass have counted their pairs
-                new = np.abs(home[i] - home[j]) > 1
-                i, j = i[new], j[new]
+                new &= np.abs(home[mine][:, None] - home[theirs][None, :]) > 1
                 for k in range(now):
-                    new = codes[i, k] != codes[j, k]
-                    i, j = i[new], j[new]
-            # The last bits of a product of matrices depend on their shapes; a sum by rows gives a pair the same cosine anywhere.
-            sure = np.concatenate([np.empty(0, bool), *[(x[i[k : k + 65536]] * x[j[k : k + 65536]]).sum(1) >= threshold for k in range(0, len(i), 65536)]])
-            i, j = i[sure], j[sure]
-            if now and len(i):
+                    if not new.any():
+                        break
+                    new &= codes[mine, k][:, None] != codes[theirs, k][None, :]
+            # The last bits of a product of matrices depend on their shapes; a sum by rows gives a pair at the threshold the same cosine anywhere.
+            i, j = np.nonzero(new & (near < threshold + 1e-9))
+            for k in range(0, len(i), 65536):
+                own, its = i[k : k + 65536], j[k : k + 65536]
+                new[own, its] = (x[mine[own]] * x[theirs[its]]).sum(1) >= threshold
+            if now and new.any():
                 # Pairs of other codes that share one in a later pass are counted there; those that share none are told one by one.
-                apart = code[i] != code[j]
-                alone = apart & (codes[i] != codes[j]).all(1)
-                lone.append((i[alone], j[alone]))
-                i, j = i[~apart], j[~apart]
-            np.add.at(linked, i, count[j])
-            np.add.at(linked, j, count[i])
+                apart = code[mine][:, None] != code[theirs][None, :]
+                i, j = np.nonzero(new & apart)
+                alone = (codes[mine[i]] != codes[theirs[j]]).all(1)
+                lone.append((mine[i[alone]], theirs[j[alone]]))
+                new &= ~apart
+            linked[mine] += (new * count[theirs][None, :]).sum(1)
+            linked[theirs] += (new * count[mine][:, None]).sum(0)
+            i, j = np.nonzero(new)
+            i, j = mine[i], theirs[j]
             while len(i):
                 a, b = root[i], root[j]
                 apart = a != b

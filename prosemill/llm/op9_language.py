@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 from prosemill.llm.common import table
 
 DICTIONARY_BYTES = 112 * 1024  #: of raw text a language; what a dictionary holds at most
+MODEL_BYTES = 64 << 20  #: of all dictionaries together, which go to every executor
+LANGUAGES_MOST = 16_384  #: labels, so that no dictionary is shorter than 4 KB
 PIECE_CHARS = 256  #: code points that a sampled text gives
 SAMPLE_TEXTS = 1024  #: texts sampled for a language, where there are as many
 LEVEL = 5
@@ -40,11 +42,14 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", order: st
     Every language that has a labelled text is learned: one count and one bounded dictionary each come to the driver. The sample
     is bounded by ``SAMPLE_TEXTS``, chosen by a hash of ``order`` and text, and the same in every run; a text gives ``PIECE_CHARS``
     code points from a place that the hash names, so long texts take part as any other. Equal rows give one piece. Texts that
-    are null or empty give none. Without labelled texts the model is empty and predicts ``und``.
+    are null or empty give none. All dictionaries together hold ``MODEL_BYTES`` at most: of more languages than have room at full size each gets an
+    equal share, and of more than ``LANGUAGES_MOST`` a ValueError says so. Without labelled texts the model is empty and predicts ``und``.
     """
     whole = F.col(text)
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), whole.alias("text"), F.xxhash64(F.col(order), whole).alias("h")).where("lang is not null and length(text) > 0")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES_MOST + 1).collect()}
+    if len(counts) > LANGUAGES_MOST:
+        raise ValueError(f"more than {LANGUAGES_MOST} values of {lang}: a model of so many can't be broadcast")
     if not counts:
         return Model([], [])
     # A first choice by the hash leaves some twice the sample a language (by chance less than a sample once in many runs); of these the
@@ -57,7 +62,8 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", order: st
     content: dict[str, list[bytes]] = {k: [] for k in names}
     for r in sorted(chosen, key=lambda r: (r["lang"], r["k"])):
         content[r["lang"]].append(r["piece"].lower().encode("utf-8", "surrogatepass"))
-    return Model(names, [b" ".join(content[k])[:DICTIONARY_BYTES] for k in names])
+    most = min(DICTIONARY_BYTES, MODEL_BYTES // len(names))
+    return Model(names, [b" ".join(content[k])[:most] for k in names])
 
 
 def _compressors(model: Model) -> list[zstandard.ZstdCompressor]:
@@ -91,9 +97,10 @@ def classify(docs: DataFrame, model: Model, margin: float = MARGIN, text: str =
 
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")]
     at = kept.index(text)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = _compressors(model)
+        compressors = _compressors(sent.value)
         for batch in batches:
             found: list[tuple] = []
             for value in batch.column(at):
@@ -103,7 +110,7 @@ def classify(docs: DataFrame, model: Model, margin: float = MARGIN, text: str =
                     continue
                 by = sorted((n, k) for k, n in enumerate(sizes(t, compressors)))
                 gain = 1.0 if len(by) < 2 else (by[1][0] - by[0][0]) / by[1][0]
-                found.append((model.languages[by[0][1]], min(1.0, gain / (4 * margin)) if len(by) > 1 else 1.0, gain < margin))
+                found.append((sent.value.languages[by[0][1]], min(1.0, gain / (4 * margin)) if len(by) > 1 else 1.0, gain < margin))
             new = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "lang_pred", "score", "rejected"])
 

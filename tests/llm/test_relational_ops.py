@@ -222,11 +222,16 @@ def test_rows_that_repeat_an_id_keep_their_links(spark):
     assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 2, 1, False), (4, 2, 1, False), (5, 0, 5, True), (5, 0, 5, True)]
 
 
-@pytest.mark.parametrize("n", [10**3, 10**5, 10**7, 10**9])
+@pytest.mark.parametrize("n", [2 * 10**3, 10**5, 10**7, 10**9])
 def test_passes_follow_the_size(n):
     bits, passes = op8_embeddings.plan(n, 0.93)
     agree = 1 - np.arccos(0.93) / np.pi
-    assert (1 - agree**bits) ** passes <= 1e-6 and bits >= op8_embeddings.BITS_LEAST
+    assert (1 - agree**bits) ** passes <= 1e-6 and bits >= op8_embeddings.BITS_LEAST and op8_embeddings.plan(10, 0.93)[1] == op8_embeddings.PASSES_LEAST
+
+
+def test_opposite_vectors_link_at_the_lowest_threshold(spark):
+    rows = near_vectors(spark.createDataFrame([(i, [float(i % 2 * 2 - 1), i / 5000], 1) for i in range(1100)], VECTORS), threshold=-1.0).collect()
+    assert {(r.n_links, r.component_id) for r in rows} == {(1099, 0)}
 
 
 def test_url_lists_as_of(spark):
