@@ -255,7 +255,7 @@ def _compared(rows: list[tuple], far: bool, threshold: float) -> Iterator[pa.Rec
                 a, b = root[i], root[j]
                 apart = a != b
                 i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-                root[np.maximum(a, b)] = np.minimum(a, b)
+                np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
                 while (root != (up := root[root])).any():
                     root = up
     names = ["class", "rep", "linked", "root", "other"]
