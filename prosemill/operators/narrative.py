@@ -48,3 +48,24 @@ def narrative(docs: DataFrame) -> DataFrame:
     out = base.join(again, "doc_id", "left").fillna({"machine_parallelism": 0})
     total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
     return out.select("doc_id", "words", total.alias("total"), F.when(total <= 6, "low").when(total <= 15, "medium").otherwise("high").alias("band"), *names)
+
+
+_ALL, _PUBLIC = ["docs", "marketing", "editorial", "microcopy"], ["marketing", "editorial"]
+# What a reader asks of each dimension, and the kinds of text that it is asked of.
+QUESTIONS = [
+    ("stated-morals", "stated morals", "Does the document explain its lesson instead of letting evidence carry the point?", _ALL),
+    ("tidy-structure", "tidy structure", "Does the shape feel over-balanced, with every section carrying the same weight?", _PUBLIC),
+    ("machine-parallelism", "machine parallelism", "Do adjacent headings, bullets, or sentences repeat the same grammatical frame?", _ALL),
+    ("performed-embodiment", "performed embodiment", "Does the text claim lived presence without concrete observed detail?", _PUBLIC),
+    ("vague-allusion", "vague allusion", "Does the prose lean on unspecific references instead of named objects, actors, or constraints?", _ALL),
+    ("no-concession-no-reader", "no concession / no reader", "Does it avoid tradeoffs, limitations, objections, or reader context?", _PUBLIC),
+    ("flat-time", "flat time", "Does everything happen in a timeless present with no sequence, before/after, or revision?", _PUBLIC),
+]
+
+
+def asked(scores: DataFrame, register: str | None = None) -> DataFrame:
+    """(doc_id, question, label, prompt, score): the questions that a document's scores (``narrative``) raise, those above 0; with a ``register``
+    only those asked of such texts. A row a document and dimension, by one projection."""
+    chosen = [q for q in QUESTIONS if register is None or register in q[3]]
+    rows = [F.struct(F.lit(i).alias("question"), F.lit(label).alias("label"), F.lit(prompt).alias("prompt"), F.col(i.replace("-", "_")).alias("score")) for i, label, prompt, _ in chosen]
+    return scores.select("doc_id", F.explode(F.filter(F.array(*rows), lambda q: q["score"] > 0)).alias("q")).select("doc_id", "q.*")

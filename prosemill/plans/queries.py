@@ -14,7 +14,7 @@ from prosemill.functions.readability import syllables_of_text, with_grade
 from prosemill.operators import filters, project, score
 from prosemill.operators.context import with_context
 from prosemill.operators.detect import STRUCTURAL, detect
-from prosemill.operators.narrative import narrative
+from prosemill.operators.narrative import QUESTIONS, asked, narrative
 from prosemill.operators.rules import PACKS, Rule, selected
 from prosemill.operators.storage import materialized, spread
 from prosemill.plans import cases, fixtures, projects, trees
@@ -217,6 +217,18 @@ s AS (SELECT *, stated_morals + tidy_structure + machine_parallelism + performed
 SELECT *, CASE WHEN total <= 6 THEN 'low' WHEN total <= 15 THEN 'medium' ELSE 'high' END AS band FROM s"""
 
 
+def narrative_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents raise each question, and how strongly."""
+    return asked(narrative_scores(spark, sf_dir)).groupBy("question", "label", "prompt").agg(F.count("*").alias("docs"), F.sum("score").alias("score"))
+
+
+QUESTIONS_SQL = (
+    f"WITH scores AS ({NARRATIVE_SQL}) SELECT question, label, prompt, count(*) AS docs, CAST(sum(score) AS BIGINT) AS score FROM ("
+    + " UNION ALL ".join(f"SELECT '{i}' AS question, '{label}' AS label, '{prompt}' AS prompt, {i.replace('-', '_')} AS score FROM scores" for i, label, prompt, _ in QUESTIONS)
+    + ") WHERE score > 0 GROUP BY question, label, prompt"
+)
+
+
 def syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words between white space, their letters and syllables, of all texts as they are."""
     text = F.coalesce("text", F.lit(""))
@@ -296,12 +308,12 @@ for _style, _groups in {"microsoft": ("ai-slop", "clarity", "style", "inclusive"
             ORACLES[f"plain_rules_{_g.replace('-', '_')}"] = plain_sql(_rules)
 QUERIES |= {
     "rule_cases": rule_cases, **ON_PLAIN,
-    "rule_histogram": rule_histogram, "worst_docs_top15": worst_docs, "severity_totals": severity_totals, "score_by_label": score_by_label, "reading_grade": reading_grades, "narrative_score": narrative_scores,
+    "rule_histogram": rule_histogram, "worst_docs_top15": worst_docs, "severity_totals": severity_totals, "score_by_label": score_by_label, "reading_grade": reading_grades, "narrative_score": narrative_scores, "narrative_questions": narrative_questions,
     "op_mask": masks, "op_syllables": syllables, "op_sentences": sentences, "op_lines": plain_lines, "op_tokens": tokens, "text_filters": text_filters, "check_links": _project(project.check_links), "check_anchors": page_anchors, "check_nav": _project(project.check_navigation),
     "check_community": _project(project.check_community), "check_sections": _project(project.check_sections), "postmortem_blame": _project(project.postmortem_blame), "asset_detect": _project(project.asset_types),
     "platform_detect": _project(project.platforms), "i18n_siblings": _project(project.translations), "i18n_structure": _project(project.check_translations), "surface_symbols": _project(project.surface), "glossary": _project(project.glossary),
 }
-ORACLES |= {"narrative_score": NARRATIVE_SQL, "op_syllables": SYLLABLES_SQL, "rule_cases": cases.cases_sql(), "op_mask": fixtures.masked_sql(), "op_lines": LINES_SQL, "op_tokens": TOKENS_SQL, "text_filters": FILTERS_SQL}
+ORACLES |= {"narrative_score": NARRATIVE_SQL, "narrative_questions": QUESTIONS_SQL, "op_syllables": SYLLABLES_SQL, "rule_cases": cases.cases_sql(), "op_mask": fixtures.masked_sql(), "op_lines": LINES_SQL, "op_tokens": TOKENS_SQL, "text_filters": FILTERS_SQL}
 ORACLES |= {**on_plain_sql(), **projects.SQL, "check_anchors": ANCHORS_SQL}
 QUERIES |= trees.QUERIES
 ORACLES |= trees.ORACLES

@@ -23,7 +23,7 @@ def test_registry():
     assert entries_of("complex-word", {"complex-word": []}) == () and entries_of("complex-word", {"complex-word": "x"}) == LISTS["complex-word"].entries
 
 
-@pytest.mark.parametrize("name", ["plain_rules_style", "plain_rules_google", "op_lines", "op_tokens", "op_mask", "rule_cases", "text_filters"])
+@pytest.mark.parametrize("name", ["plain_rules_style", "plain_rules_google", "op_lines", "op_tokens", "op_mask", "rule_cases", "text_filters", "narrative_questions"])
 def test_sql_says_the_same(spark, name):
     got, want = compare(spark, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert got == want

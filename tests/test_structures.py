@@ -390,6 +390,16 @@ def test_discovery_and_templates(spark):
     assert [tuple(r) for r in got.collect()] == [("adr", "X", "# X X")]
 
 
+def test_questions_that_a_score_raises(spark):
+    from prosemill.operators.narrative import QUESTIONS, asked, narrative
+
+    docs = spark.createDataFrame([(1, "The lesson is clear. Various things."), (2, None), (3, "plain")], "doc_id long, text string")
+    scores = narrative(docs)
+    got = sorted((r.doc_id, r.question, r.score) for r in asked(scores).collect())
+    assert got == [(1, "stated-morals", 1), (1, "vague-allusion", 2)] and len(QUESTIONS) == 7
+    assert [r.question for r in asked(scores, "docs").collect()] == ["stated-morals", "vague-allusion"]
+
+
 def test_navigation_by_folder(spark):
     files = spark.createDataFrame([("mkdocs.yml", "nav:\n - a.md\n - gone.md\n"), ("docs/a.md", ""), ("docs/b.md", ""), ("sub/mkdocs.yml", "nav:\n - c.md\n - a.md"), ("sub/docs/c.md", ""), ("sub/d.md", "")], "path string, text string")
     got = {(r.rule_id, r.path, r.target) for r in project.check_navigation(files).collect()}
