@@ -18,19 +18,22 @@ from prosemill.llm.op9_language import classify, held_out, train
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear; a null text, one without a letter and one with a narrow margin go."""
+    """Documents whose language is clear; a null text, one without a letter and one with a narrow margin go. Rows that repeat are judged
+    alike, whatever their id; an empty table, or one without a labelled language, keeps none."""
     model = train(docs.where(~held_out(F.col("doc_id"))))
     return classify(docs, model).where("not rejected").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates: five-word shingles, Jaccard 0.8. Rows that repeat an id stay or go together."""
+    """The document with the smallest doc_id of each group of near-duplicates: five-word shingles, Jaccard 0.8. Rows that repeat an id stay or go together, and so do
+    those without one. Null and empty texts are no duplicates of anything and stay; an empty table stays empty."""
     kept = near_duplicates(docs, n=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept"))
     return docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item. Null and empty texts hold none; rows that repeat an id are judged by their own text."""
+    """Documents that hold no test item. Null and empty texts hold none; rows that repeat an id are judged by their own text.
+    An empty table stays empty, and without test items all stay."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
