@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import repeat
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +35,7 @@ class Index(NamedTuple):
     terms: dict[str, int]
     most: np.ndarray  #: greatest weight of each term, and a 0 for words that no item has
     maxima: np.ndarray  #: greatest weight of each term in each block
-    blocks: list[dict[int, tuple[np.ndarray, np.ndarray]]]  #: postings of each block: term to units and weights
+    blocks: list[dict[int, tuple[list[int], list[float]]]]  #: postings of each block: term to units, ascending, and weights
     unit_item: list[int]  #: position of the item that a unit belongs to
     items: list[tuple[int, int, frozenset, frozenset]]  #: id, words, shingles of the question, shingles of the answer
 
@@ -111,15 +113,16 @@ def build_index(items: list[tuple[int, str]], counts: Counts | None = None) -> I
         for t, w in by.items():
             lists[place // size][terms[t]].append((k, w))
             maxima[terms[t], place // size] = max(maxima[terms[t], place // size], w)
-    blocks = [{t: (np.array([k for k, _ in ps]), np.array([w for _, w in ps])) for t, ps in b.items()} for b in lists]
+    blocks = [{t: tuple(map(list, zip(*sorted(ps)))) for t, ps in b.items()} for b in lists]
     return Index(terms, maxima.max(1, initial=0), maxima, blocks, unit_item, kept)
 
 
 def wand(index: Index, rows: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """(row, unit, score) of all units that reach the threshold for the passages in ``rows``, by block-max WAND over many passages at once.
+    """(row, unit, score) of all units that reach the threshold for the passages in ``rows``, by block-max WAND.
 
-    First the terms' greatest weights must sum to the threshold for a passage to be asked at all; then their maxima in a block, for
-    the block's postings to be opened; only there scores are summed. No unit is left out that reaches the threshold.
+    First the terms' greatest weights must sum to the threshold for a passage to be asked at all; then their maxima in a block, summed
+    for all blocks of all passages at once, for the block to be live. Dead blocks are skipped whole; in a live one cursors move through
+    the terms' postings (see ``_walk``). No unit is left out that reaches the threshold.
     """
     none, least = len(index.terms), threshold - 1e-5
     numbers = np.nonzero(index.most[rows].sum(1) >= least)[0]
@@ -130,14 +133,55 @@ def wand(index: Index, rows: np.ndarray, threshold: float) -> list[tuple[int, in
     bounds = np.add.reduceat(index.maxima[flat], np.concatenate([[0], ends[:-1]]), axis=0)
     out = []
     for i, b in zip(*np.nonzero(bounds >= least)):
-        postings = index.blocks[b]
-        lists = [postings[t] for t in flat[ends[i - 1] if i else 0 : ends[i]].tolist() if t in postings]
-        units, at = np.unique(np.concatenate([u for u, _ in lists]), return_inverse=True)
-        scores = np.bincount(at, np.concatenate([w for _, w in lists]))
-        out += [(int(numbers[i]), int(units[k]), float(scores[k])) for k in np.nonzero(scores >= least)[0]]
+        postings, own = index.blocks[b], flat[ends[i - 1] if i else 0 : ends[i]]
+        lists = [(most, *postings[t]) for t, most in zip(own.tolist(), index.maxima[own, b].tolist()) if most]
+        out += [(int(numbers[i]), unit, score) for unit, score in _walk(lists, least)]
     return out
 
 
+def _walk(lists: list[tuple[float, list[int], list[float]]], least: float) -> list[tuple[int, float]]:
+    """(unit, score) of a block's units whose score is at least ``least``; lists are (maximum, units ascending, weights), one a term.
+
+    A cursor stands in each list. In order of the units under them, the first cursor at which the maxima sum to ``least`` is the pivot:
+    no unit before its own can reach it. Cursors before it jump there; when the first one stands there too, the unit is scored.
+    """
+    cursors, found, enough = [[units[0], 0, most, units, weights] for most, units, weights in lists], [], least - 1e-6
+    while True:
+        cursors.sort(key=itemgetter(0))
+        bound, pivot = 0.0, None
+        for cursor in cursors:
+            bound += cursor[2]
+            if bound >= enough:
+                pivot = cursor[0]
+                break
+        if pivot is None:
+            return found
+        if cursors[0][0] == pivot:
+            score, ended = 0.0, False
+            for cursor in cursors:
+                if cursor[0] != pivot:
+                    break
+                score += cursor[4][cursor[1]]
+                ended |= not _moved(cursor, cursor[1] + 1)
+            if score >= least:
+                found.append((pivot, score))
+        else:
+            ended = False
+            for cursor in cursors:
+                if cursor[0] >= pivot:
+                    break
+                ended |= not _moved(cursor, bisect_left(cursor[3], pivot, cursor[1]))
+        if ended:
+            cursors = [c for c in cursors if c[0] is not None]
+
+
+def _moved(cursor: list, at: int) -> bool:
+    """Sets a cursor on a place of its list; behind the end it stands on nothing."""
+    there = at < len(cursor[3])
+    cursor[0], cursor[1] = cursor[3][at] if there else None, at
+    return there
+
+
 def passages(terms: np.ndarray, none: int) -> np.ndarray:
     """Rows of sorted term numbers, one for each passage; repeated terms and words that no item has are ``none``."""
     n = len(terms)
