@@ -359,3 +359,16 @@ def _within_blocks(source: DataFrame, classes: DataFrame, streams: DataFrame, n:
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents: 3-word shingles, Jaccard 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
+# All pairs that share a shingle, and the smallest id that walks along links reach; ids are unique in the tables.
+OP7_SQL = r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+o AS (SELECT doc_id, len(w) AS n, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM t),
+r AS (SELECT doc_id, n, a, lead(a) OVER q AS b, lead(a, 2) OVER q AS c, i FROM o WINDOW q AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, concat_ws(' ', a, b, c) AS shingle FROM r WHERE c IS NOT NULL OR (n < 3 AND i = 1)),
+k AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+m AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+p AS (SELECT a, b FROM m JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+c AS (SELECT doc_id AS node, doc_id AS low FROM documents UNION SELECT l.b, c.low FROM c JOIN l ON l.a = c.node WHERE c.low < l.b)
+SELECT d.doc_id, coalesce(k.n, 0) AS n_shingles, f.component_id, f.component_id = d.doc_id AS kept FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id JOIN (SELECT node, min(low) AS component_id FROM c GROUP BY node) f ON f.node = d.doc_id"""

@@ -271,3 +271,12 @@ def _compared(rows: list[tuple], far: bool, threshold: float) -> Iterator[pa.Rec
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors of a label at cosine 0.93."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+# All pairs of a label, and the smallest id that walks along links reach; ids are unique in the table.
+OP8_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+c AS (SELECT vec_id AS node, vec_id AS low FROM embeddings UNION SELECT l.b, c.low FROM c JOIN l ON l.a = c.node WHERE c.low < l.b)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, f.component_id, f.component_id = e.vec_id AS kept FROM embeddings e JOIN (SELECT node, min(low) AS component_id FROM c GROUP BY node) f ON f.node = e.vec_id
+LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) n ON n.a = e.vec_id"""

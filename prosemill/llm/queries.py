@@ -13,8 +13,8 @@ from prosemill.llm.op3_decontam import op3_decontamination
 from prosemill.llm.op4_pii import op4_pii_pseudonyms
 from prosemill.llm.op5_packing import op5_best_fit_packing
 from prosemill.llm.op6_url_lists import OP6_SQL, op6_url_filter
-from prosemill.llm.op7_minhash import op7_minhash_near_dedup
-from prosemill.llm.op8_embeddings import op8_embedding_near_dedup
+from prosemill.llm.op7_minhash import OP7_SQL, op7_minhash_near_dedup
+from prosemill.llm.op8_embeddings import OP8_SQL, op8_embedding_near_dedup
 from prosemill.llm.op9_language import op9_language_id
 
 QUERIES = {
@@ -37,6 +37,8 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
     "op6_url_filter": OP6_SQL,
+    "op7_minhash_near_dedup": OP7_SQL,
+    "op8_embedding_near_dedup": OP8_SQL,
     "op10_chat_format": OP10_SQL,
     "op11_source_divergence": OP11_SQL,
     "op13_vector_codes": OP13_SQL,
