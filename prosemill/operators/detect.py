@@ -157,7 +157,7 @@ def structural_findings(ctx: DataFrame, style: str = "microsoft", overrides: dic
     add(stats, "uniform-cadence", "ai-slop", "advisory", c("start"), F.lit(0), F.lit(""), F.format_string("uniform sentence cadence (CV %.2f < 0.25 over %d sentences) — vary rhythm", "cv", "n"))
     add(sentences.where("words > 30"), "long-sentence", "clarity", "warn", c("start"), c("length"), c("text"), F.format_string("long sentence — %d words", "words"))
     # Tokens: equal neighbours without a sentence end between.
-    twice = r"(?diU)(?<![A-Za-z0-9'’-])([A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)*)(?=[^.!?\nA-Za-z0-9]+\1(?![A-Za-z0-9])(?!['’-][A-Za-z0-9]))[^.!?\nA-Za-z0-9]+(?=\1)"
+    twice = r"(?diU)(?<![A-Za-z0-9'’-])([A-Za-z0-9]++(?:['’-][A-Za-z0-9]++)*)[^.!?\nA-Za-z0-9]++(?=\1(?![A-Za-z0-9])(?!['’-][A-Za-z0-9]))"
     again = scan(ctx, [("masked", twice)]).withColumn("w", F.regexp_extract("match", r"^[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)*", 0)).where("lower(w) not in ('that', 'had')")
     add(again, "repeated-word", "clarity", "warn", c("offset"), raw("match") + raw("w"), F.concat("match", "w"), "repeated word")
     caps = scan(ctx, [("masked", r"(?dU)\b[A-Z]{3,5}s?\b")]).withColumn("tok", F.regexp_replace("match", "s+$", "")).where(~c("tok").isin(*R.KNOWN_ACRONYMS.split()))

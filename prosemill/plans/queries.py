@@ -12,7 +12,7 @@ from prosemill.functions.lists import LISTS
 from prosemill.functions.patterns import keys_of
 from prosemill.functions.readability import syllables_of_text, with_grade
 from prosemill.operators import filters, project, score
-from prosemill.operators.context import with_context
+from prosemill.operators.context import ABBREVIATIONS, with_context
 from prosemill.operators.detect import STRUCTURAL, detect
 from prosemill.operators.narrative import QUESTIONS, asked, narrative
 from prosemill.operators.rules import PACKS, Rule, selected
@@ -247,6 +247,26 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_context(corpus(spark, sf_dir), columns=("sentences",)).select("doc_id", F.posexplode("sentences").alias("i", "s")).select("doc_id", "i", "s.start", "s.length", "s.words")
 
 
+# Blocks are items, and paragraphs of other lines between blank lines, headings and items. A block is cut behind marks that end a sentence: what
+# stands between them are rows, and rows whose mark ends none go with the next. Texts hold nothing that is masked.
+SENTENCES_SQL = rf"""WITH c AS ({corpus_sql()}), l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i, len(ls) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM c)),
+k AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place,
+  CASE WHEN NOT regexp_matches(line, '[^\s\pZ]') OR regexp_matches(line, '^ {{0,3}}#{{1,6}}[ \t]') THEN 'none' WHEN regexp_matches(line, '^[ \t]*(?:[-*+]|[0-9]+[.)])[ \t]') THEN 'item' ELSE 'text' END AS kind FROM l),
+g AS (SELECT *, sum(CAST(kind <> 'text' OR before IS DISTINCT FROM 'text' AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS block FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k)),
+b AS (SELECT doc_id, block, min(place) AS place, string_agg(line, chr(10) ORDER BY i) || CASE WHEN kind = 'text' AND max(i) < max(n) THEN chr(10) ELSE '' END AS t FROM g WHERE kind <> 'none' GROUP BY doc_id, block, kind),
+p AS (SELECT doc_id, block, place, unnest(gaps) AS gap, unnest(hits) AS hit, generate_subscripts(gaps, 1) AS i FROM (SELECT *, string_split_regex(t, '[.!?]+["'')\]”’]?(?:[\s\pZ]+|$)') AS gaps, regexp_extract_all(t, '[.!?]+["'')\]”’]?(?:[\s\pZ]+|$)') AS hits FROM b)),
+e AS (SELECT *, hit IS NOT NULL AND NOT (hit[1] = '.' AND ((regexp_matches(gap, '[0-9]$') AND regexp_matches(coalesce(lead(gap) OVER (PARTITION BY doc_id, block ORDER BY i), ''), '^[0-9]'))
+  OR rtrim(lower(regexp_extract(gap, '[^\s\pZ(]*$')), '.') IN ({", ".join(f"'{a}'" for a in sorted(ABBREVIATIONS))}))) AS ends FROM p),
+q AS (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id, block ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nth FROM e),
+r AS (SELECT doc_id, block, place, nth, string_agg(gap || coalesce(hit, ''), '' ORDER BY i) AS s FROM q GROUP BY doc_id, block, place, nth),
+w AS (SELECT doc_id, place + coalesce(sum(strlen(s)) OVER (PARTITION BY doc_id, block ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, strlen(s) AS length, len(regexp_extract_all(s, '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)*')) AS words FROM r)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS i, CAST(start AS INTEGER) AS start, CAST(length AS INTEGER) AS length, CAST(words AS INTEGER) AS words FROM w WHERE words > 0"""
+
+GRADE_SQL = f"""WITH n AS (SELECT doc_id, count(*) AS n FROM ({SENTENCES_SQL}) GROUP BY doc_id),
+x AS (SELECT y.doc_id, words, CAST(coalesce(n, 0) AS INTEGER) AS sentences, syllables, letters, CAST(greatest(words, 1) AS DOUBLE) AS w, CAST(greatest(coalesce(n, 0), 1) AS DOUBLE) AS s FROM ({SYLLABLES_SQL}) y LEFT JOIN n ON n.doc_id = y.doc_id)
+SELECT doc_id, words, sentences, syllables, letters, round((0.39 * (w / s) + 11.8 * (syllables / w) - 15.59 + 0.0588 * (letters / w * 100.0) - 0.296 * (s / w * 100.0) - 15.8) / 2, 6) AS grade FROM x"""
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_context(corpus(spark, sf_dir), columns=("lines",)).select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.line", "l.start", "l.blank", "l.table")
 
@@ -313,7 +333,7 @@ QUERIES |= {
     "check_community": _project(project.check_community), "check_sections": _project(project.check_sections), "postmortem_blame": _project(project.postmortem_blame), "asset_detect": _project(project.asset_types),
     "platform_detect": _project(project.platforms), "i18n_siblings": _project(project.translations), "i18n_structure": _project(project.check_translations), "surface_symbols": _project(project.surface), "glossary": _project(project.glossary),
 }
-ORACLES |= {"narrative_score": NARRATIVE_SQL, "narrative_questions": QUESTIONS_SQL, "op_syllables": SYLLABLES_SQL, "rule_cases": cases.cases_sql(), "op_mask": fixtures.masked_sql(), "op_lines": LINES_SQL, "op_tokens": TOKENS_SQL, "text_filters": FILTERS_SQL}
+ORACLES |= {"narrative_score": NARRATIVE_SQL, "narrative_questions": QUESTIONS_SQL, "op_syllables": SYLLABLES_SQL, "op_sentences": SENTENCES_SQL, "reading_grade": GRADE_SQL, "rule_cases": cases.cases_sql(), "op_mask": fixtures.masked_sql(), "op_lines": LINES_SQL, "op_tokens": TOKENS_SQL, "text_filters": FILTERS_SQL}
 ORACLES |= {**on_plain_sql(), **projects.SQL, "check_anchors": ANCHORS_SQL}
 QUERIES |= trees.QUERIES
 ORACLES |= trees.ORACLES
