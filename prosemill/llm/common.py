@@ -107,29 +107,53 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
 
+def _shape(now: DataFrame) -> tuple[int, int, bool]:
+    """Of edges from a vertex a to a smaller one b: how many, between how many vertices, and whether all are stars around their smallest."""
+    ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+    met = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    more = (F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))
+    count, vertices, bent = met.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count("*"), F.coalesce(F.max(more), F.lit(False))).first()
+    return count, vertices, not bent
+
+
+def _hung(large: DataFrame, low: DataFrame) -> DataFrame:
+    """Small stars of edges (a, b), every a above its b: a hangs below its smallest b, and so do its others. ``low``: (a, m)."""
+    return large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+
+
+def _few_joined(now: DataFrame) -> DataFrame:
+    """A round over edges (a, b), every a above its b, of so few vertices that a row for each can be broadcast."""
+    # The least neighbour of b is the least one below it, or b itself.
+    up = now.groupBy("a").agg(F.min("b").alias("up")).select(F.col("a").alias("b"), "up")
+    large = now.join(F.broadcast(up), "b", "left").select("a", F.coalesce("up", "b").alias("b"))
+    return _hung(large, F.broadcast(large.groupBy("a").agg(F.min("b").alias("m"))))
+
+
+def _many_joined(now: DataFrame, edges: int) -> DataFrame:
+    """A round over any number of edges (a, b), every a above its b."""
+    both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    large = _with_least(both, 2 * edges).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return _hung(large, large.groupBy("a").agg(F.min("b").alias("m")))
+
+
 def components(edges: DataFrame, lasting: bool = False) -> DataFrame:
     """Smallest reachable id of every vertex of ``edges`` (a, b): rows (node, component), vertices without an edge left out.
 
     The edges of each task are first united among themselves, which leaves at most one a vertex. Then alternating large-star and
     small-star steps (Kiveris et al., 2014), written as a minimum per vertex and a join, so that no
-    neighbourhood is ever gathered; each round is written to the shared folder, and the one before it is deleted. Nulls and loops
-    are ignored.
+    neighbourhood is ever gathered; each round is written to the shared folder, and the one before it is deleted. The rounds end when
+    all edges are stars, each vertex with one edge to a vertex without any, so edges that are stars at once need none. With
+    ``HUBS_MOST`` vertices at most, the minima are broadcast to the edges, and three aggregates are all that a round shuffles. Nulls
+    and loops are ignored.
     """
     spark, path = edges.sparkSession, shared_dir(edges.sparkSession)
     now = materialize(edges.where("a <> b").select("a", "b").mapInArrow(_contracted, "a long, b long").distinct(), path)
-    seen = None
     while True:
-        mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if seen == tuple(mark) or not mark[0]:
+        count, vertices, stars = _shape(now)
+        if stars:
             break
-        seen = tuple(mark)
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _with_least(both, 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # Here every a is above its b: the small star of a is its smallest b, and each other b hangs below that one.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         last, path = path, shared_dir(spark)
-        now = materialize(small, path)
+        now = materialize(_few_joined(now) if vertices <= HUBS_MOST else _many_joined(now, count), path)
         remove(spark, last)
     if _OPEN and not lasting:
         _OPEN[-1].append(path)

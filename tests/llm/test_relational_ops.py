@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from prosemill.llm import common
 from prosemill.llm.common import components
 from prosemill.llm.op6_url_lists import judge
 from prosemill.llm.op7_minhash import VALUES, _least, band_keys, jaccard_at_least, near_duplicates, rows_for, shingle_set, signature
@@ -46,6 +47,39 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("most", [40, 100_000])
+def test_components_of_few_and_of_many_vertices(spark, monkeypatch, most):
+    """Chains against the order of ids, trees and a hub, with and without minima that are broadcast."""
+    monkeypatch.setattr(common, "HUBS_MOST", most)
+    monkeypatch.setattr(common, "HUB", 8)
+    rng = random.Random(3)
+    order = rng.sample(range(1000), 80)
+    edges = [*zip(order, order[1:]), *((2000 + i, 2000 + i // 3) for i in range(1, 90)), *((3500, 3500 + i) for i in range(-40, 40)), (2050, 3470)]
+    rng.shuffle(edges)
+    f = Forest({x for e in edges for x in e})
+    for a, b in edges:
+        f.union(a, b)
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(7))
+    assert sorted(map(tuple, got.collect())) == sorted((n, f.find(n)) for n in f.up)
+
+
+def test_rounds_of_components_end_with_stars_and_shuffle_little(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(common, "materialize", lambda df, path=None, lasting=False, f=common.materialize: (written.append(df._jdf.queryExecution().executedPlan().toString()), f(df, path, lasting))[1])
+    stars = [(10 * i + k, 10 * i) for i in range(30) for k in range(1, 9)]
+    assert components(spark.createDataFrame(stars, "a long, b long")).count() == 270
+    assert len(written) == 1  # united within tasks, and no round
+    written.clear()
+    chain = [(i, i + 1) for i in range(60)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r.component for r in components(spark.createDataFrame(chain, "a long, b long").repartition(20)).collect()} == {0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(written) > 1 and not any("SortMergeJoin" in plan for plan in written)  # few vertices: minima go to the edges
+
+
 def by_all_pairs(rows, n, percent):
     """(doc_id, n_shingles, component_id, kept) from all pairs of rows; rows of one id are one vertex."""
     sets = [(i, shingle_set(t, n)) for i, t in rows]
