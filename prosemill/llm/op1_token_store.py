@@ -212,24 +212,23 @@ def crc_shifted(crc: np.ndarray, ids_after: np.ndarray) -> np.ndarray:
     return out
 
 
-def read_chunks(spark: SparkSession, path: str, tokenizer: str | None = None) -> DataFrame:
-    """Chunks with a check: (address, n, crc, body); a body that doesn't match its address stops the job."""
-    tokenizer = tokenizer or tokenizer_path()
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks with a check: (address, n, crc); a body that doesn't match its address stops the job. The width of ids is that of the
+    body over their number, so no tokenizer is loaded."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = encoder(tokenizer).dtype
         for batch in batches:
             crcs, lengths = [], []
-            for mark, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if address(body) != mark:
+            for mark, count, body in zip(*(c.to_pylist() for c in batch.columns)):
+                if address(body) != mark or len(body) not in (2 * count, 4 * count):
                     raise ValueError(f"chunk {mark.hex()} is damaged")
-                ids = np.frombuffer(body, dtype)
+                ids = np.frombuffer(body, f"<u{len(body) // count}")
                 crcs.append(zlib.crc32(as_u32(ids)))
                 lengths.append(len(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], ["address", "n", "crc"])
 
     chunks = spark.read.schema(_STAGED).parquet(f"{path}/staged").where("kind = 'chunk'")
-    return chunks.select("deal", "body").mapInArrow(check, "address binary, n long, crc long")
+    return chunks.select("deal", "n_tokens", "body").mapInArrow(check, "address binary, n long, crc long")
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -243,7 +242,7 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
     return recipes.join(F.broadcast(parts), "part").withColumn("start", F.col("part_start") + F.col("local_start"))
 
 
-def verify(spark: SparkSession, path: str, tokenizer: str | None = None) -> DataFrame:
+def verify(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files: each chunk is read and checked once, and a
     document's CRC-32 is put together from its chunks', so no ids are moved."""
 
@@ -259,7 +258,7 @@ def verify(spark: SparkSession, path: str, tokenizer: str | None = None) -> Data
     sound = recipes.withColumn("addresses", F.when(rooted("addresses", "root"), F.col("addresses")).otherwise(F.raise_error(F.format_string("the recipe of document %s is damaged", F.col("doc_id").cast("string"))).cast("array<binary>")))
     parts = sound.select("part", "row", "doc_id", "start", "n_tokens", F.explode(F.arrays_zip("addresses", "lengths", "ends")).alias("c"))
     parts = parts.select("part", "row", "doc_id", "start", "n_tokens", F.col("c.addresses").alias("address"), F.col("c.lengths").cast("long").alias("length"), (F.col("n_tokens") - F.col("c.ends")).alias("after"))
-    met = parts.join(read_chunks(spark, path, tokenizer), "address", "left")
+    met = parts.join(read_chunks(spark, path), "address", "left")
     sure = F.when(F.col("n") == F.col("length"), F.col("crc")).otherwise(F.raise_error(F.lit("a chunk is missing or has another length")).cast("long"))
     whole = met.withColumn("bits", shifted(sure, "after")).groupBy("part", "row", "doc_id", "start", "n_tokens").agg(F.bit_xor("bits").alias("ids_crc32"))
     return whole.select("doc_id", "start", "n_tokens", "ids_crc32")

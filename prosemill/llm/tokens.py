@@ -19,7 +19,7 @@ import pyarrow as pa
 WORD_BPE = "word_bpe_49k.json"
 PIECES_MOST = 1_000_000  #: pieces that a worker remembers; others are encoded again each time
 SHORT = 64  #: bytes of a piece that is remembered at most
-AT_ONCE = 1 << 20  #: bytes of text that are taken apart at once; a longer text is taken alone
+AT_ONCE = 1 << 18  #: bytes of text that are taken apart at once, at many bytes of arrays each; a longer text is taken alone
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 # What the fast way assumes of a tokenizer file.

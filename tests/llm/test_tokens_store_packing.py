@@ -1,3 +1,4 @@
+import inspect
 import random
 import zlib
 
@@ -91,6 +92,21 @@ def test_chunks_stored_once_and_damage_found(spark):
         store.read_recipes(spark, path)
 
 
+def test_chunks_are_checked_without_a_tokenizer(spark, corpus):
+    path = shared_dir(spark)
+    store.write_store(corpus.limit(20), path)
+    assert "tokenizer" not in inspect.signature(store.read_chunks).parameters
+    assert store.read_chunks(spark, path).where("n < 1 or crc is null").count() == 0
+
+
+def test_texts_taken_apart_at_once_are_bounded(library):
+    encode = encoder(tokenizer_path())
+    texts = pa.array([f"some words of text number {i} " * 40 for i in range(1000)])
+    runs = [(i, j) for i, j, _, _ in encode.parts(texts)]
+    assert max(sum(len(t) for t in texts.slice(i, j - i).to_pylist()) for i, j in runs) <= 1 << 18
+    assert encode.column(texts)[0].tolist() == [x for t in texts.to_pylist() for x in library(t)]
+
+
 def test_cuts_of_a_batch_are_those_of_each_document():
     rng = np.random.default_rng(4)
     gear = store._gear(50_000)
