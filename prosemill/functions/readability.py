@@ -1,9 +1,11 @@
-"""Syllables and the reading grade as column expressions."""
+"""Syllables and the reading grade: as column expressions, and counted over the bytes of many texts at once."""
 
 from __future__ import annotations
 
 import re
+from functools import cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,11 +54,75 @@ def syllables_of_text(text: Column) -> Column:
     return sum((count(w, f"(?<![a-z])(?:{'|'.join(ws)})(?![a-z])") * d for d, ws in off.items() if d), total)
 
 
-def with_grade(df: DataFrame, text: str = "masked", sentences: str = "sentences") -> DataFrame:
-    """``df`` with grade: the mean of two formulas over words between white space, their letters and syllables, and sentences."""
-    n, s = F.regexp_count(F.col(text), F.lit(r"(?U)\S+")), F.size(F.col(sentences))
-    letters, syl = F.regexp_count(F.col(text), F.lit("[A-Za-z0-9]")), syllables_of_text(F.col(text))
-    rows = df.withColumn("grade", F.struct(n.alias("words"), s.alias("sentences"), syl.alias("syllables"), letters.alias("letters")))
+#: White space outside ASCII, as the JVM's (?U)\\s has it.
+_SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE = 1  #: a class of bytes; the others are 0 for what is no letter, and the letter itself in lower case
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of bytes, letters and digits, vowels."""
+    kind, alnum, vowel = np.zeros(256, np.uint8), np.zeros(256, bool), np.zeros(256, bool)
+    kind[list(b"\t\n\x0b\x0c\r ")] = _SPACE
+    for c in b"abcdefghijklmnopqrstuvwxyz":
+        kind[[c, c - 32]] = c
+    alnum[48:58] = True
+    alnum[kind > _SPACE] = True
+    vowel[list(b"aeiouy")] = True
+    return kind, alnum, vowel
+
+
+def _ascii(text: str) -> bytes:
+    """A byte a character: a blank for white space, a mark for other characters outside ASCII; two of them have an ASCII letter as lower case."""
+    return text.encode() if text.isascii() else _SPACES.sub(" ", text).replace("\u212a", "k").replace("\u0130", "i").encode("ascii", "replace")
+
+
+def counts_of_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words between white space, letters and digits, and syllables of each text: the sums of ``syllables``, in passes over all texts' bytes."""
+    kind, alnum, vowels = _tables()
+    parts = [_ascii(t) + b"\n" for t in texts]  # no word goes on in the next text
+    if not parts:
+        return (np.zeros(0, np.int32),) * 3
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    at = np.cumsum([0, *map(len, parts)])[:-1]
+    total = lambda mask, at: np.add.reduceat(mask, at, dtype=np.int64)
+    w = kind[data]
+    words = total((w != _SPACE) & np.r_[True, w[:-1] == _SPACE], at)
+    letters = total(alnum[data], at) - np.array([0 if t.isascii() else t.count("\u212a") + t.count("\u0130") for t in texts])
+    # Letters and white space alone, behind four blanks: a look at a word's last four letters stays inside.
+    at = np.cumsum(np.r_[4, total(w != 0, at)])[:-1]
+    w = np.r_[np.full(4, _SPACE, np.uint8), w[w != 0]]
+    space = w == _SPACE
+    first, end = np.flatnonzero(~space[1:] & space[:-1]) + 1, np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    size, last, second = end - first, w[end - 1], w[end - 2]
+    vowel = vowels[w]
+    third = vowel[end - 3]
+    # Stems: what an ending or a first y has of vowels doesn't count.
+    es = (last == ord("s")) & (second == ord("e")) & (size > 3) & vowel[end - 4] & ~third & (w[end - 3] != ord("l"))
+    ed = (last == ord("d")) & (second == ord("e")) & (size > 3)
+    e = (last == ord("e")) & (second != ord("l")) & (size > 2)
+    stem = vowel.copy()
+    stem[end[es | ed] - 2] = False
+    stem[end[e] - 1] = False
+    stem[first[w[first] == ord("y")]] = False
+    begins, ends = np.flatnonzero(stem[1:] & ~stem[:-1]) + 1, np.flatnonzero(~stem[1:] & stem[:-1]) + 1
+    inside = lambda mask: (c := np.cumsum(mask, dtype=np.int64))[end - 1] - c[first - 1]
+    after = np.r_[w[1:], np.uint8(_SPACE)]
+    hiatus = ((w == ord("i")) | (w == ord("u"))) & (after == ord("a")) | ((w == ord("i")) | (w == ord("e"))) & (after == ord("o"))
+    more = (inside(stem) == 0).astype(np.int64) + ((last == ord("e")) & (second == ord("l")) & (size > 2) & ~third) + (inside(hiatus) > 0)
+    for word, n in EXCEPTIONS.items():
+        same = np.flatnonzero(size == len(word))
+        for k, c in enumerate(word.encode()):
+            same = same[w[first[same] + k] == c]
+        more[same] += n - _by_rule(word)
+    text_of = lambda places: np.searchsorted(at, places, "right") - 1
+    syllables = np.bincount(text_of(begins), (ends - begins + 1) // 2, len(texts)) + np.bincount(text_of(first), more, len(texts))
+    return words.astype(np.int32), letters.astype(np.int32), syllables.astype(np.int32)
+
+
+def with_grade(df: DataFrame, sentences: str = "sentences") -> DataFrame:
+    """``df``, a context with ``GRADED``, with grade: the mean of two formulas over words between white space, their letters and syllables, and sentences."""
+    rows = df.withColumn("grade", F.struct(F.col("grade_words").alias("words"), F.size(sentences).alias("sentences"), F.col("grade_syllables").alias("syllables"), F.col("grade_letters").alias("letters")))
     g = lambda k: F.col(f"grade.{k}")
     words, many = F.greatest(g("words"), F.lit(1)).cast("double"), F.greatest(g("sentences"), F.lit(1)).cast("double")
     grade = (0.39 * (words / many) + 11.8 * (g("syllables") / words) - 15.59 + 0.0588 * (g("letters") / words * 100.0) - 0.296 * (many / words * 100.0) - 15.8) / 2

@@ -8,6 +8,7 @@ import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @cache
@@ -47,9 +48,11 @@ def materialized(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores: a small table in one row group would keep all but one idle.
+    """``df`` over all cores: where one partition holds more than 1.5 times a core's share of the rows, they are dealt anew.
 
-    Large inputs have more partitions than that and are left as they are, unshuffled.
+    Partitions say little of that, as a file's row group is read by one task, however many get a part of its bytes. Rows are counted without
+    their columns, a number a partition; an input that is even already is left as it is, unshuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores)
+    rows, most, n = df.groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count"), F.count("*")).first()
+    return df if not rows or most * cores <= 1.5 * rows else df.repartition(max(4 * cores, n))

@@ -12,7 +12,7 @@ from prosemill.functions.lists import LISTS
 from prosemill.functions.patterns import keys_of
 from prosemill.functions.readability import syllables_of_text, with_grade
 from prosemill.operators import filters, project, score
-from prosemill.operators.context import ABBREVIATIONS, with_context
+from prosemill.operators.context import ABBREVIATIONS, GRADED, with_context
 from prosemill.operators.detect import STRUCTURAL, detect
 from prosemill.operators.narrative import QUESTIONS, asked, narrative
 from prosemill.operators.rules import PACKS, Rule, selected
@@ -193,7 +193,7 @@ SELECT doc_id, rule_id, "offset", CAST(len(before) - len(replace(before, chr(10)
 
 
 def reading_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = with_context(corpus(spark, sf_dir), columns=("masked", "sentences"))
+    ctx = with_context(corpus(spark, sf_dir), columns=("sentences", *GRADED))
     return with_grade(ctx).select("doc_id", "grade.words", "grade.sentences", "grade.syllables", "grade.letters", F.round("grade.grade", 6).alias("grade"))
 
 
