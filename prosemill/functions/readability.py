@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -56,20 +55,13 @@ def syllables_of_text(text: Column) -> Column:
 
 #: White space outside ASCII, as the JVM's (?U)\\s has it.
 _SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_SPACE = 1  #: a class of bytes; the others are 0 for what is no letter, and the letter itself in lower case
-
-
-@cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of bytes, letters and digits, vowels."""
-    kind, alnum, vowel = np.zeros(256, np.uint8), np.zeros(256, bool), np.zeros(256, bool)
-    kind[list(b"\t\n\x0b\x0c\r ")] = _SPACE
-    for c in b"abcdefghijklmnopqrstuvwxyz":
-        kind[[c, c - 32]] = c
-    alnum[48:58] = True
-    alnum[kind > _SPACE] = True
-    vowel[list(b"aeiouy")] = True
-    return kind, alnum, vowel
+_ALL, _LETTERS, _BLANKS = bytes(range(256)), b"abcdefghijklmnopqrstuvwxyz", b"\t\n\x0b\x0c\r "
+_OTHERS = bytes(c for c in _ALL if bytes([c]).lower() not in {bytes([x]) for x in _LETTERS + _BLANKS})
+_ALNUMS = _LETTERS + _LETTERS.upper() + b"0123456789"
+#: Letters in lower case and one blank, with a deletion of the others; white space as a truth; vowels as one.
+_LOWER = bytes(32 if c in _BLANKS else c for c in _ALL.lower())
+_IS_BLANK, _IS_VOWEL = (bytes(c in cs for c in _ALL) for cs in (_BLANKS, b"aeiouy"))
+_BLANK = 32
 
 
 def _ascii(text: str) -> bytes:
@@ -79,45 +71,52 @@ def _ascii(text: str) -> bytes:
 
 def counts_of_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words between white space, letters and digits, and syllables of each text: the sums of ``syllables``, in passes over all texts' bytes."""
-    kind, alnum, vowels = _tables()
     parts = [_ascii(t) + b"\n" for t in texts]  # no word goes on in the next text
-    if not parts:
-        return (np.zeros(0, np.int32),) * 3
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    at = np.cumsum([0, *map(len, parts)])[:-1]
-    total = lambda mask, at: np.add.reduceat(mask, at, dtype=np.int64)
-    w = kind[data]
-    words = total((w != _SPACE) & np.r_[True, w[:-1] == _SPACE], at)
-    letters = total(alnum[data], at) - np.array([0 if t.isascii() else t.count("\u212a") + t.count("\u0130") for t in texts])
-    # Letters and white space alone, behind four blanks: a look at a word's last four letters stays inside.
-    at = np.cumsum(np.r_[4, total(w != 0, at)])[:-1]
-    w = np.r_[np.full(4, _SPACE, np.uint8), w[w != 0]]
-    space = w == _SPACE
-    first, end = np.flatnonzero(~space[1:] & space[:-1]) + 1, np.flatnonzero(space[1:] & ~space[:-1]) + 1
-    size, last, second = end - first, w[end - 1], w[end - 2]
-    vowel = vowels[w]
-    third = vowel[end - 3]
+    said = [p.translate(_LOWER, _OTHERS) for p in parts]  # letters and blanks alone
+    before = lambda sizes: np.cumsum([0, *sizes])
+    letters = [len(p) - len(p.translate(None, _ALNUMS)) for p in parts]
+    letters = [n if t.isascii() else n - t.count("\u212a") - t.count("\u0130") for n, t in zip(letters, texts)]
+    blank = np.frombuffer(b"".join(parts).translate(_IS_BLANK), bool)
+    words = np.diff(np.searchsorted(np.flatnonzero(blank[1:] > blank[:-1]) + 1, before(map(len, parts))))  # by their ends
+    # Four blanks in front: a look at a word's last four letters stays inside.
+    joined = b"    " + b"".join(said)
+    at = before(map(len, said)) + 4
+    w, vowel = np.frombuffer(joined, np.uint8), np.frombuffer(joined.translate(_IS_VOWEL), bool)
+    edges = np.flatnonzero((w[1:] == _BLANK) != (w[:-1] == _BLANK)) + 1
+    first, end = edges[::2].copy(), edges[1::2].copy()
+    size, last, second, third = end - first, w[end - 1], w[end - 2], vowel[end - 3]
     # Stems: what an ending or a first y has of vowels doesn't count.
-    es = (last == ord("s")) & (second == ord("e")) & (size > 3) & vowel[end - 4] & ~third & (w[end - 3] != ord("l"))
-    ed = (last == ord("d")) & (second == ord("e")) & (size > 3)
+    before_e = (second == ord("e")) & (size > 3)
+    es = before_e & (last == ord("s")) & vowel[end - 4] & ~third & (w[end - 3] != ord("l"))
+    ed = before_e & (last == ord("d"))
     e = (last == ord("e")) & (second != ord("l")) & (size > 2)
     stem = vowel.copy()
     stem[end[es | ed] - 2] = False
     stem[end[e] - 1] = False
     stem[first[w[first] == ord("y")]] = False
-    begins, ends = np.flatnonzero(stem[1:] & ~stem[:-1]) + 1, np.flatnonzero(~stem[1:] & stem[:-1]) + 1
-    inside = lambda mask: (c := np.cumsum(mask, dtype=np.int64))[end - 1] - c[first - 1]
-    after = np.r_[w[1:], np.uint8(_SPACE)]
-    hiatus = ((w == ord("i")) | (w == ord("u"))) & (after == ord("a")) | ((w == ord("i")) | (w == ord("e"))) & (after == ord("o"))
-    more = (inside(stem) == 0).astype(np.int64) + ((last == ord("e")) & (second == ord("l")) & (size > 2) & ~third) + (inside(hiatus) > 0)
+    runs = np.flatnonzero(stem[1:] != stem[:-1]) + 1
+    begins = runs[::2]
+    # Words without a vowel in their stem count once, those with a hiatus once more.
+    more = ((last == ord("e")) & (second == ord("l")) & (size > 2) & ~third).astype(np.int64)
+    vowels, hiatus = np.cumsum(stem, dtype=np.int32), np.zeros(len(first), bool)
+    more += vowels[end - 1] == vowels[first - 1]
+    hiatus[np.searchsorted(first, _hiatus_at(w, np.flatnonzero(vowel[1:] & vowel[:-1])), "right") - 1] = True
+    more += hiatus
+    by_size: dict[int, np.ndarray] = {}
     for word, n in EXCEPTIONS.items():
-        same = np.flatnonzero(size == len(word))
+        same = by_size[len(word)] if len(word) in by_size else by_size.setdefault(len(word), np.flatnonzero(size == len(word)))
         for k, c in enumerate(word.encode()):
             same = same[w[first[same] + k] == c]
         more[same] += n - _by_rule(word)
-    text_of = lambda places: np.searchsorted(at, places, "right") - 1
-    syllables = np.bincount(text_of(begins), (ends - begins + 1) // 2, len(texts)) + np.bincount(text_of(first), more, len(texts))
-    return words.astype(np.int32), letters.astype(np.int32), syllables.astype(np.int32)
+    sums = lambda places, values: np.diff(np.concatenate([[0], np.cumsum(values)])[np.searchsorted(places, at)])
+    syllables = sums(begins, (runs[1::2] - begins + 1) // 2) + sums(first, more)
+    return words.astype(np.int32), np.array(letters, np.int32), syllables.astype(np.int32)
+
+
+def _hiatus_at(w: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Those of the places at which ia, io, ua or eo stand."""
+    a, b = w[places], w[places + 1]
+    return places[((a == ord("i")) | (a == ord("u"))) & (b == ord("a")) | ((a == ord("i")) | (a == ord("e"))) & (b == ord("o"))]
 
 
 def with_grade(df: DataFrame, sentences: str = "sentences") -> DataFrame:
