@@ -119,9 +119,9 @@ def _hiatus_at(w: np.ndarray, places: np.ndarray) -> np.ndarray:
     return places[((a == ord("i")) | (a == ord("u"))) & (b == ord("a")) | ((a == ord("i")) | (a == ord("e"))) & (b == ord("o"))]
 
 
-def with_grade(df: DataFrame, sentences: str = "sentences") -> DataFrame:
+def with_grade(df: DataFrame) -> DataFrame:
     """``df``, a context with ``GRADED``, with grade: the mean of two formulas over words between white space, their letters and syllables, and sentences."""
-    rows = df.withColumn("grade", F.struct(F.col("grade_words").alias("words"), F.size(sentences).alias("sentences"), F.col("grade_syllables").alias("syllables"), F.col("grade_letters").alias("letters")))
+    rows = df.withColumn("grade", F.struct(F.col("grade_words").alias("words"), F.col("grade_sentences").alias("sentences"), F.col("grade_syllables").alias("syllables"), F.col("grade_letters").alias("letters")))
     g = lambda k: F.col(f"grade.{k}")
     words, many = F.greatest(g("words"), F.lit(1)).cast("double"), F.greatest(g("sentences"), F.lit(1)).cast("double")
     grade = (0.39 * (words / many) + 11.8 * (g("syllables") / words) - 15.59 + 0.0588 * (g("letters") / words * 100.0) - 0.296 * (many / words * 100.0) - 15.8) / 2

@@ -193,7 +193,7 @@ SELECT doc_id, rule_id, "offset", CAST(len(before) - len(replace(before, chr(10)
 
 
 def reading_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = with_context(corpus(spark, sf_dir), columns=("sentences", *GRADED))
+    ctx = with_context(corpus(spark, sf_dir), columns=GRADED)
     return with_grade(ctx).select("doc_id", "grade.words", "grade.sentences", "grade.syllables", "grade.letters", F.round("grade.grade", 6).alias("grade"))
 
 
